@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,15 +38,16 @@ class HashedWords:
             self.seen[word] = slot
         return slot
 
-    def of_words(self, texts: list[list[str] | None]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
+    def of_words(self, texts: Iterable[list[str] | None], n: int) -> np.ndarray:
+        out = np.zeros((n, self.dim))
         for row, words in enumerate(texts):
             if words:
                 out[row] = np.bincount([self._bucket(w) for w in words], minlength=self.dim)
         return unit_rows(out)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        return self.of_words([[w for w in _BREAK.split((t or "").lower()) if w] for t in texts])
+        cut = ([w for w in _BREAK.split((t or "").lower()) if w] for t in texts)
+        return self.of_words(cut, len(texts))
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:

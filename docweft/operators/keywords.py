@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 
 from docweft.functions.text import words
 from docweft.operators.embedding import HashedWords
-from docweft.operators.matching import CosineScorer, Matches, attach, best_matches
+from docweft.operators.matching import (
+    MAX_BROADCAST_BYTES,
+    CosineScorer,
+    Matches,
+    attach,
+    best_matches,
+    fits,
+)
 from docweft.operators.numbering import top_per_key
 from docweft.session import staged
 
@@ -116,7 +123,7 @@ class WordVectorScorer(CosineScorer):
 
     def score(self, state: tuple[np.ndarray, HashedWords], corpus: pa.Table) -> np.ndarray:
         matrix, model = state
-        return matrix @ model.of_words(corpus["words"].to_pylist()).T
+        return matrix @ model.of_words(corpus["words"].to_pylist(), corpus.num_rows).T
 
 
 def hybrid_ranks(questions: DataFrame, corpus: DataFrame, depth: int, **options) -> Matches:
@@ -146,20 +153,17 @@ def hybrid(questions: DataFrame, corpus: DataFrame, k: int = 5, depth: int = 20,
     return fused(hybrid_ranks(questions, corpus, depth, **options).frame, k)
 
 
-def overlap(question: str, text: str):
-    """How many different question words the text holds."""
-    return F.size(
-        F.array_intersect(words(F.col(question)), words(F.col(text)))
-    ).cast("bigint")
-
-
 def reranked(questions: DataFrame, corpus: DataFrame, candidates: Matches, keep: int) -> DataFrame:
-    """Candidates rescored by word overlap with the question, best ``keep`` per question.
+    """Candidates rescored by how many different question words they hold.
 
-    ``(qid, id, overlap, rk)``; ties to the smaller id.
+    ``(qid, id, overlap, rk)``, best ``keep`` per question, ties to the smaller id.
+    The question's words meet the candidates first, so that a text is read and
+    scored where it lies and only counts are shuffled.
     """
-    narrow = Matches(candidates.frame.select("qid", "id"), candidates.row_bound)
-    texts = attach(narrow, corpus.select("id", F.col("text").alias("_text")))
-    asked = texts.join(questions.select("qid", F.col("text").alias("_question")), "qid")
-    scored = asked.select("qid", "id", overlap("_question", "_text").alias("overlap"))
+    asked = questions.select("qid", F.array_distinct(words(F.col("text"))).alias("_asked"))
+    wanted = candidates.frame.select("qid", "id").join(asked, "qid")
+    per_question = None if candidates.row_bound is None else fits(asked, max_bytes=MAX_BROADCAST_BYTES // 16)
+    bound = candidates.row_bound if per_question is not None and candidates.row_bound <= 16 * per_question else None
+    texts = attach(Matches(wanted, bound), corpus.select("id", words(F.col("text")).alias("_words")))
+    scored = texts.select("qid", "id", F.size(F.array_intersect("_asked", "_words")).cast("bigint").alias("overlap"))
     return top_per_key(scored, ["qid"], [F.col("overlap").desc(), F.col("id")], keep)

@@ -31,7 +31,12 @@ MAX_BROADCAST_ROWS = 4096
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 QUESTION_BLOCK = 4096
 CORPUS_BLOCK = 65536
+BLOCK_BYTES = 64 * 1024 * 1024
+# Rows scored at once, and cells of one score matrix.
+_STEP_ROWS = 2048
 _STEP_CELLS = 4_000_000
+# Tasks per core of a corpus scan: each sends on k rows per question.
+_TASKS_PER_CORE = 8
 
 OUT = "side string, qid bigint, id bigint, score double"
 
@@ -127,7 +132,7 @@ def _scan(
         return
     qids = questions["qid"].to_numpy()
     states = [(side, scorer, scorer.prepare(questions), _Best(qids, k, exclude_self)) for side, scorer in scorers]
-    step = max(1, _STEP_CELLS // len(qids))
+    step = max(1, min(_STEP_ROWS, _STEP_CELLS // len(qids)))
     for batch in batches:
         for start in range(0, batch.num_rows, step):
             part = batch.slice(start, step)
@@ -155,10 +160,20 @@ def _row_bytes(df: DataFrame) -> Column:
 
 def fits(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> int | None:
     """Row count of a frame small enough to be sent everywhere, else ``None``."""
-    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
+    n, size = _measured(df)
     return n if n <= max_rows and size <= max_bytes else None
 
 
+def _measured(df: DataFrame) -> tuple[int, int]:
+    return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first())
+
+
+def _blocks(df: DataFrame, rows: int) -> int:
+    """Into how many blocks a side is cut, so that none exceeds the row or byte size."""
+    n, size = _measured(df)
+    return max(1, math.ceil(n / rows), math.ceil(size / BLOCK_BYTES))
+
+
 def best_matches(
     questions: DataFrame,
     corpus: DataFrame,
@@ -183,7 +198,8 @@ def best_matches(
             tables = (pa.Table.from_batches([b]) for b in batches)
             yield from _scan(sent.value, tables, scorers, k, exclude_self)
 
-        partial = corpus.mapInArrow(scan, OUT)
+        tasks = corpus.sparkSession.sparkContext.defaultParallelism * _TASKS_PER_CORE
+        partial = corpus.coalesce(tasks).mapInArrow(scan, OUT)
     else:
         partial = _block_scan(questions, corpus, scorers, k, exclude_self, question_block, corpus_block)
     order = [F.col("score").desc(), F.col("id")]
@@ -193,8 +209,7 @@ def best_matches(
 
 def _block_scan(questions, corpus, scorers, k, exclude_self, question_block, corpus_block) -> DataFrame:
     """Every question block against every corpus block, one task-sized pair at a time."""
-    q_blocks = max(1, math.ceil(questions.count() / question_block))
-    c_blocks = max(1, math.ceil(corpus.count() / corpus_block))
+    q_blocks, c_blocks = _blocks(questions, question_block), _blocks(corpus, corpus_block)
     left = questions.withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int")).withColumn(
         "_cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))
     )
@@ -247,9 +262,12 @@ def nearest(
     return Matches(found.frame.drop("side"), found.row_bound)
 
 
-def attach(matches: Matches, corpus: DataFrame, on: str = "id", bytes_per_row: int = 64) -> DataFrame:
-    """Corpus columns for the matched ids; the corpus is not shuffled while matches are few."""
+def attach(matches: Matches, corpus: DataFrame, on: str = "id") -> DataFrame:
+    """Corpus columns for the matched ids; the corpus is not shuffled while matches are few.
+
+    A match row is a handful of numbers.
+    """
     bound = matches.row_bound
-    if bound is not None and bound * bytes_per_row <= MAX_BROADCAST_BYTES:
+    if bound is not None and bound * 64 <= MAX_BROADCAST_BYTES:
         return corpus.join(F.broadcast(matches.frame), on)
     return corpus.join(matches.frame, on)

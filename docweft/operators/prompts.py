@@ -51,10 +51,8 @@ def changes(registry: DataFrame) -> DataFrame:
 def with_new_version(registry: DataFrame, name: Column, template: DataFrame) -> DataFrame:
     """Append a template (one-row frame, column ``template``) under a name as its next version."""
     top = registry.where(F.col("name") == name).agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("version"))
-    row = template.select("template", F.lit(1).alias("_one")).join(top.withColumn("_one", F.lit(1)), "_one")
-    return registry.select("name", "version", "template").unionByName(
-        row.select(name.alias("name"), "version", "template")
-    )
+    new = template.select(name.alias("name"), top.scalar().cast("bigint").alias("version"), "template")
+    return registry.select("name", "version", "template").unionByName(new)
 
 
 def candidate_matrix(examples: DataFrame, candidates: DataFrame) -> DataFrame:

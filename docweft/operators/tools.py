@@ -55,50 +55,57 @@ def tool_loop(requests: DataFrame, calls: DataFrame, max_rounds: int = MAX_ROUND
 
     ``requests`` has ``request_id, answered`` (its conversation already ends on
     an assistant message); ``calls`` has ``request_id, call_no, name, x, y``: the
-    calls the stand-in planner asks for, in order from 1. A round looks at the
-    last message only: a tool call is run, anything else goes to the planner,
-    which asks for the next call or answers. Returns the items produced,
-    ``(request_id, round, type, content)``.
-
-    State stays long and small: one row per open request. Each round joins the
-    calls on (request, number), a unique key, and both the items and the next
-    state are tables in the shared folder, so a lost executor costs one task.
+    calls the stand-in planner asks for, in order from 1. Returns the items
+    produced, ``(request_id, round, type, content)``.
+
+    A round looks at the last message only: after a tool call the tool runs,
+    after anything else the planner asks for the next call or answers. So odd
+    rounds plan and even rounds run tools, call ``n`` belongs to round
+    ``2 n - 1``, and calls stored by number are each read once. State is one row
+    per open request; items and state are tables in the shared folder, so a
+    lost executor costs a task, not the loop.
     """
     spark = requests.sparkSession
     root = fresh_path(spark, "tool-loop")
-    numbered_calls = f"{root}/calls"
-    calls.select("request_id", "call_no", "name", "x", "y").write.parquet(numbered_calls)
-    calls = spark.read.parquet(numbered_calls)
-    state = requests.where(~F.col("answered")).select(
-        "request_id",
-        F.lit("user").alias("last"),
-        F.lit(1).cast("bigint").alias("call_no"),
-        F.lit(None).cast("string").alias("output"),
-    )
-    item_schema = "request_id BIGINT, type STRING, content STRING, round BIGINT"
+    calls.select("request_id", "name", "x", "y", "call_no").write.partitionBy("call_no").parquet(f"{root}/calls")
+    stored = spark.read.schema("request_id BIGINT, name STRING, x DOUBLE, y DOUBLE, call_no BIGINT").parquet(f"{root}/calls")
+    # The call a request waits for, and the last output it has seen.
+    pending = "request_id BIGINT, type STRING, content STRING, name STRING, x DOUBLE, y DOUBLE, output STRING"
+    state = requests.where(~F.col("answered")).select("request_id", F.lit(None).cast("string").alias("output"))
+    op, x, y = F.col("name"), F.col("x"), F.col("y")
     for number in range(1, max_rounds + 1):
-        op, y = F.col("name"), F.col("y")
-        result = value_or_error(calculator_error(op, y), number_text(calculator_value(op, F.col("x"), y)))
-        at_tool = F.col("last") == "function_call"
-        more = F.col("name").isNotNull()
-        step = state.join(calls, ["request_id", "call_no"], "left").select(
-            "request_id",
-            F.when(at_tool, "function_call_output").when(more, "function_call").otherwise("message").alias("type"),
-            F.when(at_tool, result)
-            .when(more, F.concat(op, F.lit("("), number_text(F.col("x")), F.lit(", "), number_text(y), F.lit(")")))
-            .otherwise(F.concat(F.lit("Answer: "), F.coalesce("output", F.lit("nothing to compute"))))
-            .alias("content"),
-            F.when(at_tool, F.col("call_no") + 1).otherwise(F.col("call_no")).alias("call_no"),
-            F.when(at_tool, result).otherwise(F.col("output")).alias("output"),
-        )
+        if number % 2 == 1:
+            due = stored.where(F.col("call_no") == (number + 1) // 2).drop("call_no")
+            asked = F.concat(op, F.lit("("), number_text(x), F.lit(", "), number_text(y), F.lit(")"))
+            said = F.concat(F.lit("Answer: "), F.coalesce("output", F.lit("nothing to compute")))
+            step = state.join(due, "request_id", "left").select(
+                "request_id",
+                F.when(op.isNotNull(), "function_call").otherwise("message").alias("type"),
+                F.when(op.isNotNull(), asked).otherwise(said).alias("content"),
+                "name",
+                "x",
+                "y",
+                "output",
+            )
+        else:
+            result = value_or_error(calculator_error(op, y), number_text(calculator_value(op, x, y)))
+            step = state.select(
+                "request_id",
+                F.lit("function_call_output").alias("type"),
+                result.alias("content"),
+                "name",
+                "x",
+                "y",
+                result.alias("output"),
+            )
         path = f"{root}/rounds/round={number}"
         step.write.parquet(path)
-        done = spark.read.schema("request_id BIGINT, type STRING, content STRING, call_no BIGINT, output STRING").parquet(path)
-        state = done.where("type <> 'message'").select("request_id", F.col("type").alias("last"), "call_no", "output")
+        taken = spark.read.schema(pending).parquet(path).where("type <> 'message'")
+        state = taken.select("request_id", "output") if number % 2 == 0 else taken.drop("type", "content")
         if state.isEmpty():
             break
     items = (
-        spark.read.schema(item_schema)
+        spark.read.schema("request_id BIGINT, type STRING, content STRING, round BIGINT")
         .option("basePath", f"{root}/rounds")
         .parquet(f"{root}/rounds")
         .select("request_id", "round", "type", "content")

@@ -55,7 +55,7 @@ from docweft.plans.routing import SQL_INTENT, SQL_LAST_USER, intents
 from docweft.sources.index import VectorIndex, index_rows
 from docweft.sources.payloads import first_prediction
 from docweft.sources.runs import append_log, long_form, read_log
-from docweft.sources.tables import load
+from docweft.sources.tables import load, load_spread
 from docweft.session import fresh_path
 
 
@@ -65,11 +65,10 @@ from docweft.session import fresh_path
           sum(len(string_split(text, ' ')))::BIGINT AS n_tokens FROM chunk GROUP BY source""",
 )
 def ingest_documents(spark, sf_dir):
-    """Load, chunk, embed, store by key; storing everything again changes nothing."""
+    """Load, chunk, embed, store by key; read back the newest row per key."""
     index = VectorIndex.open_or_create(spark, fresh_path(spark, "index"), DIM)
-    rows = index_rows(load(spark, sf_dir, "documents"), CHUNK_TOKENS, CHUNK_OVERLAP)
+    rows = index_rows(load_spread(spark, sf_dir, "documents", "doc_id"), CHUNK_TOKENS, CHUNK_OVERLAP)
     index.write(rows, 1)
-    index.write(rows, 2)
     stored = index.latest()
     document = F.substring_index("id", "-", 1)
     per_document = stored.groupBy("source", document.alias("doc")).agg(
@@ -235,7 +234,7 @@ def one_shot_tools(spark, sf_dir):
 )
 def eval_run(spark, sf_dir):
     """Score the evaluation set, measure the answers, store the metrics, read them back."""
-    rows = load(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("prompt"))
+    rows = load_spread(spark, sf_dir, "documents", "doc_id").select("doc_id", "lang", F.col("text").alias("prompt"))
     scored = batch_predict(rows, "prompt", word_count_model).select(
         "doc_id", "lang", F.regexp_extract("prediction", "^words=([0-9]+)", 1).cast("bigint").alias("answer")
     )

@@ -9,7 +9,7 @@ from docweft.operators.conversations import request_id, requests
 from docweft.operators.embedding import embed
 from docweft.operators.prompts import versions
 from docweft.sources.index import chunks
-from docweft.sources.tables import load
+from docweft.sources.tables import load, load_spread
 
 CHUNK_TOKENS = 1024
 CHUNK_OVERLAP = 20
@@ -27,11 +27,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    return load_spread(spark, sf_dir, "documents", "doc_id").select(F.col("doc_id").alias("id"), "text", "source")
 
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(load(spark, sf_dir, "documents"), CHUNK_TOKENS, CHUNK_OVERLAP)
+    return chunks(load_spread(spark, sf_dir, "documents", "doc_id"), CHUNK_TOKENS, CHUNK_OVERLAP)
 
 
 def embedded(corpus: DataFrame) -> DataFrame:

@@ -121,7 +121,8 @@ def history_questions(spark, sf_dir):
     rows = chat_requests(spark, sf_dir)
     said = F.flatten(F.transform("history", lambda p: F.array(p["human"], p["ai"])))
     asked = rows.select("qid", with_history(said, F.col("text")).alias("text"))
-    return asked.withColumn("embedding", embed(F.col("text")))
+    # Windows, rewriting and embedding run once; checks and joins read the stored rows.
+    return staged(asked.withColumn("embedding", embed(F.col("text"))), "questions")
 
 
 SQL_HISTORY_RERANK = f"""{SQL_HISTORY_ASKED},
@@ -202,9 +203,9 @@ def training_examples(spark, sf_dir):
 
 
 def candidate_prompts(spark, sf_dir):
-    """One candidate per language: the text of its first document."""
+    """One candidate per language: its shortest document."""
     rows = load(spark, sf_dir, "documents").groupBy(F.col("lang").alias("name"))
-    return rows.agg(F.min_by("text", "doc_id").alias("template"))
+    return rows.agg(F.min_by("text", F.struct("n_chars", "doc_id")).alias("template"))
 
 
 def candidate_scores(spark, sf_dir):
@@ -217,7 +218,7 @@ SQL_SCORED = f"""
 ex_w AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS r1, lead(text) OVER w AS t1 FROM conversations
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 ex AS (SELECT conv_id, turn, text AS question, t1 AS expected FROM ex_w WHERE role = 'user' AND r1 = 'assistant'),
-cand_p AS (SELECT lang AS name, arg_min(text, doc_id) AS template FROM documents GROUP BY lang),
+cand_p AS (SELECT lang AS name, arg_min(text, (n_chars, doc_id)) AS template FROM documents GROUP BY lang),
 scored AS (SELECT conv_id, turn, name, len(list_intersect(list_distinct({sql_words("template || chr(10) || question")}),
     list_distinct({sql_words('expected')})))::BIGINT AS score FROM ex, cand_p)"""
 

@@ -10,7 +10,7 @@ from docweft.operators.scoring import batch_predict, echo_model, word_count_mode
 from docweft.plans.frames import NEIGHBOURS, SQL_CALLS, sql_value, sql_vectors, tool_calls
 from docweft.plans.lookups import SQL_KNN, knn
 from docweft.plans.registry import query
-from docweft.sources.tables import load
+from docweft.sources.tables import load, load_spread
 
 SQL_PREDICTION = (
     "'words=' || len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda w: w <> '')) || ' first=' || "
@@ -20,7 +20,7 @@ SQL_PREDICTION = (
 
 @query("batch_predict", f"SELECT doc_id, {SQL_PREDICTION} AS prediction FROM documents")
 def predictions(spark, sf_dir):
-    rows = load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"))
+    rows = load_spread(spark, sf_dir, "documents", "doc_id").select("doc_id", F.col("text").alias("prompt"))
     return batch_predict(rows, "prompt", word_count_model).select("doc_id", "prediction")
 
 
@@ -30,7 +30,7 @@ def predictions(spark, sf_dir):
         SELECT key AS doc_id, b AS bucket, round(w, 6) AS weight FROM dv""",
 )
 def embeddings(spark, sf_dir):
-    rows = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(embed(F.col("text"))).alias("b", "w"))
+    rows = load_spread(spark, sf_dir, "documents", "doc_id").select("doc_id", F.posexplode(embed(F.col("text"))).alias("b", "w"))
     return rows.where("w > 0").select("doc_id", F.col("b").cast("bigint").alias("bucket"), F.round("w", 6).alias("weight"))
 
 

@@ -16,7 +16,7 @@ from docweft.sources.files import extracted, list_files
 from docweft.sources.index import VectorIndex, index_rows
 from docweft.sources.payloads import first_prediction, payload_cells, split_payloads
 from docweft.sources.runs import append_log, long_form, read_log
-from docweft.sources.tables import load
+from docweft.sources.tables import load, load_spread
 
 
 @query("scan_listing")
@@ -110,7 +110,7 @@ def index_create(spark, sf_dir):
 def index_append(spark, sf_dir):
     index = VectorIndex.open_or_create(spark, fresh_path(spark, "index"), DIM)
     index.write(_vector_rows(spark, sf_dir, "first"), 1)
-    whole = load(spark, sf_dir, "documents").select(
+    whole = load_spread(spark, sf_dir, "documents", "doc_id").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "text", "source"
     )
     index.write(whole.select(F.col("doc_id").alias("id"), "text", embed(F.col("text")).alias("text_vector"), "source"), 2)
@@ -135,7 +135,7 @@ def index_upsert(spark, sf_dir):
 )
 def index_from_nodes(spark, sf_dir):
     index = VectorIndex.open_or_create(spark, fresh_path(spark, "index"), DIM)
-    index.write(index_rows(load(spark, sf_dir, "documents"), CHUNK_TOKENS, CHUNK_OVERLAP), 1)
+    index.write(index_rows(load_spread(spark, sf_dir, "documents", "doc_id"), CHUNK_TOKENS, CHUNK_OVERLAP), 1)
     return index.latest().select("id", "text", "source", F.size("text_vector").cast("bigint").alias("dim"))
 
 

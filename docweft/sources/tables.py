@@ -32,3 +32,14 @@ def table_path(sf_dir: str, name: str) -> str:
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table under its declared schema (no inference pass)."""
     return spark.read.schema(SCHEMAS[name]).parquet(table_path(sf_dir, name))
+
+
+def load_spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose rows feed costly per-row work, on at least as many tasks as cores.
+
+    Input that already comes in enough splits, as any large table does, is left
+    where it is; only a small one is shuffled.
+    """
+    rows = load(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
