@@ -30,14 +30,18 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def chunk_array(text: Column, size: int, overlap: int) -> Column:
-    """Windows of ``size`` blank-separated tokens, neighbours sharing ``overlap``.
+def blank_tokens(text: Column) -> Column:
+    return F.split(text, " ")
 
-    The last window starts early enough that no chunk holds overlap only.
+
+def chunk_array(tokens: Column, size: int, overlap: int) -> Column:
+    """Windows of ``size`` tokens, neighbours sharing ``overlap``, joined by blanks.
+
+    The last window starts early enough that no chunk holds overlap only. The
+    tokens must be a column of their own, or they are cut anew for each window.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must lie between 0 and size - 1")
-    tokens = F.split(text, " ")
     starts = F.sequence(
         F.lit(0), F.greatest(F.size(tokens) - F.lit(overlap + 1), F.lit(0)), F.lit(size - overlap)
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweft.operators.numbering import with_neighbour
+from docweft.operators.numbering import with_neighbours
 
 KEY = ["conv_id"]
 
@@ -18,7 +18,7 @@ def last_messages(conversations: DataFrame) -> DataFrame:
 
 def history_pairs(conversations: DataFrame) -> DataFrame:
     """User turns answered by the next turn: ``(conv_id, turn, human, ai)``."""
-    paired = with_neighbour(conversations, KEY, "turn", ["role", "text"], "after")
+    paired = with_neighbours(conversations, KEY, "turn", ["role", "text"], ["after"], after=True)
     return paired.where((F.col("role") == "user") & (F.col("after.role") == "assistant")).select(
         "conv_id", "turn", F.col("text").alias("human"), F.col("after.text").alias("ai")
     )
@@ -29,12 +29,11 @@ def requests(conversations: DataFrame) -> DataFrame:
 
     ``history`` is empty or holds one (human, ai) pair.
     """
-    once = with_neighbour(conversations, KEY, "turn", ["role", "text"], "p1", step=-1)
-    twice = with_neighbour(once, KEY, "turn", ["role", "text", "p1"], "p2", step=-1)
-    pair = F.struct(F.col("p2.p1.text").alias("human"), F.col("p2.text").alias("ai"))
-    exchanged = (F.col("p2.role") == "assistant") & (F.col("p2.p1.role") == "user")
+    rows = with_neighbours(conversations, KEY, "turn", ["role", "text"], ["p1", "p2"])
+    pair = F.struct(F.col("p2.text").alias("human"), F.col("p1.text").alias("ai"))
+    exchanged = (F.col("p1.role") == "assistant") & (F.col("p2.role") == "user")
     empty = F.array().cast("array<struct<human:string,ai:string>>")
-    return twice.where("role = 'user'").select(
+    return rows.where("role = 'user'").select(
         "conv_id", "turn", "text", F.when(exchanged, F.array(pair)).otherwise(empty).alias("history")
     )
 

@@ -34,15 +34,15 @@ def term_statistics(corpus: DataFrame, text: str = "text") -> DataFrame:
     texts, and its ``length`` is their total length in words. Counts are summed
     per task before the shuffle, so a word found everywhere is one row per task.
     """
-    found = words(F.col(text))
     cells = F.concat(
-        F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size(found).cast("bigint").alias("length"))),
+        F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("w").cast("bigint").alias("length"))),
         F.transform(
-            F.array_distinct(found), lambda w: F.struct(w.alias("term"), F.lit(0).cast("bigint").alias("length"))
+            F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(0).cast("bigint").alias("length"))
         ),
     )
     return (
-        corpus.select(F.inline(cells))
+        corpus.select(words(F.col(text)).alias("w"))
+        .select(F.inline(cells))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("length"))
     )

@@ -18,7 +18,7 @@ BLOCK = 65536
 
 
 def order_block(order: str, width: int = BLOCK) -> Column:
-    return F.floor(F.col(order) / F.lit(width)).cast("bigint")
+    return F.expr(f"`{order}` div {width}")
 
 
 def numbered(
@@ -46,43 +46,54 @@ def numbered(
     return out.drop("_block", "_local", "_before", "_size")
 
 
-def with_neighbour(
+def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
     columns: Sequence[str],
-    name: str,
-    step: int = 1,
+    names: Sequence[str],
+    after: bool = False,
     width: int = BLOCK,
 ) -> DataFrame:
-    """Add struct ``name`` with ``columns`` of the next (step 1) or previous (step -1) row.
+    """Add structs of ``columns`` from the rows before (or after) each row of a group.
 
-    The struct is null where the group has no such row.
+    ``names[0]`` is the nearest row, ``names[1]`` the one beyond it, and so on;
+    a struct is null where the group has no such row. Rows beyond a block's edge
+    come from the edge rows of as many neighbouring blocks as there are names: a
+    block that occurs is never empty.
     """
-    if step not in (1, -1):
-        raise ValueError("step is 1 or -1")
-    keys = list(keys)
+    keys, reach = list(keys), len(names)
     payload = F.struct(*columns)
-    rows = df.withColumn("_block", order_block(order, width))
-    inner = Window.partitionBy(*keys, "_block").orderBy(order)
-    across = Window.partitionBy(*keys).orderBy("_block")
-    if step == 1:
-        inside = F.lead(payload).over(inner)
-        edge, beyond = F.min_by(payload, F.col(order)), F.lead("_edge").over(across)
-    else:
-        inside = F.lag(payload).over(inner)
-        edge, beyond = F.max_by(payload, F.col(order)), F.lag("_edge").over(across)
-    local = rows.withColumn("_inside", inside)
-    blocks = (
-        rows.groupBy(*keys, "_block")
-        .agg(edge.alias("_edge"))
-        .select(*keys, "_block", beyond.alias("_beyond"))
+    ahead = F.col(order).desc() if after else F.col(order).asc()
+    inner = Window.partitionBy(*keys, "_block").orderBy(ahead)
+    local = df.withColumn("_block", order_block(order, width)).withColumns(
+        {"_at": F.row_number().over(inner)}
+        | {f"_in{i}": F.lag(payload, i).over(inner) for i in range(1, reach + 1)}
+    )
+    # Edge rows of each block, the nearest to the next block last.
+    back = F.col(order).asc() if after else F.col(order).desc()
+    edge_rows = top_per_key(
+        df.select(*keys, order, *[c for c in columns if c != order], order_block(order, width).alias("_block")),
+        [*keys, "_block"],
+        [back],
+        reach,
+        "_e",
     )
-    return (
-        local.join(blocks, [*keys, "_block"])
-        .withColumn(name, F.coalesce("_inside", "_beyond"))
-        .drop("_block", "_inside", "_beyond")
+    edges = edge_rows.groupBy(*keys, "_block").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct(-F.col("_e"), payload.alias("v")))), lambda r: r["v"]).alias("_edge")
     )
+    across = Window.partitionBy(*keys).orderBy(F.col("_block").desc() if after else F.col("_block").asc())
+    none = F.slice("_edge", 1, 0)
+    beyond = F.concat(*[F.coalesce(F.lag("_edge", i).over(across), none) for i in range(reach, 0, -1)])
+    edges = edges.select(*keys, "_block", beyond.alias("_beyond"))
+    joined = local.join(edges, [*keys, "_block"])
+    filled = {
+        name: F.when(F.col("_at") > i, F.col(f"_in{i}")).otherwise(
+            F.try_element_at("_beyond", (F.col("_at") - (i + 1)).cast("int"))
+        )
+        for i, name in enumerate(names, start=1)
+    }
+    return joined.withColumns(filled).drop("_block", "_at", "_beyond", *[f"_in{i}" for i in range(1, reach + 1)])
 
 
 def newest(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:

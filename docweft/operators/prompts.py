@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docweft.functions.text import words
 from docweft.operators.matching import fits
-from docweft.operators.numbering import numbered, with_neighbour
+from docweft.operators.numbering import numbered, with_neighbours
 
 MAX_CANDIDATES = 256
 MAX_CANDIDATE_BYTES = 8 * 1024 * 1024
@@ -42,7 +42,7 @@ def resolved(names: DataFrame, registry: DataFrame, default: str) -> DataFrame:
 
 def changes(registry: DataFrame) -> DataFrame:
     """Whether each version differs from the one before it (the first one does)."""
-    before = with_neighbour(registry, ["name"], "version", ["template"], "before", step=-1)
+    before = with_neighbours(registry, ["name"], "version", ["template"], ["before"])
     return before.select(
         "name", "version", (~F.col("template").eqNullSafe(F.col("before.template"))).alias("changed")
     )

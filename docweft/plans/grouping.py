@@ -27,7 +27,7 @@ from docweft.plans.frames import (
 )
 from docweft.plans.lookups import SQL_SCORED, candidate_scores
 from docweft.plans.registry import query
-from docweft.sources.tables import load
+from docweft.sources.tables import load, load_spread
 
 SQL_RETRIEVED = f"""{sql_vectors('qv', 'benchmark', 'item_id', 'text')}, {sql_chunks()},
 {sql_vectors('cv', 'chunk', 'id', 'text')}, {sql_nearest('hit', 'qv', 'cv', NEIGHBOURS)},
@@ -170,13 +170,13 @@ RUNS = ["base", "distinct", "long"]
 )
 def eval_compare(spark, sf_dir):
     """The same texts under three stand-in runs, side by side."""
-    found = words(F.col("text"))
+    found = load_spread(spark, sf_dir, "documents", "doc_id").select("lang", words(F.col("text")).alias("w"))
     scores = F.array(
-        F.struct(F.lit("base").alias("run"), F.size(found).alias("score")),
-        F.struct(F.lit("distinct").alias("run"), F.size(F.array_distinct(found)).alias("score")),
-        F.struct(F.lit("long").alias("run"), F.size(F.filter(found, lambda w: F.length(w) > 6)).alias("score")),
+        F.struct(F.lit("base").alias("run"), F.size("w").alias("score")),
+        F.struct(F.lit("distinct").alias("run"), F.size(F.array_distinct("w")).alias("score")),
+        F.struct(F.lit("long").alias("run"), F.size(F.filter("w", lambda w: F.length(w) > 6)).alias("score")),
     )
-    long = load(spark, sf_dir, "documents").select("lang", F.inline(scores))
+    long = found.select("lang", F.inline(scores))
     means = long.groupBy("lang", "run").agg(mean("score").alias("score"))
     return compared(means, "lang", "run", "score", RUNS)
 

@@ -15,6 +15,7 @@ from docweft.operators.tools import MAX_ROUNDS, union_of
 from docweft.plans.frames import SQL_PAPERS, SQL_REGISTRY, papers, prompt_registry
 from docweft.plans.grouping import SQL_RESOURCES, resources
 from docweft.plans.registry import query
+from docweft.session import staged
 from docweft.sources.tables import load
 
 
@@ -68,7 +69,7 @@ def iteration_cap(spark, sf_dir):
           lag(template) OVER (PARTITION BY name ORDER BY version) AS changed FROM registry""",
 )
 def prompt_changed(spark, sf_dir):
-    return changes(prompt_registry(spark, sf_dir))
+    return changes(staged(prompt_registry(spark, sf_dir), "registry"))
 
 
 FLUSH_EVERY = 10

@@ -12,7 +12,6 @@ from docweft.functions.messages import (
     system_and_user,
 )
 from docweft.functions.text import (
-    chunk_array,
     fill,
     function_name,
     lines,
@@ -27,12 +26,11 @@ from docweft.operators.conversations import history_pairs as pairs_of
 from docweft.operators.profile import schema_profile
 from docweft.operators.tools import calculator_registry, dispatched
 from docweft.plans.frames import (
-    CHUNK_OVERLAP,
-    CHUNK_TOKENS,
     SQL_CALLS,
     SQL_PAPERS,
     SQL_REQUESTS,
     chat_requests,
+    document_chunks,
     papers,
     sql_chunks,
     sql_error,
@@ -46,9 +44,7 @@ from docweft.sources.tables import load
 
 @query("token_chunks", f"WITH {sql_chunks()} SELECT doc_id, chunk_no, text FROM chunk")
 def token_chunks(spark, sf_dir):
-    cut = chunk_array(F.col("text"), CHUNK_TOKENS, CHUNK_OVERLAP)
-    rows = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(cut).alias("chunk_no", "text"))
-    return rows.select("doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), "text")
+    return document_chunks(spark, sf_dir).select("doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), "text")
 
 
 @query("extract_citations", f"WITH {SQL_PAPERS} SELECT src, dst FROM found")

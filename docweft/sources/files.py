@@ -24,10 +24,9 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
 def read_texts(spark: SparkSession, folder: str, pattern: str = "*.txt", partitions: int | None = None) -> DataFrame:
     """One row per file with its whole text."""
     texts = (
-        spark.read.option("wholetext", "true")
-        .option("pathGlobFilter", pattern)
+        spark.read.option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
-        .text(folder)
+        .text(folder, wholetext=True)
         .select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
     )
     return texts.repartition(partitions) if partitions else texts

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.functions.text import chunk_array
+from docweft.functions.text import blank_tokens, chunk_array
 from docweft.operators.embedding import embed
 from docweft.operators.numbering import newest
 
@@ -68,7 +68,9 @@ class VectorIndex:
 
 def chunks(documents: DataFrame, size: int = 1024, overlap: int = 20) -> DataFrame:
     """``(id, doc_id, chunk_no, text, source)``, ids unique and ordered by document."""
-    cut = documents.select("doc_id", "source", F.posexplode(chunk_array(F.col("text"), size, overlap)).alias("chunk_no", "text"))
+    cut = documents.select("doc_id", "source", blank_tokens(F.col("text")).alias("tokens")).select(
+        "doc_id", "source", F.posexplode(chunk_array(F.col("tokens"), size, overlap)).alias("chunk_no", "text")
+    )
     return cut.select(
         (F.col("doc_id") * F.lit(CHUNKS_PER_TEXT) + F.col("chunk_no")).alias("id"),
         "doc_id",
