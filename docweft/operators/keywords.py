@@ -11,15 +11,9 @@ from pyspark.sql import functions as F
 
 from docweft.functions.text import words
 from docweft.operators.embedding import HashedWords
-from docweft.operators.matching import (
-    MAX_BROADCAST_BYTES,
-    CosineScorer,
-    Matches,
-    attach,
-    best_matches,
-    fits,
-)
+from docweft.operators.matching import CosineScorer, Matches, best_matches
 from docweft.operators.numbering import top_per_key
+from docweft.operators.sizes import MAX_BROADCAST_BYTES, fits
 from docweft.session import staged
 
 K1 = 1.2
@@ -27,33 +21,45 @@ B = 0.75
 FUSION = 60
 
 
-def term_statistics(corpus: DataFrame, text: str = "text") -> DataFrame:
-    """``(term, df, length)`` of a corpus in one pass.
+MAX_TERMS = 500_000
+# Stands for "any text" among the terms; no word is empty.
+ANY = ""
 
-    ``df`` counts the texts a term occurs in. The row without a term counts all
-    texts, and its ``length`` is their total length in words. Counts are summed
-    per task before the shuffle, so a word found everywhere is one row per task.
+
+def asked_terms(questions: DataFrame) -> DataFrame:
+    return questions.select("qid", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+
+
+def term_statistics(corpus: DataFrame, asked: DataFrame, text: str = "text") -> DataFrame:
+    """``(term, df, length)`` of the asked terms in one pass over the corpus.
+
+    ``df`` counts the texts a term occurs in. The term ``ANY`` counts all texts,
+    and its ``length`` is their total length in words. Counts are summed per
+    task before the shuffle, so a word found everywhere is one row per task. A
+    checked list of terms drops all other words first; a longer one is joined
+    to the finished counts.
     """
     cells = F.concat(
-        F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("w").cast("bigint").alias("length"))),
+        F.array(F.struct(F.lit(ANY).alias("term"), F.size("w").cast("bigint").alias("length"))),
         F.transform(
             F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(0).cast("bigint").alias("length"))
         ),
     )
-    return (
-        corpus.select(words(F.col(text)).alias("w"))
-        .select(F.inline(cells))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("length"))
-    )
+    found = corpus.select(words(F.col(text)).alias("w")).select(F.inline(cells))
+    spark = corpus.sparkSession
+    terms = asked.select("term").distinct().unionByName(spark.createDataFrame([(ANY,)], "term string"))
+    few = fits(terms, MAX_TERMS) is not None
+    if few:
+        found = found.join(F.broadcast(terms), "term", "left_semi")
+    counted = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("length"))
+    return counted if few else counted.join(terms, "term", "left_semi")
 
 
-def weighted_terms(questions: DataFrame, statistics: DataFrame, n_texts: int) -> DataFrame:
-    """Distinct terms of each question with their inverse document frequency.
+def weighted_terms(asked: DataFrame, statistics: DataFrame, n_texts: int) -> DataFrame:
+    """Terms of each question with their inverse document frequency.
 
     Terms the corpus lacks are dropped: they score nothing.
     """
-    asked = questions.select("qid", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     weight = F.log(1 + (F.lit(float(n_texts)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.join(statistics, "term").select("qid", "term", weight.alias("idf"))
     # A question's own distinct words: no larger than the question itself.
@@ -128,15 +134,15 @@ class WordVectorScorer(CosineScorer):
 
 def hybrid_ranks(questions: DataFrame, corpus: DataFrame, depth: int, **options) -> Matches:
     """Best ``depth`` per side (vector, keyword) in one scan of the corpus."""
-    statistics = staged(term_statistics(corpus), "terms")
-    n_texts, total = statistics.where("term IS NULL").select("df", "length").first() or (0, 0)
-    mean_length = max(total, 1) / max(n_texts, 1)
-    terms = weighted_terms(questions, statistics, n_texts)
-    asked = questions.select("qid", "embedding").join(terms, "qid", "left")
+    terms = asked_terms(questions)
+    statistics = staged(term_statistics(corpus, terms), "terms")
+    n_texts, length = statistics.where(F.col("term") == ANY).select("df", "length").first() or (0, 0)
+    weighted = weighted_terms(terms, statistics, n_texts)
+    asked = questions.select("qid", "embedding").join(weighted, "qid", "left")
     return best_matches(
         asked,
         corpus.select("id", words(F.col("text")).alias("words")),
-        [("vector", WordVectorScorer()), ("keyword", KeywordScorer(mean_length))],
+        [("vector", WordVectorScorer()), ("keyword", KeywordScorer(max(length, 1) / max(n_texts, 1)))],
         depth,
         **options,
     )
@@ -162,8 +168,8 @@ def reranked(questions: DataFrame, corpus: DataFrame, candidates: Matches, keep:
     """
     asked = questions.select("qid", F.array_distinct(words(F.col("text"))).alias("_asked"))
     wanted = candidates.frame.select("qid", "id").join(asked, "qid")
-    per_question = None if candidates.row_bound is None else fits(asked, max_bytes=MAX_BROADCAST_BYTES // 16)
-    bound = candidates.row_bound if per_question is not None and candidates.row_bound <= 16 * per_question else None
-    texts = attach(Matches(wanted, bound), corpus.select("id", words(F.col("text")).alias("_words")))
+    # A question travels once per candidate.
+    small = candidates.row_bound is not None and fits(asked, max_bytes=MAX_BROADCAST_BYTES // candidates.per_question)
+    texts = corpus.select("id", words(F.col("text")).alias("_words")).join(F.broadcast(wanted) if small else wanted, "id")
     scored = texts.select("qid", "id", F.size(F.array_intersect("_asked", "_words")).cast("bigint").alias("overlap"))
     return top_per_key(scored, ["qid"], [F.col("overlap").desc(), F.col("id")], keep)

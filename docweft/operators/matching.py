@@ -20,15 +20,13 @@ from typing import Any, NamedTuple, Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docweft.operators.embedding import unit_rows
 from docweft.operators.numbering import top_per_key
+from docweft.operators.sizes import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, fits, measured
 
-MAX_BROADCAST_ROWS = 4096
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 QUESTION_BLOCK = 4096
 CORPUS_BLOCK = 65536
 BLOCK_BYTES = 64 * 1024 * 1024
@@ -50,9 +48,10 @@ class Scorer(Protocol):
 
 
 class Matches(NamedTuple):
-    """Ranked matches and, where the question side was checked, a bound on their number."""
+    """Ranked matches, how many a question has at most, and a bound on all where questions were checked."""
 
     frame: DataFrame
+    per_question: int
     row_bound: int | None
 
 
@@ -143,34 +142,9 @@ def _scan(
         yield best.rows(side)
 
 
-def _row_bytes(df: DataFrame) -> Column:
-    """Bytes one row takes once sent to a task, from its column types."""
-    size = F.lit(0).cast("bigint")
-    for field in df.schema.fields:
-        if isinstance(field.dataType, T.StringType):
-            size = size + F.octet_length(F.coalesce(F.col(field.name), F.lit("")))
-        elif isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.StringType):
-            size = size + F.octet_length(F.array_join(F.col(field.name), " ", " "))
-        elif isinstance(field.dataType, T.ArrayType):
-            size = size + F.size(field.name) * 8
-        else:
-            size = size + 8
-    return size
-
-
-def fits(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> int | None:
-    """Row count of a frame small enough to be sent everywhere, else ``None``."""
-    n, size = _measured(df)
-    return n if n <= max_rows and size <= max_bytes else None
-
-
-def _measured(df: DataFrame) -> tuple[int, int]:
-    return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first())
-
-
 def _blocks(df: DataFrame, rows: int) -> int:
     """Into how many blocks a side is cut, so that none exceeds the row or byte size."""
-    n, size = _measured(df)
+    n, size = measured(df)
     return max(1, math.ceil(n / rows), math.ceil(size / BLOCK_BYTES))
 
 
@@ -204,7 +178,8 @@ def best_matches(
         partial = _block_scan(questions, corpus, scorers, k, exclude_self, question_block, corpus_block)
     order = [F.col("score").desc(), F.col("id")]
     ranked = top_per_key(partial, ["side", "qid"], order, k)
-    return Matches(ranked, None if n_questions is None else n_questions * k * len(scorers))
+    per_question = k * len(scorers)
+    return Matches(ranked, per_question, None if n_questions is None else n_questions * per_question)
 
 
 def _block_scan(questions, corpus, scorers, k, exclude_self, question_block, corpus_block) -> DataFrame:
@@ -259,7 +234,7 @@ def nearest(
         exclude_self,
         **options,
     )
-    return Matches(found.frame.drop("side"), found.row_bound)
+    return found._replace(frame=found.frame.drop("side"))
 
 
 def attach(matches: Matches, corpus: DataFrame, on: str = "id") -> DataFrame:

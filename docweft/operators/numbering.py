@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweft.operators.sizes import fits
+
 BLOCK = 65536
 
 
@@ -70,15 +72,26 @@ def with_neighbours(
         {"_at": F.row_number().over(inner)}
         | {f"_in{i}": F.lag(payload, i).over(inner) for i in range(1, reach + 1)}
     )
+    filled = {
+        name: F.when(F.col("_at") > i, F.col(f"_in{i}")).otherwise(
+            F.try_element_at("_beyond", (F.col("_at") - (i + 1)).cast("int"))
+        )
+        for i, name in enumerate(names, start=1)
+    }
+    spare = ["_block", "_at", "_beyond", *[f"_in{i}" for i in range(1, reach + 1)]]
+    # Only groups that span blocks have edges; a look at the keys alone finds them.
+    wide = df.groupBy(*keys).agg(
+        F.min(order_block(order, width)).alias("_lo"), F.max(order_block(order, width)).alias("_hi")
+    )
+    wide = wide.where("_lo < _hi").select(*keys)
+    n_wide = fits(wide)
+    if n_wide == 0:
+        return local.withColumns({name: F.col(f"_in{i}") for i, name in enumerate(names, start=1)}).drop(*spare)
+    source = df.select(*keys, order, *[c for c in columns if c != order], order_block(order, width).alias("_block"))
+    source = source.join(wide if n_wide is None else F.broadcast(wide), keys, "left_semi")
     # Edge rows of each block, the nearest to the next block last.
     back = F.col(order).asc() if after else F.col(order).desc()
-    edge_rows = top_per_key(
-        df.select(*keys, order, *[c for c in columns if c != order], order_block(order, width).alias("_block")),
-        [*keys, "_block"],
-        [back],
-        reach,
-        "_e",
-    )
+    edge_rows = top_per_key(source, [*keys, "_block"], [back], reach, "_e")
     edges = edge_rows.groupBy(*keys, "_block").agg(
         F.transform(F.sort_array(F.collect_list(F.struct(-F.col("_e"), payload.alias("v")))), lambda r: r["v"]).alias("_edge")
     )
@@ -86,14 +99,7 @@ def with_neighbours(
     none = F.slice("_edge", 1, 0)
     beyond = F.concat(*[F.coalesce(F.lag("_edge", i).over(across), none) for i in range(reach, 0, -1)])
     edges = edges.select(*keys, "_block", beyond.alias("_beyond"))
-    joined = local.join(edges, [*keys, "_block"])
-    filled = {
-        name: F.when(F.col("_at") > i, F.col(f"_in{i}")).otherwise(
-            F.try_element_at("_beyond", (F.col("_at") - (i + 1)).cast("int"))
-        )
-        for i, name in enumerate(names, start=1)
-    }
-    return joined.withColumns(filled).drop("_block", "_at", "_beyond", *[f"_in{i}" for i in range(1, reach + 1)])
+    return local.join(edges, [*keys, "_block"], "left").withColumns(filled).drop(*spare)
 
 
 def newest(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:

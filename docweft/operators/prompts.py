@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweft.functions.text import words
-from docweft.operators.matching import fits
 from docweft.operators.numbering import numbered, with_neighbours
+from docweft.operators.sizes import fits
 
 MAX_CANDIDATES = 256
 MAX_CANDIDATE_BYTES = 8 * 1024 * 1024

@@ -60,61 +60,47 @@ def tool_loop(requests: DataFrame, calls: DataFrame, max_rounds: int = MAX_ROUND
 
     A round looks at the last message only: after a tool call the tool runs,
     after anything else the planner asks for the next call or answers. So odd
-    rounds plan and even rounds run tools, call ``n`` belongs to round
-    ``2 n - 1``, and calls stored by number are each read once. State is one row
-    per open request; items and state are tables in the shared folder, so a
-    lost executor costs a task, not the loop.
+    rounds plan and even rounds run tools, and call ``n`` takes rounds ``2 n - 1``
+    and ``2 n``: one join and one pass. Calls are stored by number and each is
+    read once. State is one row per open request, kept as a table in the shared
+    folder, so a lost executor costs a task, not the loop.
     """
     spark = requests.sparkSession
     root = fresh_path(spark, "tool-loop")
     calls.select("request_id", "name", "x", "y", "call_no").write.partitionBy("call_no").parquet(f"{root}/calls")
     stored = spark.read.schema("request_id BIGINT, name STRING, x DOUBLE, y DOUBLE, call_no BIGINT").parquet(f"{root}/calls")
-    # The call a request waits for, and the last output it has seen.
-    pending = "request_id BIGINT, type STRING, content STRING, name STRING, x DOUBLE, y DOUBLE, output STRING"
-    state = requests.where(~F.col("answered")).select("request_id", F.lit(None).cast("string").alias("output"))
+    schema = "request_id BIGINT, asked STRING, output STRING, answer STRING"
+    state = requests.where(~F.col("answered")).select("request_id", F.lit(None).cast("string").alias("seen"))
     op, x, y = F.col("name"), F.col("x"), F.col("y")
-    for number in range(1, max_rounds + 1):
-        if number % 2 == 1:
-            due = stored.where(F.col("call_no") == (number + 1) // 2).drop("call_no")
-            asked = F.concat(op, F.lit("("), number_text(x), F.lit(", "), number_text(y), F.lit(")"))
-            said = F.concat(F.lit("Answer: "), F.coalesce("output", F.lit("nothing to compute")))
-            step = state.join(due, "request_id", "left").select(
-                "request_id",
-                F.when(op.isNotNull(), "function_call").otherwise("message").alias("type"),
-                F.when(op.isNotNull(), asked).otherwise(said).alias("content"),
-                "name",
-                "x",
-                "y",
-                "output",
-            )
-        else:
-            result = value_or_error(calculator_error(op, y), number_text(calculator_value(op, x, y)))
-            step = state.select(
-                "request_id",
-                F.lit("function_call_output").alias("type"),
-                result.alias("content"),
-                "name",
-                "x",
-                "y",
-                result.alias("output"),
-            )
-        path = f"{root}/rounds/round={number}"
+    asked = F.concat(op, F.lit("("), number_text(x), F.lit(", "), number_text(y), F.lit(")"))
+    result = value_or_error(calculator_error(op, y), number_text(calculator_value(op, x, y)))
+    said = F.concat(F.lit("Answer: "), F.coalesce("seen", F.lit("nothing to compute")))
+    for number in range(1, (max_rounds + 1) // 2 + 1):
+        due = stored.where(F.col("call_no") == number).drop("call_no")
+        step = state.join(due, "request_id", "left").select(
+            "request_id",
+            F.when(op.isNotNull(), asked).alias("asked"),
+            F.when(op.isNotNull(), result).alias("output"),
+            F.when(op.isNull(), said).alias("answer"),
+        )
+        path = f"{root}/calls_done/number={number}"
         step.write.parquet(path)
-        taken = spark.read.schema(pending).parquet(path).where("type <> 'message'")
-        state = taken.select("request_id", "output") if number % 2 == 0 else taken.drop("type", "content")
+        open_ = spark.read.schema(schema).parquet(path).where("answer IS NULL")
+        state = open_.select("request_id", F.col("output").alias("seen"))
         if state.isEmpty():
             break
-    items = (
-        spark.read.schema("request_id BIGINT, type STRING, content STRING, round BIGINT")
-        .option("basePath", f"{root}/rounds")
-        .parquet(f"{root}/rounds")
-        .select("request_id", "round", "type", "content")
-    )
-    # Requests whose last allowed round was used, even by an answer, get the stop message.
-    stopped = items.where(F.col("round") == max_rounds).select(
-        "request_id",
-        F.lit(max_rounds + 1).cast("bigint").alias("round"),
-        F.lit("message").alias("type"),
-        F.lit(STOPPED).alias("content"),
+    done = spark.read.schema(f"{schema}, number BIGINT").option("basePath", f"{root}/calls_done").parquet(f"{root}/calls_done")
+
+    def item(round_, type_, content):
+        return F.struct(round_.cast("bigint").alias("round"), F.lit(type_).alias("type"), content.alias("content"))
+
+    plan, run = 2 * F.col("number") - 1, 2 * F.col("number")
+    answered = F.array(item(plan, "message", F.col("answer")))
+    called = F.array(item(plan, "function_call", F.col("asked")), item(run, "function_call_output", F.col("output")))
+    taken = F.filter(
+        F.when(F.col("answer").isNotNull(), answered).otherwise(called), lambda i: i["round"] <= max_rounds
     )
-    return items.unionByName(stopped)
+    # Whoever uses the last round, even to answer, also gets the stop message.
+    stop = F.array(item(F.lit(max_rounds + 1), "message", F.lit(STOPPED)))
+    ends = F.exists(taken, lambda i: i["round"] == max_rounds)
+    return done.select("request_id", F.inline(F.when(ends, F.concat(taken, stop)).otherwise(taken)))

@@ -258,8 +258,9 @@ def eval_run(spark, sf_dir):
 )
 def prompt_search(spark, sf_dir):
     """The best candidate becomes the next version of its prompt."""
-    winner = best(mean_scores(candidate_scores(spark, sf_dir)))
-    template = candidate_prompts(spark, sf_dir).join(winner.select("name"), "name").select("template")
+    candidates = candidate_prompts(spark, sf_dir)
+    winner = best(mean_scores(candidate_scores(spark, sf_dir, candidates)))
+    template = candidates.join(winner.select("name"), "name").select("template")
     return latest(with_new_version(prompt_registry(spark, sf_dir), F.lit("Brand#7"), template))
 
 

@@ -205,11 +205,12 @@ def training_examples(spark, sf_dir):
 def candidate_prompts(spark, sf_dir):
     """One candidate per language: its shortest document."""
     rows = load(spark, sf_dir, "documents").groupBy(F.col("lang").alias("name"))
-    return rows.agg(F.min_by("text", F.struct("n_chars", "doc_id")).alias("template"))
+    # A few short rows, wanted several times: the texts are read once.
+    return staged(rows.agg(F.min_by("text", F.struct("n_chars", "doc_id")).alias("template")), "candidates")
 
 
-def candidate_scores(spark, sf_dir):
-    cells = matrix(training_examples(spark, sf_dir), candidate_prompts(spark, sf_dir))
+def candidate_scores(spark, sf_dir, candidates=None):
+    cells = matrix(training_examples(spark, sf_dir), candidates or candidate_prompts(spark, sf_dir))
     prompt = F.concat("template", F.lit("\n"), "question")
     return cells.select("conv_id", "turn", "name", shared_words(prompt, F.col("expected")).alias("score"))
 

@@ -80,6 +80,11 @@ def chunks(documents: DataFrame, size: int = 1024, overlap: int = 20) -> DataFra
     )
 
 
+def document_of(chunk: str):
+    """Document id of a chunk id."""
+    return F.expr(f"`{chunk}` div {CHUNKS_PER_TEXT}")
+
+
 def index_rows(documents: DataFrame, size: int = 1024, overlap: int = 20, factory=None) -> DataFrame:
     """Chunks of documents as index rows, embedded."""
     return chunks(documents, size, overlap).select(
