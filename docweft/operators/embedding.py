@@ -7,21 +7,35 @@ returns a function from a list of texts to a matrix.
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweft.functions.text import words
+
 DIM = 64
-_BREAK = re.compile(r"[ \t\r\n]+")
 _REMEMBERED = 200_000
 
 Embedder = Callable[[list[str]], np.ndarray]
 
 
+def coded_words(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Words of a list column as (row, code) per word and the word behind each code.
+
+    Python then handles each different word of a batch once.
+    """
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if len(lists) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    coded = lists.flatten().dictionary_encode()
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(lists)), sizes), codes, coded.dictionary.to_pylist()
+
+
 class HashedWords:
     """The stand-in: word counts by md5 bucket, scaled to length one."""
 
@@ -38,16 +52,14 @@ class HashedWords:
             self.seen[word] = slot
         return slot
 
-    def of_words(self, texts: Iterable[list[str] | None], n: int) -> np.ndarray:
-        out = np.zeros((n, self.dim))
-        for row, words in enumerate(texts):
-            if words:
-                out[row] = np.bincount([self._bucket(w) for w in words], minlength=self.dim)
-        return unit_rows(out)
-
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        cut = ([w for w in _BREAK.split((t or "").lower()) if w] for t in texts)
-        return self.of_words(cut, len(texts))
+    def of_words(self, column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        rows, codes, known = coded_words(column)
+        n = len(column)
+        if not known:
+            return np.zeros((n, self.dim))
+        buckets = np.array([self._bucket(w) for w in known], dtype=np.int64)[codes]
+        counts = np.bincount(rows * self.dim + buckets, minlength=n * self.dim)
+        return unit_rows(counts.reshape(n, self.dim).astype(np.float64))
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -55,17 +67,28 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
+def _lists(matrix: np.ndarray) -> pa.Array:
+    matrix = np.ascontiguousarray(matrix, dtype=np.float64)
+    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * (matrix.shape[1] if matrix.ndim == 2 else 0)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.reshape(-1)))
+
+
 def embed(text: Column, factory: Callable[[], Embedder] | None = None) -> Column:
     """Vector column of a text column; the embedder is built once per task."""
-    factory = factory or HashedWords
 
-    @F.pandas_udf("array<double>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = HashedWords()
+        for batch in batches:
+            yield _lists(model.of_words(batch))
+
+    @F.arrow_udf("array<double>")
+    def modelled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = factory()
         for batch in batches:
-            yield pd.Series(list(model(batch.tolist())))
+            yield _lists(model(batch.to_pylist()))
 
-    return vectors(text)
+    return hashed(words(text)) if factory is None else modelled(text)
 
 
 def dimension_profile(df: DataFrame, column: str, dim: int | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweft.functions.text import words
-from docweft.operators.embedding import HashedWords
+from docweft.operators.embedding import HashedWords, coded_words
 from docweft.operators.matching import CosineScorer, Matches, best_matches
 from docweft.operators.numbering import top_per_key
 from docweft.operators.sizes import MAX_BROADCAST_BYTES, fits
@@ -22,6 +22,7 @@ FUSION = 60
 
 
 MAX_TERMS = 500_000
+_ENTRIES = 4_000_000
 # Stands for "any text" among the terms; no word is empty.
 ANY = ""
 
@@ -95,30 +96,28 @@ class KeywordScorer:
         }
 
     def score(self, state: dict[str, Any], corpus: pa.Table) -> np.ndarray:
-        n_texts = corpus.num_rows
-        slots, texts, gains = [], [], []
-        vocabulary = state["vocabulary"]
-        for row, tokens in enumerate(corpus["words"].to_pylist()):
-            hit = [vocabulary[t] for t in tokens or [] if t in vocabulary]
-            if not hit:
-                continue
-            slot, tf = np.unique(hit, return_counts=True)
-            norm = K1 * (1 - B + B * len(tokens) / self.mean_length)
-            slots.append(slot)
-            texts.append(np.full(len(slot), row))
-            gains.append(tf * (K1 + 1) / (tf + norm))
-        if not slots:
+        n_texts, vocabulary = corpus.num_rows, state["vocabulary"]
+        rows, codes, known = coded_words(corpus["words"])
+        lengths = np.bincount(rows, minlength=n_texts)
+        slots = np.array([vocabulary.get(w, -1) for w in known], dtype=np.int64)[codes] if known else codes
+        held = slots >= 0
+        if not held.any():
             return np.full((state["n"], n_texts), -np.inf)
-        slot, text, gain = np.concatenate(slots), np.concatenate(texts), np.concatenate(gains)
+        pairs, tf = np.unique(rows[held] * len(vocabulary) + slots[held], return_counts=True)
+        text, slot = np.divmod(pairs, len(vocabulary))
+        gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[text] / self.mean_length))
         count = state["count"][slot]
-        at = np.repeat(state["start"][slot], count) + np.arange(count.sum()) - np.repeat(
-            np.cumsum(count) - count, count
-        )
-        cell = state["question"][at] * n_texts + np.repeat(text, count)
-        size = state["n"] * n_texts
-        total = np.bincount(cell, np.repeat(gain, count) * state["idf"][at], size)
-        found = np.bincount(cell, minlength=size) > 0
-        return np.where(found, total, -np.inf).reshape(state["n"], n_texts)
+        total = np.zeros(state["n"] * n_texts)
+        # One entry per (text, term, question), a bounded number of them at a time.
+        cuts = np.searchsorted(np.cumsum(count), np.arange(_ENTRIES, count.sum() + _ENTRIES, _ENTRIES), side="right")
+        for low, high in zip(np.concatenate([[0], cuts[:-1]]), cuts, strict=True):
+            c = count[low:high]
+            first = np.repeat(state["start"][slot[low:high]] - (np.cumsum(c) - c), c)
+            at = first + np.arange(c.sum())
+            cell = state["question"][at] * n_texts + np.repeat(text[low:high], c)
+            total += np.bincount(cell, np.repeat(gain[low:high], c) * state["idf"][at], len(total))
+        # Weights are positive, so a total of zero means no shared term.
+        return np.where(total > 0, total, -np.inf).reshape(state["n"], n_texts)
 
 
 class WordVectorScorer(CosineScorer):
@@ -129,7 +128,7 @@ class WordVectorScorer(CosineScorer):
 
     def score(self, state: tuple[np.ndarray, HashedWords], corpus: pa.Table) -> np.ndarray:
         matrix, model = state
-        return matrix @ model.of_words(corpus["words"].to_pylist(), corpus.num_rows).T
+        return matrix @ model.of_words(corpus["words"]).T
 
 
 def hybrid_ranks(questions: DataFrame, corpus: DataFrame, depth: int, **options) -> Matches:
