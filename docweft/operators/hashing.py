@@ -1,10 +1,14 @@
 """Approximate neighbours by random hyperplanes.
 
 Vectors on the same side of all planes of a table share a bucket, and only
-bucket mates are scored. Copies are folded first: of equal vectors only the
-k + 1 smallest ids can be among anyone's k best, and equal questions have equal
-answers. A bucket that is still large is cut into blocks, and all block pairs
-are scored, so no task holds a whole bucket and no mate is left out.
+bucket mates are scored. Three things keep buckets workable without leaving a
+mate out:
+
+* copies are folded: of equal corpus vectors only the smallest ids can be among
+  anyone's k best, and equal questions have equal answers;
+* a bucket much larger than planned gets further planes of its own;
+* what is still large is cut into blocks, and every block pair is scored, so no
+  task holds a whole bucket.
 """
 
 from __future__ import annotations
@@ -14,111 +18,135 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweft.operators.matching import CosineScorer, block_pairs, vector_matrix
 from docweft.operators.numbering import top_per_key
+from docweft.operators.sizes import fits
+from docweft.session import staged
 
 BUCKET_ROWS = 1024
 BLOCK_ROWS = 4096
+# Planes per table: those of the plan, and those a crowded bucket may add.
+MAX_BITS = 36
+SPARE_BITS = 24
+MAX_CROWDED = 1_000_000
+
+
+def copy_key(vector: str) -> Column:
+    """Equal for equal vectors only."""
+    return F.md5(F.to_binary(F.array_join(F.transform(vector, lambda x: x.cast("string")), ","), F.lit("utf-8")))
 
 
 def signatures(df: DataFrame, dim: int, tables: int, bits: int, seed: int = 7) -> DataFrame:
-    """One row per table: ``(…, tab INT, sig BIGINT)``."""
-    fields = [*df.columns]
+    """One row per table: ``(…, tab INT, sig BIGINT, spare BIGINT)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = np.random.default_rng(seed).normal(size=(dim, tables * bits))
-        weights = 1 << np.arange(bits, dtype=np.int64)
+        per_table = bits + SPARE_BITS
+        planes = np.random.default_rng(seed).normal(size=(dim, tables * per_table))
+        first, further = 1 << np.arange(bits, dtype=np.int64), 1 << np.arange(SPARE_BITS, dtype=np.int64)
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             if rows.num_rows == 0:
                 continue
-            side = (vector_matrix(rows["embedding"]) @ planes > 0).reshape(rows.num_rows, tables, bits)
-            sig = (side * weights).sum(axis=2)
-            take = np.repeat(np.arange(rows.num_rows), tables)
-            out = rows.take(pa.array(take))
+            side = (vector_matrix(rows["embedding"]) @ planes > 0).reshape(rows.num_rows, tables, per_table)
+            out = rows.take(pa.array(np.repeat(np.arange(rows.num_rows), tables)))
             out = out.append_column("tab", pa.array(np.tile(np.arange(tables, dtype=np.int32), rows.num_rows)))
-            out = out.append_column("sig", pa.array(sig.reshape(-1), pa.int64()))
+            out = out.append_column("sig", pa.array((side[:, :, :bits] * first).sum(axis=2).reshape(-1)))
+            out = out.append_column("spare", pa.array((side[:, :, bits:] * further).sum(axis=2).reshape(-1)))
             yield from out.combine_chunks().to_batches()
 
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{types}, tab int, sig bigint").select(*fields, "tab", "sig")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(run, f"{fields}, tab int, sig bigint, spare bigint")
+
+
+def _sent(df: DataFrame, label: str) -> DataFrame:
+    """Store a list of buckets, and broadcast it where it is measured to be small."""
+    stored = staged(df, label)
+    return F.broadcast(stored) if fits(stored, MAX_CROWDED) is not None else stored
 
 
 def nearest_by_hash(
-    vectors: DataFrame,
+    questions: DataFrame,
+    corpus: DataFrame,
     k: int = 4,
+    exclude_self: bool = False,
     tables: int = 12,
     bits: int | None = None,
     bucket_rows: int = BUCKET_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Approximate k nearest others of every vector: ``(qid, id, score, rk)``.
+    """Approximate k nearest corpus rows of every question: ``(qid, id, score, rk)``.
 
-    ``vectors`` has ``id BIGINT, embedding``. Buckets grow with the data unless
-    ``bits`` is given: it is chosen so that an even spread leaves about
-    ``bucket_rows`` vectors per bucket.
+    ``questions`` has ``qid BIGINT, embedding``, ``corpus`` has ``id BIGINT,
+    embedding``. Unless ``bits`` is given, it grows with the corpus so that an
+    even spread leaves about ``bucket_rows`` vectors per bucket.
     """
-    n, dim = vectors.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    n, dim = corpus.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    if not n:
+        return questions.sparkSession.createDataFrame([], "qid bigint, id bigint, score double, rk bigint")
     if bits is None:
-        bits = max(2, min(40, math.ceil(math.log2(max(n, 2) / bucket_rows)))) if n > 4 * bucket_rows else 2
-    keyed = vectors.select("id", "embedding", F.md5(F.to_binary(F.array_join(F.transform(
-        "embedding", lambda x: x.cast("string")), ","), F.lit("utf-8"))).alias("copy"))
-    # k + 1, as an id does not count as its own neighbour.
-    folded = top_per_key(keyed, ["copy"], [F.col("id")], k + 1, "copy_rank")
-    hashed = signatures(folded, dim, tables, bits)
-    asked = hashed.where("copy_rank = 1")
-    # One row per table and signature that occurs; the larger side decides the cut.
-    sizes = hashed.groupBy("tab", "sig").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("c_blocks"),
-        F.ceil(F.count(F.when(F.col("copy_rank") == 1, 1)) / F.lit(block_rows)).cast("int").alias("q_blocks"),
-    ).where("c_blocks > 1 or q_blocks > 1")
-    # At most n / block_rows buckets per table can be that large.
-    few = n * tables / block_rows * 24 <= 64 * 1024 * 1024
-    sizes = F.broadcast(sizes) if few else sizes
+        bits = min(MAX_BITS, max(2, math.ceil(math.log2(n / bucket_rows))))
+    want = k + 1 if exclude_self else k
+    asked = questions.select("qid", "embedding", copy_key("embedding").alias("copy"))
+    # One question per distinct vector, under its smallest id. Stored, as the
+    # buckets are counted before the vectors are sent to them.
+    asked_once = staged(top_per_key(asked, ["copy"], [F.col("qid")], 1, "first").drop("first"), "questions")
+    kept = corpus.select("id", "embedding", copy_key("embedding").alias("copy"))
+    kept = staged(top_per_key(kept, ["copy"], [F.col("id")], want, "nth").select("id", "embedding"), "corpus")
+    left = signatures(asked_once.select("qid", "embedding"), dim, tables, bits)
+    right = signatures(kept, dim, tables, bits)
+    bucket = ["tab", "sig", "spare"]
+    counted = staged(
+        right.groupBy(*bucket).agg(F.count(F.lit(1)).alias("c"), F.lit(0).cast("bigint").alias("q")).unionByName(
+            left.groupBy(*bucket).agg(F.lit(0).cast("bigint").alias("c"), F.count(F.lit(1)).alias("q"))
+        ),
+        "buckets",
+    )
+
+    # Further planes for crowded buckets, as many as bring them back to plan.
+    crowd = counted.groupBy("tab", "sig").agg(F.sum("c").alias("n")).where(F.col("n") > 4 * bucket_rows)
+    mask = F.expr(f"shiftleft(1L, CAST(least(ceil(log2(n / {bucket_rows})), {SPARE_BITS}) AS INT)) - 1")
+    crowd = _sent(crowd.select("tab", "sig", mask.alias("mask")), "crowd")
+
+    def split(df: DataFrame) -> DataFrame:
+        joined = df.join(crowd, ["tab", "sig"], "left")
+        return joined.withColumn("spare", F.col("spare").bitwiseAND(F.coalesce("mask", F.lit(0)))).drop("mask")
+
+    # Blocks of what is still large.
+    parts = split(counted).groupBy(*bucket).agg(
+        F.ceil(F.sum("q") / F.lit(block_rows)).cast("int").alias("q_blocks"),
+        F.ceil(F.sum("c") / F.lit(block_rows)).cast("int").alias("c_blocks"),
+    )
+    parts = _sent(parts.where("q_blocks > 1 OR c_blocks > 1"), "parts")
 
     def cut(df: DataFrame, own: str, other: str, own_id: str, own_n: str, other_n: str) -> DataFrame:
+        sized = split(df).join(parts, bucket, "left")
+        here, there = F.greatest(F.coalesce(own_n, F.lit(1)), F.lit(1)), F.greatest(F.coalesce(other_n, F.lit(1)), F.lit(1))
         return (
-            df.join(sizes, ["tab", "sig"], "left")
-            .withColumn(own, F.pmod(F.xxhash64(own_id), F.coalesce(own_n, F.lit(1))).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(other_n, F.lit(1)) - 1)))
-            .drop("c_blocks", "q_blocks")
+            sized.withColumn(own, F.pmod(F.xxhash64(own_id), here).cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), there - 1)))
+            .select(own_id, "embedding", *bucket, "qb", "cb")
         )
 
-    # New column identities, as both sides come from one frame.
-    asked = asked.select(F.col("id").alias("qid"), *[F.col(c).alias(c) for c in ("embedding", "tab", "sig")])
-    left = cut(asked, "qb", "cb", "qid", "q_blocks", "c_blocks")
-    right = cut(hashed, "cb", "qb", "id", "c_blocks", "q_blocks")
-    keys = ["tab", "sig", "qb", "cb"]
-    # The question itself is removed below, per copy, hence k + 1 here.
-    found = block_pairs(
-        left.select("qid", "embedding", *keys),
-        right.select("id", "embedding", *keys),
-        keys,
+    pairs = block_pairs(
+        cut(left, "qb", "cb", "qid", "q_blocks", "c_blocks"),
+        cut(right, "cb", "qb", "id", "c_blocks", "q_blocks"),
+        [*bucket, "qb", "cb"],
         [("hash", CosineScorer())],
-        k + 1,
+        want,
         False,
     )
-    found = found.groupBy("qid", "id").agg(F.max("score").alias("score"))
-    best = top_per_key(found, ["qid"], [F.col("score").desc(), F.col("id")], k + 1).drop("rk")
-    # Back from one question per distinct vector to every id; the answer list is
-    # k + 1 long, so it travels as an array and a large group of copies is no
-    # more than a skewed equi-join.
-    answers = best.groupBy("qid").agg(F.collect_list(F.struct("score", "id")).alias("found"))
-    answers = answers.join(folded.where("copy_rank = 1").select(F.col("id").alias("qid"), "copy"), "qid")
-    listed = keyed.select(F.col("id").alias("qid"), "copy").join(answers.drop("qid"), "copy")
-    rest = F.filter(
-        F.array_sort(
-            "found",
-            lambda a, b: F.when(a["score"] > b["score"], -1)
-            .when(a["score"] < b["score"], 1)
-            .when(a["id"] < b["id"], -1)
-            .when(a["id"] > b["id"], 1)
-            .otherwise(0),
-        ),
-        lambda m: m["id"] != F.col("qid"),
-    )
+    found = pairs.groupBy("qid", "id").agg(F.max("score").alias("score"))
+    order = [F.col("score").desc(), F.col("id")]
+    best = top_per_key(found, ["qid"], order, want)
+
+    # Back to every question. An answer list holds at most k + 1 rows and travels
+    # as one array, so many copies of a question are a plain skewed equi-join.
+    answers = best.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rk", "id", "score"))).alias("found"))
+    answers = answers.join(asked_once.select("qid", "copy"), "qid").select("copy", "found")
+    listed = asked.select("qid", "copy").join(answers, "copy")
+    rest = F.filter("found", lambda m: m["id"] != F.col("qid")) if exclude_self else F.col("found")
     ranked = listed.select("qid", F.posexplode(F.slice(rest, 1, k)).alias("pos", "m"))
-    return ranked.select("qid", F.col("m.id").alias("id"), F.col("m.score").alias("score"), (F.col("pos") + 1).cast("bigint").alias("rk"))
+    return ranked.select("qid", "m.id", "m.score", (F.col("pos") + 1).cast("bigint").alias("rk"))

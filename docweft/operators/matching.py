@@ -94,18 +94,24 @@ class _Best:
         scores = np.round(scores, 6)
         if self.exclude_self:
             scores[self.qids[:, None] == ids[None, :]] = -np.inf
-        floor = self.scores[:, -1:]
-        open_cells = (scores >= floor) & (scores > -np.inf)
-        for q in np.flatnonzero(open_cells.any(axis=1)):
-            hit = np.flatnonzero(open_cells[q])
-            found = scores[q, hit]
-            if len(hit) > self.k:
-                kth = np.partition(found, len(found) - self.k)[len(found) - self.k]
-                hit, found = hit[found >= kth], found[found >= kth]
-            all_scores = np.concatenate([self.scores[q], found])
-            all_ids = np.concatenate([self.ids[q], ids[hit]])
-            order = np.lexsort((all_ids, -all_scores))[: self.k]
-            self.scores[q], self.ids[q] = all_scores[order], all_ids[order]
+        better = (scores >= self.scores[:, -1:]) & (scores > -np.inf)
+        at = np.flatnonzero(better.any(axis=1))
+        if len(at) == 0:
+            return
+        kept_ids = self.ids[at]
+        known, place = np.unique(np.concatenate([kept_ids.ravel(), ids]), return_inverse=True)
+        kept_place = place[: kept_ids.size].reshape(kept_ids.shape)
+        new_place = np.broadcast_to(place[kept_ids.size :], (len(at), len(ids)))
+        # One whole number per cell orders by score, then by smaller id.
+        found = np.concatenate([self.scores[at], scores[at]], axis=1)
+        held = found > -np.inf
+        micros = np.rint(np.where(held, found, 0) * 1e6).astype(np.int64)
+        places = np.concatenate([kept_place, new_place], axis=1)
+        order = np.where(held, micros * len(known) - places, np.iinfo(np.int64).min + 1)
+        top = np.argpartition(-order, self.k - 1, axis=1)[:, : self.k]
+        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(order, top, 1), axis=1), 1)
+        self.scores[at] = np.take_along_axis(found, top, 1)
+        self.ids[at] = known[np.take_along_axis(places, top, 1)]
 
     def rows(self, side: str) -> pa.RecordBatch:
         q, j = np.nonzero(self.scores > -np.inf)

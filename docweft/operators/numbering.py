@@ -19,8 +19,10 @@ from docweft.operators.sizes import fits
 BLOCK = 65536
 
 
-def order_block(order: str, width: int = BLOCK) -> Column:
-    return F.expr(f"`{order}` div {width}")
+def _blocked(df: DataFrame, keys: Sequence[str], order: str, width: int) -> DataFrame:
+    """Add ``_group`` and ``_part``, a group's block. Structs, as those join on nulls too."""
+    block = F.expr(f"`{order}` div {width}").alias("block")
+    return df.withColumns({"_group": F.struct(*keys), "_part": F.struct(F.struct(*keys).alias("group"), block)})
 
 
 def numbered(
@@ -32,20 +34,19 @@ def numbered(
     width: int = BLOCK,
 ) -> DataFrame:
     """Add the 1-based position of each row in its group, and the group size if named."""
-    keys = list(keys)
-    rows = df.withColumn("_block", order_block(order, width))
-    inner = Window.partitionBy(*keys, "_block").orderBy(order)
-    local = rows.withColumn("_local", F.row_number().over(inner))
-    blocks = rows.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    across = Window.partitionBy(*keys).orderBy("_block")
-    before = F.sum("_n").over(across) - F.col("_n")
-    blocks = blocks.select(
-        *keys, "_block", before.alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_size")
+    rows = _blocked(df, keys, order, width)
+    local = rows.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
+    parts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy("_part.group")
+    parts = parts.select(
+        "_part",
+        (F.sum("_n").over(group.orderBy("_part.block")) - F.col("_n")).alias("_before"),
+        F.sum("_n").over(group).alias("_size"),
     )
-    out = local.join(blocks, [*keys, "_block"]).withColumn(number, F.col("_local") + F.col("_before"))
+    out = local.join(parts, "_part").withColumn(number, F.col("_local") + F.col("_before"))
     if total:
         out = out.withColumn(total, F.col("_size"))
-    return out.drop("_block", "_local", "_before", "_size")
+    return out.drop("_group", "_part", "_local", "_before", "_size")
 
 
 def with_neighbours(
@@ -64,42 +65,40 @@ def with_neighbours(
     come from the edge rows of as many neighbouring blocks as there are names: a
     block that occurs is never empty.
     """
-    keys, reach = list(keys), len(names)
+    reach = len(names)
     payload = F.struct(*columns)
-    ahead = F.col(order).desc() if after else F.col(order).asc()
-    inner = Window.partitionBy(*keys, "_block").orderBy(ahead)
-    local = df.withColumn("_block", order_block(order, width)).withColumns(
+    rows = _blocked(df, keys, order, width)
+    inner = Window.partitionBy("_part").orderBy(F.col(order).desc() if after else F.col(order).asc())
+    local = rows.withColumns(
         {"_at": F.row_number().over(inner)}
         | {f"_in{i}": F.lag(payload, i).over(inner) for i in range(1, reach + 1)}
     )
-    filled = {
-        name: F.when(F.col("_at") > i, F.col(f"_in{i}")).otherwise(
-            F.try_element_at("_beyond", (F.col("_at") - (i + 1)).cast("int"))
-        )
-        for i, name in enumerate(names, start=1)
-    }
-    spare = ["_block", "_at", "_beyond", *[f"_in{i}" for i in range(1, reach + 1)]]
+    spare = ["_group", "_part", "_at", "_beyond", *[f"_in{i}" for i in range(1, reach + 1)]]
     # Only groups that span blocks have edges; a look at the keys alone finds them.
-    wide = df.groupBy(*keys).agg(
-        F.min(order_block(order, width)).alias("_lo"), F.max(order_block(order, width)).alias("_hi")
-    )
-    wide = wide.where("_lo < _hi").select(*keys)
+    wide = rows.groupBy("_group").agg(F.min("_part.block").alias("_lo"), F.max("_part.block").alias("_hi"))
+    wide = wide.where("_lo < _hi").select("_group")
     n_wide = fits(wide)
     if n_wide == 0:
         return local.withColumns({name: F.col(f"_in{i}") for i, name in enumerate(names, start=1)}).drop(*spare)
-    source = df.select(*keys, order, *[c for c in columns if c != order], order_block(order, width).alias("_block"))
-    source = source.join(wide if n_wide is None else F.broadcast(wide), keys, "left_semi")
+    source = rows.select("_group", "_part", F.col(order).alias("_order"), payload.alias("_value"))
+    source = source.join(wide if n_wide is None else F.broadcast(wide), "_group", "left_semi")
     # Edge rows of each block, the nearest to the next block last.
-    back = F.col(order).asc() if after else F.col(order).desc()
-    edge_rows = top_per_key(source, [*keys, "_block"], [back], reach, "_e")
-    edges = edge_rows.groupBy(*keys, "_block").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct(-F.col("_e"), payload.alias("v")))), lambda r: r["v"]).alias("_edge")
-    )
-    across = Window.partitionBy(*keys).orderBy(F.col("_block").desc() if after else F.col("_block").asc())
+    back = F.col("_order").asc() if after else F.col("_order").desc()
+    edge_rows = top_per_key(source, ["_part"], [back], reach, "_e")
+    last_first = F.sort_array(F.collect_list(F.struct((-F.col("_e")).alias("e"), F.col("_value").alias("v"))))
+    edges = edge_rows.groupBy("_part").agg(F.transform(last_first, lambda r: r["v"]).alias("_edge"))
+    block = F.col("_part.block")
+    across = Window.partitionBy("_part.group").orderBy(block.desc() if after else block.asc())
     none = F.slice("_edge", 1, 0)
     beyond = F.concat(*[F.coalesce(F.lag("_edge", i).over(across), none) for i in range(reach, 0, -1)])
-    edges = edges.select(*keys, "_block", beyond.alias("_beyond"))
-    return local.join(edges, [*keys, "_block"], "left").withColumns(filled).drop(*spare)
+    edges = edges.select("_part", beyond.alias("_beyond"))
+    filled = {
+        name: F.when(F.col("_at") > i, F.col(f"_in{i}")).otherwise(
+            F.try_element_at("_beyond", (F.col("_at") - (i + 1)).cast("int"))
+        )
+        for i, name in enumerate(names, start=1)
+    }
+    return local.join(edges, "_part", "left").withColumns(filled).drop(*spare)
 
 
 def newest(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:

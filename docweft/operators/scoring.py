@@ -8,24 +8,28 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
 Model = Callable[[list[str]], list[str]]
 
 
 def batch_predict(df: DataFrame, prompt: str, factory: Callable[[], Model], output: str = "prediction") -> DataFrame:
-    """Add a text column scored from ``prompt``, batch by batch."""
+    """Add a text column scored from ``prompt``, batch by batch.
+
+    Only the prompts go to the model and only the answers come back.
+    """
     if prompt not in df.columns:
         raise ValueError(f"no column {prompt}")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = factory()
         for batch in batches:
-            yield batch.assign(**{output: model(batch[prompt].tolist())})
+            yield pa.array(model(batch.to_pylist()), pa.string())
 
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(output, T.StringType())]))
+    return df.withColumn(output, run(F.col(prompt)))
 
 
 def word_count_model() -> Model:

@@ -10,19 +10,30 @@ MAX_BROADCAST_ROWS = 4096
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def _bytes(column: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StringType):
+        size = F.octet_length(column)
+    elif isinstance(kind, T.StructType):
+        size = F.lit(0)
+        for field in kind.fields:
+            size = size + _bytes(column[field.name], field.dataType)
+    elif isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, T.StringType | T.StructType):
+            size = F.aggregate(column, F.lit(0).cast("bigint"), lambda acc, x: acc + _bytes(x, inner))
+        else:
+            size = F.size(column) * 8
+    else:
+        size = F.lit(8)
+    return F.coalesce(size, F.lit(0)).cast("bigint")
+
+
 def _row_bytes(df: DataFrame) -> Column:
     """Bytes one row takes once sent to a task, from its column types."""
-    size = F.lit(0).cast("bigint")
+    total = F.lit(0).cast("bigint")
     for field in df.schema.fields:
-        if isinstance(field.dataType, T.StringType):
-            size = size + F.octet_length(F.coalesce(F.col(field.name), F.lit("")))
-        elif isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.StringType):
-            size = size + F.octet_length(F.array_join(F.col(field.name), " ", " "))
-        elif isinstance(field.dataType, T.ArrayType):
-            size = size + F.size(field.name) * 8
-        else:
-            size = size + 8
-    return size
+        total = total + _bytes(F.col(f"`{field.name}`"), field.dataType)
+    return total
 
 
 def measured(df: DataFrame) -> tuple[int, int]:

@@ -279,6 +279,7 @@ def usage_report(spark, sf_dir):
     )
 
 
+# Fixed value: how a transcribed question is asked.
 ASK = "Magic 8 Ball please answer this question -  {question}"
 
 

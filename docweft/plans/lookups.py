@@ -60,7 +60,8 @@ def knn_topk(spark, sf_dir):
 
 @query("knn_lsh")
 def knn_lsh(spark, sf_dir):
-    return nearest_by_hash(vectors(spark, sf_dir).select("id", "embedding"), NEIGHBOURS)
+    rows = vectors(spark, sf_dir)
+    return nearest_by_hash(rows.withColumnRenamed("id", "qid"), rows, NEIGHBOURS, exclude_self=True)
 
 
 HYBRID_DEPTH = 20

@@ -76,14 +76,19 @@ def test_scores_never_increase_with_rank(vectors):
         assert scores == sorted(scores, reverse=True)
 
 
+def hashed_self(df, k, **options):
+    return by_question(nearest_by_hash(df.withColumnRenamed("id", "qid"), df, k, exclude_self=True, **options))
+
+
+def recall(exact, got, k):
+    return sum(len({i for i, _ in exact[q]} & {i for i, _ in got.get(q, [])}) for q in exact) / (k * len(exact))
+
+
 def test_hashed_neighbours(vectors):
     df, matrix, ids = vectors
-    exact = brute(matrix, ids, 5)
-    for block_rows in (4096, 16):
-        got = by_question(nearest_by_hash(df, 5, tables=16, bits=2, block_rows=block_rows))
-        found = sum(len(set(i for i, _ in exact[q]) & set(i for i, _ in got.get(q, []))) for q in ids)
-        assert found / (5 * len(ids)) >= 0.9
-        assert all(q not in [i for i, _ in answers] and len(answers) <= 5 for q, answers in got.items())
+    got = hashed_self(df, 5, tables=16, bits=2)
+    assert recall(brute(matrix, ids, 5), got, 5) >= 0.9
+    assert all(q not in [i for i, _ in answers] and len(answers) <= 5 for q, answers in got.items())
     # All copies find each other, smallest ids first.
     copies = sorted(ids[::3])
     assert [i for i, s in got[copies[0]]] == copies[1:6]
@@ -91,9 +96,26 @@ def test_hashed_neighbours(vectors):
 
 def test_hashed_blocks_do_not_change_answers(vectors):
     df, _, _ = vectors
-    whole = by_question(nearest_by_hash(df, 4, tables=4, bits=3))
-    cut = by_question(nearest_by_hash(df, 4, tables=4, bits=3, block_rows=7))
-    assert whole == cut
+    assert hashed_self(df, 4, tables=4, bits=3) == hashed_self(df, 4, tables=4, bits=3, block_rows=7)
+
+
+def test_crowded_buckets_get_more_planes(spark):
+    """All vectors lie close together, so the planned planes hardly part them."""
+    rng = np.random.default_rng(11)
+    matrix = (np.ones(DIM) * 3 + rng.normal(size=(300, DIM))).astype(np.float32)
+    rows = [(i, [float(x) for x in m]) for i, m in enumerate(matrix)]
+    df = spark.createDataFrame(rows, "id bigint, embedding array<float>")
+    got = hashed_self(df, 3, tables=24, bits=2, bucket_rows=16, block_rows=16)
+    assert recall(brute(matrix.astype(float), list(range(300)), 3), got, 3) >= 0.8
+
+
+def test_hashed_questions_on_another_table(spark, vectors):
+    df, matrix, ids = vectors
+    asked = spark.createDataFrame([(7, [float(x) for x in matrix[1]]), (8, [float(x) for x in matrix[1]])],
+                                  "qid bigint, embedding array<float>")
+    got = by_question(nearest_by_hash(asked, df, 3, tables=16, bits=2))
+    assert got[7] == got[8] and got[7][0] == (ids[1], 1.0)
+    assert nearest_by_hash(asked, df.where("id < 0"), 3).count() == 0
 
 
 @pytest.fixture(scope="module")

@@ -41,6 +41,17 @@ def test_negative_order_keys(spark):
     assert got == [(o, n + 1) for n, o in enumerate(range(-9, 9))]
 
 
+def test_null_keys_are_a_group(spark):
+    df = spark.createDataFrame([(None, i) for i in range(9)] + [("a", i) for i in range(3)], "k string, o bigint")
+    for width in (2, 100):
+        got = numbered(df, ["k"], "o", "n", "size", width).collect()
+        assert sorted((str(r.k), r.o, r.n, r["size"]) for r in got) == sorted(
+            [("None", i, i + 1, 9) for i in range(9)] + [("a", i, i + 1, 3) for i in range(3)]
+        )
+        before = with_neighbours(df, ["k"], "o", ["o"], ["p"], width=width).collect()
+        assert all(r.p is None if r.o == 0 else r.p.o == r.o - 1 for r in before) and len(before) == 12
+
+
 def test_newest_and_top(skewed):
     df, local = skewed
     last = {r.k: r.o for r in newest(df, ["k"], df.o.desc()).collect()}
