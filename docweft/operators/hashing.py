@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from docweft.operators.matching import CosineScorer, block_pairs, vector_matrix
 from docweft.operators.numbering import top_per_key
-from docweft.operators.sizes import fits
+from docweft.operators.sizes import sent
 from docweft.session import staged
 
 BUCKET_ROWS = 1024
@@ -61,12 +61,6 @@ def signatures(df: DataFrame, dim: int, tables: int, bits: int, seed: int = 7) -
     return df.mapInArrow(run, f"{fields}, tab int, sig bigint, spare bigint")
 
 
-def _sent(df: DataFrame, label: str) -> DataFrame:
-    """Store a list of buckets, and broadcast it where it is measured to be small."""
-    stored = staged(df, label)
-    return F.broadcast(stored) if fits(stored, MAX_CROWDED) is not None else stored
-
-
 def nearest_by_hash(
     questions: DataFrame,
     corpus: DataFrame,
@@ -108,7 +102,7 @@ def nearest_by_hash(
     # Further planes for crowded buckets, as many as bring them back to plan.
     crowd = counted.groupBy("tab", "sig").agg(F.sum("c").alias("n")).where(F.col("n") > 4 * bucket_rows)
     mask = F.expr(f"shiftleft(1L, CAST(least(ceil(log2(n / {bucket_rows})), {SPARE_BITS}) AS INT)) - 1")
-    crowd = _sent(crowd.select("tab", "sig", mask.alias("mask")), "crowd")
+    crowd = sent(staged(crowd.select("tab", "sig", mask.alias("mask")), "crowd"), MAX_CROWDED)
 
     def split(df: DataFrame) -> DataFrame:
         joined = df.join(crowd, ["tab", "sig"], "left")
@@ -119,7 +113,7 @@ def nearest_by_hash(
         F.ceil(F.sum("q") / F.lit(block_rows)).cast("int").alias("q_blocks"),
         F.ceil(F.sum("c") / F.lit(block_rows)).cast("int").alias("c_blocks"),
     )
-    parts = _sent(parts.where("q_blocks > 1 OR c_blocks > 1"), "parts")
+    parts = sent(staged(parts.where("q_blocks > 1 OR c_blocks > 1"), "parts"), MAX_CROWDED)
 
     def cut(df: DataFrame, own: str, other: str, own_id: str, own_n: str, other_n: str) -> DataFrame:
         sized = split(df).join(parts, bucket, "left")

@@ -158,7 +158,7 @@ def hybrid(questions: DataFrame, corpus: DataFrame, k: int = 5, depth: int = 20,
     return fused(hybrid_ranks(questions, corpus, depth, **options).frame, k)
 
 
-def reranked(questions: DataFrame, corpus: DataFrame, candidates: Matches, keep: int) -> DataFrame:
+def reranked(questions: DataFrame, corpus: DataFrame, candidates: Matches, keep: int) -> Matches:
     """Candidates rescored by how many different question words they hold.
 
     ``(qid, id, overlap, rk)``, best ``keep`` per question, ties to the smaller id.
@@ -171,4 +171,6 @@ def reranked(questions: DataFrame, corpus: DataFrame, candidates: Matches, keep:
     small = candidates.row_bound is not None and fits(asked, max_bytes=MAX_BROADCAST_BYTES // candidates.per_question)
     texts = corpus.select("id", words(F.col("text")).alias("_words")).join(F.broadcast(wanted) if small else wanted, "id")
     scored = texts.select("qid", "id", F.size(F.array_intersect("_asked", "_words")).cast("bigint").alias("overlap"))
-    return top_per_key(scored, ["qid"], [F.col("overlap").desc(), F.col("id")], keep)
+    ranked = top_per_key(scored, ["qid"], [F.col("overlap").desc(), F.col("id")], keep)
+    bound = candidates.row_bound
+    return Matches(ranked, keep, None if bound is None else bound // candidates.per_question * keep)

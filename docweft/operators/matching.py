@@ -27,7 +27,7 @@ from docweft.operators.embedding import unit_rows
 from docweft.operators.numbering import top_per_key
 from docweft.operators.sizes import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, fits, measured
 
-QUESTION_BLOCK = 4096
+QUESTION_BLOCK = 16384
 CORPUS_BLOCK = 65536
 BLOCK_BYTES = 64 * 1024 * 1024
 # Rows scored at once, and cells of one score matrix.

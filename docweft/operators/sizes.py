@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_BROADCAST_ROWS = 4096
+MAX_BROADCAST_ROWS = 16384
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -45,3 +45,8 @@ def fits(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX
     """Row count of a frame small enough to be sent everywhere, else ``None``."""
     n, size = measured(df)
     return n if n <= max_rows and size <= max_bytes else None
+
+
+def sent(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """The frame marked for broadcast where it fits, else as it is, for a shuffled join."""
+    return F.broadcast(df) if fits(df, max_rows) is not None else df

@@ -16,6 +16,7 @@ from docweft.functions.tools import (
     value_or_error,
 )
 from docweft.operators.numbering import newest
+from docweft.operators.sizes import sent
 from docweft.session import fresh_path
 
 MAX_ROUNDS = 10
@@ -36,9 +37,10 @@ def dispatched(calls: DataFrame, registry: DataFrame) -> DataFrame:
     """Each call with its tool's output as text, or an error.
 
     ``calls`` has ``name, x, y``, ``registry`` has ``name``. A name the registry
-    lacks becomes an error row, not a failed job.
+    lacks becomes an error row, not a failed job. A tool may take any share of
+    the calls: the registry is sent to them unless it is very large.
     """
-    known = registry.select("name", F.lit(True).alias("_known"))
+    known = sent(registry.select("name", F.lit(True).alias("_known")))
     op, x, y = F.col("name"), F.col("x"), F.col("y")
     error = F.when(F.col("_known").isNull(), F.concat(F.lit("Unknown tool: "), op)).otherwise(calculator_error(op, y))
     joined = calls.join(known, "name", "left").withColumn("error", error)

@@ -29,7 +29,6 @@ from docweft.plans.frames import (
     SQL_CALLS,
     SQL_REGISTRY,
     chat_requests,
-    documents,
     embedded,
     prompt_registry,
     questions,
@@ -115,9 +114,8 @@ _HISTORY_PARTS = HISTORY_PROMPT.replace("{context}", "{input}").replace("{chat_h
 )
 def history_rag(spark, sf_dir):
     """Question with history, reranked context, and the history itself in one prompt."""
-    ranked = history_ranked(spark, sf_dir)
-    texts = ranked.join(documents(spark, sf_dir).select("id", "text"), "id")
-    context = joined_context(texts, ["qid"])
+    corpus = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    context = joined_context(attach(history_ranked(spark, sf_dir), corpus), ["qid"])
     said = F.transform("history", lambda p: F.concat(F.lit("Human: "), p["human"], F.lit("\nAI: "), p["ai"]))
     asked = chat_requests(spark, sf_dir).select("qid", "text", F.array_join(said, "\n").alias("said"))
     values = {"input": F.col("text"), "context": F.col("context"), "chat_history": F.col("said")}

@@ -109,7 +109,7 @@ rr AS (SELECT * FROM (SELECT qid, id, overlap, row_number() OVER (PARTITION BY q
 )
 def rerank(spark, sf_dir):
     asked, corpus = questions(spark, sf_dir), documents(spark, sf_dir)
-    return reranked(asked, corpus, nearest(asked, embedded(corpus), 10), 3)
+    return reranked(asked, corpus, nearest(asked, embedded(corpus), 10), 3).frame
 
 
 SQL_HISTORY_ASKED = f"""{SQL_REQUESTS},
@@ -138,7 +138,7 @@ def history_ranked(spark, sf_dir):
 
 @query("history_rerank", f"WITH {SQL_HISTORY_RERANK} SELECT qid, id, overlap, rk FROM rr")
 def history_rerank(spark, sf_dir):
-    return history_ranked(spark, sf_dir)
+    return history_ranked(spark, sf_dir).frame
 
 
 @query(

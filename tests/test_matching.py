@@ -182,7 +182,7 @@ def test_rerank(texts, options):
     c, q, _, _ = texts
     candidates = nearest(q, c.select("id", embed(F.col("text")).alias("embedding")), 8, **options)
     got = {}
-    for r in sorted(reranked(q, c, candidates, 2).collect(), key=lambda r: (r.qid, r.rk)):
+    for r in sorted(reranked(q, c, candidates, 2).frame.collect(), key=lambda r: (r.qid, r.rk)):
         got.setdefault(r.qid, []).append((r.id, r.overlap))
     assert got[10] == [(1, 4), (8, 4)]
     assert got[11] == [(4, 2), (7, 1)]
