@@ -164,7 +164,7 @@ def routed_answer(spark, sf_dir):
 def order_calls(spark, sf_dir):
     """The calls an order's planner can reach: a round runs one step, so ten calls never all run."""
     calls = tool_calls(spark, sf_dir)
-    order = [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")]
+    order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "x", "y")]
     return top_per_key(calls, ["request_id"], order, MAX_ROUNDS, "call_no")
 
 
@@ -172,7 +172,7 @@ _X, _Y = sql_number("x"), sql_number("y")
 SQL_LOOP = f"""{SQL_CALLS},
 open_r AS (SELECT o_orderkey AS request_id FROM orders WHERE o_orderstatus <> 'F'),
 n_calls AS (SELECT *, coalesce({sql_error()}, {sql_number(sql_value())}) AS result,
-  row_number() OVER (PARTITION BY request_id ORDER BY l_linenumber, l_partkey, l_suppkey) AS j FROM calls),
+  row_number() OVER (PARTITION BY request_id ORDER BY l_linenumber, l_partkey, l_suppkey, x, y) AS j FROM calls),
 mine AS (SELECT c.* FROM n_calls c JOIN open_r o ON o.request_id = c.request_id),
 total AS (SELECT o.request_id, count(m.j) AS m, arg_max(m.result, m.j) AS final
   FROM open_r o LEFT JOIN mine m ON m.request_id = o.request_id GROUP BY o.request_id)
