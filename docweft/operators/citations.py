@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from docweft.functions.text import citations, same_paper
 from docweft.operators.numbering import newest
+from docweft.operators.sizes import sent
+from docweft.session import staged
+
+MAX_FRONTIER = 1_000_000
 
 
 def found_citations(texts: DataFrame, src: str, text: str) -> DataFrame:
@@ -31,11 +35,13 @@ def two_hops(edges: DataFrame, seeds: DataFrame, stored: DataFrame | None = None
     Papers of the second hop are listed, not followed. ``seeds`` and ``stored``
     have one column ``paper``; stored papers are left out. Both joins are on
     the citing paper against distinct frontier rows, so they never multiply
-    edges.
+    edges, and the frontier is sent to the edges while it is small: a paper with
+    very many references is then read where it lies.
     """
-    hop1 = edges.join(seeds.select(F.col("paper").alias("src")).distinct(), "src", "left_semi")
-    hop1 = hop1.select(F.col("dst").alias("paper")).distinct()
-    hop2 = edges.join(hop1.select(F.col("paper").alias("src")), "src", "left_semi")
+    first = staged(seeds.select(F.col("paper").alias("src")).distinct(), "seeds")
+    hop1 = edges.join(sent(first, MAX_FRONTIER), "src", "left_semi")
+    hop1 = staged(hop1.select(F.col("dst").alias("paper")).distinct(), "hop")
+    hop2 = edges.join(sent(hop1.select(F.col("paper").alias("src")), MAX_FRONTIER), "src", "left_semi")
     hop2 = hop2.select(F.col("dst").alias("paper")).distinct()
     reached = hop1.withColumn("hop", F.lit(1).cast("bigint")).unionByName(
         hop2.withColumn("hop", F.lit(2).cast("bigint"))

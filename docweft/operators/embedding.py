@@ -91,6 +91,11 @@ def embed(text: Column, factory: Callable[[], Embedder] | None = None) -> Column
     return hashed(words(text)) if factory is None else modelled(text)
 
 
+def model_dimension(factory: Callable[[], Embedder]) -> int:
+    """Vector length of a model, found by embedding one probe text."""
+    return factory()(["hello"]).shape[1]
+
+
 def dimension_profile(df: DataFrame, column: str, dim: int | None = None) -> DataFrame:
     """Smallest and largest vector size, and how many differ from ``dim`` (default: the largest)."""
     sizes = df.groupBy(F.size(column).alias("d")).agg(F.count(F.lit(1)).alias("n"))

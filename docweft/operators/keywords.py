@@ -13,7 +13,7 @@ from docweft.functions.text import words
 from docweft.operators.embedding import HashedWords, coded_words
 from docweft.operators.matching import CosineScorer, Matches, best_matches
 from docweft.operators.numbering import top_per_key
-from docweft.operators.sizes import MAX_BROADCAST_BYTES, fits
+from docweft.operators.sizes import MAX_BROADCAST_BYTES, fits, sent
 from docweft.session import staged
 
 K1 = 1.2
@@ -61,7 +61,7 @@ def weighted_terms(asked: DataFrame, statistics: DataFrame, n_texts: int) -> Dat
     Terms the corpus lacks are dropped: they score nothing.
     """
     weight = F.log(1 + (F.lit(float(n_texts)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.join(statistics, "term").select("qid", "term", weight.alias("idf"))
+    weighted = asked.join(sent(statistics, MAX_TERMS), "term").select("qid", "term", weight.alias("idf"))
     # A question's own distinct words: no larger than the question itself.
     return weighted.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("t")).select(
         "qid", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf")

@@ -142,7 +142,7 @@ def run_counts(spark, sf_dir):
               FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) GROUP BY lang""",
 )
 def eval_text_metrics(spark, sf_dir):
-    texts = load(spark, sf_dir, "documents").select(
+    texts = load_spread(spark, sf_dir, "documents", "doc_id").select(
         "doc_id", F.col("lang").alias("run"), n_words(F.col("text")).alias("n"), sentences(F.col("text")).alias("s")
     )
     marked = texts.join(load(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")

@@ -48,7 +48,7 @@ SQL_PAGE = (
 
 @query("page_text", f"SELECT page_id, url, {SQL_PAGE} AS text FROM pages")
 def pages_as_text(spark, sf_dir):
-    return load(spark, sf_dir, "pages").select("page_id", "url", page_text(F.col("html")).alias("text"))
+    return load_spread(spark, sf_dir, "pages", "page_id").select("page_id", "url", page_text(F.col("html")).alias("text"))
 
 
 @query(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweft.functions.text import words
-from docweft.operators.embedding import dimension_profile, embed
+from docweft.operators.embedding import dimension_profile, embed, model_dimension
 from docweft.operators.hashing import nearest_by_hash
 from docweft.operators.keywords import hybrid, reranked
 from docweft.operators.matching import nearest
@@ -193,6 +193,7 @@ def test_embedding_is_a_pluggable_model(spark):
     def factory():
         return lambda texts: np.array([[float(len(t)), 1.0] for t in texts])
 
+    assert model_dimension(factory) == 2
     df = spark.createDataFrame([("abc",), ("",)], "t string")
     assert [r.v for r in df.select(embed(F.col("t"), factory).alias("v")).collect()] == [[3.0, 1.0], [0.0, 1.0]]
 

@@ -49,6 +49,7 @@ def duck(skewed):
 @pytest.fixture
 def tight(spark, monkeypatch):
     """The settings of large data: small blocks, nothing broadcast."""
+    import docweft.operators.citations as citations
     import docweft.operators.keywords as keywords
     import docweft.operators.matching as matching
     import docweft.operators.numbering as numbering
@@ -60,7 +61,8 @@ def tight(spark, monkeypatch):
 
     for module in (keywords, matching, prompts):
         monkeypatch.setattr(module, "fits", never)
-    monkeypatch.setattr(tools, "sent", lambda df, *args: df)
+    for module in (tools, keywords, citations):
+        monkeypatch.setattr(module, "sent", lambda df, *args: df)
     for function in (numbering.numbered, numbering.with_neighbours):
         values = tuple(7 if v == numbering.BLOCK else v for v in function.__defaults__)
         monkeypatch.setattr(function, "__defaults__", values)
