@@ -94,24 +94,23 @@ class _Best:
         scores = np.round(scores, 6)
         if self.exclude_self:
             scores[self.qids[:, None] == ids[None, :]] = -np.inf
-        better = (scores >= self.scores[:, -1:]) & (scores > -np.inf)
-        at = np.flatnonzero(better.any(axis=1))
-        if len(at) == 0:
+        open_ = (scores >= self.scores[:, -1:]) & (scores > -np.inf)
+        if len(ids) > self.k and np.count_nonzero(open_) > 4 * self.scores.size:
+            # Nothing below the slice's own k-th score can be among the k best; ties stay.
+            open_ &= scores >= np.partition(scores, -self.k, axis=1)[:, [-self.k]]
+        q, j = np.nonzero(open_)
+        if len(q) == 0:
             return
-        kept_ids = self.ids[at]
-        known, place = np.unique(np.concatenate([kept_ids.ravel(), ids]), return_inverse=True)
-        kept_place = place[: kept_ids.size].reshape(kept_ids.shape)
-        new_place = np.broadcast_to(place[kept_ids.size :], (len(at), len(ids)))
-        # One whole number per cell orders by score, then by smaller id.
-        found = np.concatenate([self.scores[at], scores[at]], axis=1)
-        held = found > -np.inf
-        micros = np.rint(np.where(held, found, 0) * 1e6).astype(np.int64)
-        places = np.concatenate([kept_place, new_place], axis=1)
-        order = np.where(held, micros * len(known) - places, np.iinfo(np.int64).min + 1)
-        top = np.argpartition(-order, self.k - 1, axis=1)[:, : self.k]
-        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(order, top, 1), axis=1), 1)
-        self.scores[at] = np.take_along_axis(found, top, 1)
-        self.ids[at] = known[np.take_along_axis(places, top, 1)]
+        at = np.unique(q)
+        row = np.concatenate([np.repeat(at, self.k), q])
+        score = np.concatenate([self.scores[at].ravel(), scores[q, j]])
+        found = np.concatenate([self.ids[at].ravel(), ids[j]])
+        order = np.lexsort((found, -score, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        best = place < self.k
+        row, place, order = row[best], place[best], order[best]
+        self.scores[row, place], self.ids[row, place] = score[order], found[order]
 
     def rows(self, side: str) -> pa.RecordBatch:
         q, j = np.nonzero(self.scores > -np.inf)
