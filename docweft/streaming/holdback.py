@@ -21,11 +21,17 @@ class HeldBackSink:
         check_window(every, held)
         self.spark, self.root, self.key, self.order = spark, root, key, order
         self.every, self.held = every, held
-        self.last_batch = -1
 
     def _table(self, name: str, batch: int) -> str:
         return f"{self.root}/{name}/batch={batch}"
 
+    def _last_batch(self) -> int:
+        """Number of the last finished batch; its pending rows are written last."""
+        found = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/pending/batch=*")
+        files = found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [status.getPath().getName() for status in files.globStatus(found)]
+        return max((int(name.removeprefix("batch=")) for name in names), default=-1)
+
     def _state(self, batch: int, fields: str) -> tuple[DataFrame, DataFrame]:
         """Counts and pending rows after a batch; empty before the first."""
         counts, pending = f"{self.key} BIGINT, seen BIGINT", f"{fields}, i BIGINT"
@@ -38,6 +44,13 @@ class HeldBackSink:
         )
 
     def __call__(self, rows: DataFrame, batch: int) -> None:
+        rows = rows.persist()
+        try:
+            self._take(rows, batch)
+        finally:
+            rows.unpersist()
+
+    def _take(self, rows: DataFrame, batch: int) -> None:
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
         seen, pending = self._state(batch - 1, fields)
         arrived = rows.groupBy(self.key).agg(F.count(F.lit(1)).alias("new"))
@@ -59,13 +72,13 @@ class HeldBackSink:
         ready = F.col("flush_no") <= F.floor(F.col("seen") / self.every)
         due.where(ready).select(*rows.columns, "flush_no").write.mode("overwrite").parquet(self._table("out", batch))
         due.where(~ready).select(*rows.columns, "i").write.mode("overwrite").parquet(self._table("pending", batch))
-        self.last_batch = batch
 
     def finish(self, schema: str) -> DataFrame:
         """Flush what is held back and return everything emitted."""
-        counts, pending = self._state(self.last_batch, schema)
+        last = self._last_batch()
+        counts, pending = self._state(last, schema)
         columns = [f.name for f in pending.schema.fields if f.name != "i"]
         final = (F.floor(F.col("seen") / self.every) + 1).cast("bigint")
         rest = pending.join(counts, self.key).select(*columns, final.alias("flush_no"))
-        rest.write.mode("overwrite").parquet(self._table("out", self.last_batch + 1))
+        rest.write.mode("overwrite").parquet(self._table("out", last + 1))
         return self.spark.read.schema(f"{schema}, flush_no BIGINT").parquet(f"{self.root}/out").select(*columns, "flush_no")
