@@ -38,8 +38,16 @@ def requests(conversations: DataFrame) -> DataFrame:
     )
 
 
-def request_id(turns_per_conversation: int = 1 << 20) -> Column:
-    return F.col("conv_id") * F.lit(turns_per_conversation) + F.col("turn")
+TURNS = 1 << 32
+
+
+def request_id() -> Column:
+    """One number per (conversation, turn).
+
+    Room for 2^31 conversations of 2^32 turns; beyond that the product
+    overflows and the job stops.
+    """
+    return F.col("conv_id") * F.lit(TURNS) + F.col("turn")
 
 
 def appended(conversations: DataFrame, answers: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweft.operators.conversations import request_id, requests
@@ -44,11 +44,12 @@ def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("qid", request_id())
 
 
-def paper_id(number: str):
-    """A ten-character paper id from a number."""
+def paper_id(number: str | Column) -> Column:
+    """A ten-character paper id from a number; the form has room for 10^9 papers and refuses more."""
     n = F.col(number) if isinstance(number, str) else number
     high = F.floor(n / 100000).cast("string")
-    return F.concat(F.lpad(high, 4, "0"), F.lit("."), F.lpad((n % 100000).cast("string"), 5, "0"))
+    made = F.concat(F.lpad(high, 4, "0"), F.lit("."), F.lpad((n % 100000).cast("string"), 5, "0"))
+    return F.when(n < 10**9, made).otherwise(F.raise_error(F.lit("paper number has more than nine digits")))
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +129,7 @@ SQL_REQUESTS = """
 req_w AS (SELECT conv_id, turn, role, text,
     lag(role) OVER w AS r1, lag(text) OVER w AS t1, lag(role, 2) OVER w AS r2, lag(text, 2) OVER w AS t2
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-req AS (SELECT conv_id, turn, conv_id * 1048576 + turn AS qid, text,
+req AS (SELECT conv_id, turn, conv_id * 4294967296 + turn AS qid, text,
     CASE WHEN r1 = 'assistant' AND r2 = 'user' THEN t2 END AS human,
     CASE WHEN r1 = 'assistant' AND r2 = 'user' THEN t1 END AS ai
   FROM req_w WHERE role = 'user')"""

@@ -33,7 +33,7 @@ def deltas(conversations):
     )
 
 
-SQL_ITEMS = "SELECT conv_id * 1048576 + turn AS item_id, text FROM conversations"
+SQL_ITEMS = "SELECT conv_id * 4294967296 + turn AS item_id, text FROM conversations"
 
 
 @query("delta_aggregate", SQL_ITEMS)

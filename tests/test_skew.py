@@ -59,7 +59,7 @@ def tight(spark, monkeypatch):
     def never(df, *args, **kwargs):
         return None
 
-    for module in (keywords, matching, prompts):
+    for module in (keywords, matching, numbering, prompts):
         monkeypatch.setattr(module, "fits", never)
     for module in (tools, keywords, citations):
         monkeypatch.setattr(module, "sent", lambda df, *args: df)
