@@ -62,9 +62,12 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", paper_id("doc_id").alias("paper"), text.alias("text"))
 
 
-def prompt_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions of one prompt per brand, in part order."""
-    return versions(load(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_name")
+def prompt_registry(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
+    """Versions of one prompt per brand, in part order; of one brand only if named."""
+    parts = load(spark, sf_dir, "part")
+    if name is not None:
+        parts = parts.where(F.col("p_brand") == name)
+    return versions(parts, "p_brand", "p_partkey", "p_name")
 
 
 def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

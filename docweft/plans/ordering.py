@@ -101,7 +101,7 @@ def first_n(spark, sf_dir):
         ORDER BY version DESC LIMIT 1""",
 )
 def top1_desc(spark, sf_dir):
-    registry = prompt_registry(spark, sf_dir).where("name = 'Brand#7'")
+    registry = prompt_registry(spark, sf_dir, "Brand#7")
     return registry.select("name", "version", "template").orderBy(F.col("version").desc()).limit(1)
 
 
