@@ -7,7 +7,6 @@ ids of the vocabulary file.
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -33,6 +32,14 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+_LEVEL = {b: char for char, b in byte_chars().items()}
+
+
+def byte_level(text: str) -> str:
+    """The text's UTF-8 bytes as the characters of a vocabulary file."""
+    return text.encode("utf-8").decode("latin-1").translate(_LEVEL)
+
+
 class Vocabulary:
     """Tokens, merges and special strings of one vocabulary file, given as text."""
 
@@ -74,9 +81,7 @@ class Vocabulary:
                 yield part in self.special, part
 
     def merged(self, word: bytes) -> list[int]:
-        """Tokens of one pre-token, by merging the pair of lowest rank, leftmost first."""
-        if len(word) > 48:
-            return self._merged_long(word)
+        """Tokens of a short string, by merging the pair of lowest rank, leftmost first."""
         pairs, out = self.pairs, list(word)
         while len(out) > 1:
             ranks = [pairs.get(p, 1 << 60) for p in zip(out, out[1:], strict=False)]
@@ -87,27 +92,6 @@ class Vocabulary:
             out[at : at + 2] = [best]
         return out
 
-    def _merged_long(self, word: bytes) -> list[int]:
-        """The same with a heap over linked neighbours, for pre-tokens of any length."""
-        pairs, out, n = self.pairs, list(word), len(word)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(made, i, a, b) for i, (a, b) in enumerate(zip(out, out[1:], strict=False)) if (made := pairs.get((a, b))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            made, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if out[i] != a or j >= n or out[j] != b:
-                continue
-            out[i], out[j] = made, -1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (new := pairs.get((made, out[after[i]]))) is not None:
-                    heapq.heappush(heap, (new, i, made, out[after[i]]))
-            if before[i] >= 0 and (new := pairs.get((out[before[i]], made))) is not None:
-                heapq.heappush(heap, (new, before[i], out[before[i]], made))
-        return [t for t in out if t >= 0]
-
 
 @cache
 def vocabulary(source: str) -> Vocabulary:

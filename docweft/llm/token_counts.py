@@ -2,12 +2,12 @@
 
 Before the scan, every vocabulary string is merged once on its own. Those that
 come out as one token are whole: a pre-token equal to one of them counts as one
-without being merged. Only the rest is merged, with a bounded cache of counts.
+without being merged. Only the rest is merged, by the library's merge model, with a bounded cache of counts.
 The set of whole strings is bounded by the vocabulary and broadcast.
 
 Defined cases: a null text is empty and has no token; ``doc_id`` is passed on as
 it is, null or repeated; an empty table gives an empty result; texts and
-pre-tokens may have any length (long pre-tokens are merged with a heap).
+pre-tokens may have any length.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.llm.bytepair import WORDS, Vocabulary, read_source, spaced, vocabulary
+from docweft.llm.bytepair import WORDS, Vocabulary, byte_level, read_source, spaced, vocabulary
 from docweft.llm.common import Cache, documents, per_text, query
 
 LIMIT = 512
@@ -38,9 +38,12 @@ def whole_tokens(vocab: Vocabulary) -> frozenset[str]:
 class Counter:
     """Counts the tokens of texts."""
 
-    def __init__(self, vocab: Vocabulary, whole: frozenset[str]):
-        self.vocab, self.whole = vocab, whole
-        self.words = Cache(lambda w: len(vocab.merged(w.encode("utf-8"))), CACHED)
+    def __init__(self, source: str, whole: frozenset[str]):
+        from tokenizers import Tokenizer
+
+        self.vocab, self.whole = vocabulary(source), whole
+        merge = Tokenizer.from_str(source).model.tokenize
+        self.words = Cache(lambda w: len(merge(byte_level(w))), CACHED)
         self.after_space = Cache(self._after_space, CACHED)
 
     def _after_space(self, chunk: str) -> int:
@@ -75,7 +78,7 @@ def counted(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
     def run(texts: list[str], batch: pa.RecordBatch) -> dict[str, pa.Array]:
         source, whole = sent.value
         if hash(source) not in _counters:
-            _counters[hash(source)] = Counter(vocabulary(source), whole)
+            _counters[hash(source)] = Counter(source, whole)
         count = _counters[hash(source)].count
         return {
             "doc_id": batch.column("doc_id"),
