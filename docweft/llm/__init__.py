@@ -1,6 +1,6 @@
 """Operators for preparing training text, with their queries and SQL."""
 
-from docweft.llm import bpe, exact_dedup, packing, pii, token_counts, warc  # noqa: F401
+from docweft.llm import bpe, exact_dedup, near_dedup, packing, pii, token_counts, warc  # noqa: F401
 from docweft.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
