@@ -1,4 +1,9 @@
-"""Documents to packed training sequences, in stages."""
+"""Documents to packed training sequences, in stages.
+
+Rejected as toxic, exact copies, near copies, personal data, packing: each stage
+works on all rows the one before it kept, and its result is written to the shared
+folder and read again. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -8,23 +13,53 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docweft.llm.common import documents
 from docweft.llm.exact_dedup import without_copies
+from docweft.llm.near_dedup import without_near_copies
+from docweft.llm.packing import packed, pieces
+from docweft.llm.pii import sanitised
+from docweft.llm.toxicity import clean
 from docweft.session import fresh_path
+from docweft.sources.tables import load
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return clean(docs, load(spark, sf_dir, "labels"))
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     return without_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return without_near_copies(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and terms that disclose it are taken out of the texts; all documents stay."""
+    return sanitised(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every token piece in a training sequence."""
+    return packed(pieces(docs))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("exact_dedup", exact),
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("personal_data", personal_data),
+    ("packing", packing),
 ]
 
+# A trained classifier and merged near copies are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written to the shared folder and read again."""
+    """All stages in order, over ``documents``."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         path = fresh_path(spark, name)

@@ -1,6 +1,17 @@
 """Operators for preparing training text, with their queries and SQL."""
 
-from docweft.llm import bpe, exact_dedup, language, near_dedup, neighbours, packing, pii, token_counts, warc  # noqa: F401
+from docweft.llm import (  # noqa: F401
+    bpe,
+    exact_dedup,
+    language,
+    near_dedup,
+    neighbours,
+    packing,
+    pii,
+    token_counts,
+    toxicity,
+    warc,
+)
 from docweft.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
