@@ -48,7 +48,10 @@ def record_plan(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """``pages`` with ``at``, ``digest``, ``n_bytes`` and, for revisits, ``first`` (the response's page_id in a struct)."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("bigint").alias("n_bytes"))
-    rows = staged(rows.withColumn("at", F.monotonically_increasing_id()), "pages")
+    # The one copy of the payloads that is kept; the closer codec costs little beside the archives.
+    path = fresh_path(pages.sparkSession, "pages")
+    rows.withColumn("at", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    rows = pages.sparkSession.read.parquet(path)
     narrow = rows.where(F.col("n_bytes") >= least).select("page_id", "at", "digest")
     first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "at")).alias("first")
     groups = narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1")
@@ -70,7 +73,7 @@ def _head(kind: str, record: str, page: int | None, url: str | None, digest: str
 
 
 def _member(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    pack = zlib.compressobj(3, zlib.DEFLATED, 31)
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
     for piece in pieces:
         if out := pack.compress(piece):
             yield out
