@@ -11,7 +11,8 @@ its next arrival is later than every register's first one.
 shares at least one but for 3 in 10^6 cases. Only distinct texts take part; a
 class holds the copies of its texts too. In a bucket a few representatives, drawn
 anew per bucket, are compared with all members, so pairs grow with the rows of
-the bucket and not with their square. A compared pair counts if the Jaccard
+the bucket and not with their square. Pairs whose signatures agree in far too few
+registers go first (six standard deviations). A remaining pair counts if the Jaccard
 similarity of its distinct shingles, taken exactly on both whole texts, reaches
 the threshold. Links give components. Buckets that still hold several components
 and more members than were all compared go through further rounds with other
@@ -39,8 +40,12 @@ WORDS = 5
 SIMILAR = 0.8
 BANDS = 24
 ROWS = 4
-REPRESENTATIVES = 4
+REPRESENTATIVES = 3
 REGISTERS = BANDS * ROWS
+#: Six standard deviations below the registers that two texts at SIMILAR agree in.
+AGREEING = int(SIMILAR * REGISTERS - 6 * (REGISTERS * SIMILAR * (1 - SIMILAR)) ** 0.5)
+BITS = 1 << 23
+SALTS = 16
 _U64 = np.uint64
 
 
@@ -113,14 +118,18 @@ def _sketch(texts: list[str], batch: pa.RecordBatch) -> dict[str, pa.Array]:
             bags.append(shingle_hashes(words))
             places.append(at)
     bands: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+    sketch = [b""] * len(texts)
     if bags:
-        for at, keys in zip(places, band_keys(signatures(bags)), strict=True):
-            bands[at] = keys
+        signature = signatures(bags)
+        short = (_mixed(signature, 3) & _U64(255)).astype(np.uint8)
+        for at, keys, low in zip(places, band_keys(signature), short, strict=True):
+            bands[at], sketch[at] = keys, low.tobytes()
     return {
         "doc_id": batch.column("doc_id"),
         "text": pa.array(texts, pa.string()),
         "digest": pa.array(digests, pa.binary()),
         "bands": pa.array(bands, pa.list_(pa.int64())),
+        "sketch": pa.array(sketch, pa.binary()),
     }
 
 
@@ -136,15 +145,47 @@ def similarity(a: str, b: str) -> float:
     return both / (len(one) + len(two) - both)
 
 
+def among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows whose id is, but for few others, among ``ids``; a bit table of fixed size is broadcast, the rows stay where they are."""
+    bit = f"pmod(xxhash64({column}), {BITS})"
+    table = ids.select(F.expr(f"{bit} div 64").alias("bit_at"), F.expr(f"shiftleft(1L, cast({bit} % 64 as int))").alias("bits"))
+    table = table.groupBy("bit_at").agg(F.bit_or("bits").alias("bits"))
+    held = rows.withColumn("bit_at", F.expr(f"{bit} div 64")).join(F.broadcast(table), "bit_at")
+    return held.where(F.expr(f"bits & shiftleft(1L, cast({bit} % 64 as int)) <> 0")).drop("bit_at", "bits")
+
+
+def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs whose signatures don't rule out the similarity; ``nodes`` has ``node`` and ``sketch``."""
+    named = among(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")), "node").select("node", "sketch")
+    both = _beside(_beside(pairs, named, "a", "b"), named, "b", "a")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS) for c in ("of_a", "of_b")
+            )
+            keep = pa.array((one == two).sum(axis=1) >= AGREEING)
+            yield batch.select(["a", "b"]).filter(keep)
+
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(check, "a bigint, b bigint")
+
+
+def _beside(pairs: DataFrame, nodes: DataFrame, side: str, other: str) -> DataFrame:
+    """Pairs with the sketch or text of one side, which may be in many pairs and is salted by the other."""
+    value = nodes.columns[1]
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
+    own = nodes.select(F.col("node").alias(side), F.col(value).alias(f"of_{side}"))
+    spread = salted.select(side, "salt").distinct().join(own, side)
+    return salted.join(spread, [side, "salt"]).drop("salt")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> DataFrame:
     """The pairs ``(a, b)`` that are similar enough; ``nodes`` has ``node`` and ``text``.
 
-    ``a``, which may be in many pairs, is salted, so that no task gets them all.
+    Only texts of such nodes are shuffled.
     """
-    salts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)))
-    texts = salted.select("a", "salt").distinct().join(nodes.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    sides = salted.join(nodes.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts, ["a", "salt"])
+    named = among(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")), "node").select("node", "text")
+    sides = _beside(_beside(pairs, named, "b", "a"), named, "a", "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, frozenset()
@@ -153,8 +194,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> Data
             keep = []
             for at in range(batch.num_rows):
                 if a[at] != last:
-                    last, held = a[at], _shingles(batch.column("text_a")[at].as_py())
-                other = _shingles(batch.column("text_b")[at].as_py())
+                    last, held = a[at], _shingles(batch.column("of_a")[at].as_py())
+                other = _shingles(batch.column("of_b")[at].as_py())
                 fewer, more = sorted((len(held), len(other)))
                 if fewer >= least * more:
                     both = len(held & other)
@@ -162,7 +203,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> Data
                         keep.append(at)
             yield pa.RecordBatch.from_pydict({"a": pa.array([a[i] for i in keep], pa.int64()), "b": pa.array([b[i] for i in keep], pa.int64())})
 
-    return sides.select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
+    return sides.select("a", "b", "of_a", "of_b").mapInArrow(check, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -215,7 +256,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     """
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    rows = per_text(source, _sketch, f"doc_id {kind}, text string, digest binary, bands array<bigint>")
+    rows = per_text(source, _sketch, f"doc_id {kind}, text string, digest binary, bands array<bigint>, sketch binary")
     rows = staged(rows.withColumn("at", F.monotonically_increasing_id()), "sketches")
     total = rows.count()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first")
@@ -224,10 +265,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     members = nodes.select("node", F.explode("bands").alias("key"))
     crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = staged(_members(members, crowded, total * BANDS).withColumn("label", F.col("node")), "buckets")
-    nodes = rows.select(F.col("at").alias("node"), "text")
+    texts = rows.select(F.col("at").alias("node"), "text")
+    sketches = rows.select(F.col("at").alias("node"), "sketch")
     labels, turn = None, 0
     while (size := members.count()) > 0:
-        links = staged(verified(_pairs(members, size, turn), nodes, least), "similar")
+        pairs = staged(likely(staged(_pairs(members, size, turn), "pairs"), sketches), "likely")
+        links = staged(verified(pairs, texts, least), "similar")
         if links.isEmpty():
             break
         if labels is not None:
