@@ -20,6 +20,7 @@ from typing import Any, NamedTuple, Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +63,9 @@ def vector_matrix(column: pa.ChunkedArray) -> np.ndarray:
         whole = pa.concat_arrays(whole.chunks) if whole.num_chunks else pa.array([], pa.list_(pa.float64()))
     if len(whole) == 0:
         return np.zeros((0, 0))
+    sizes = pa.compute.list_value_length(whole)
+    if whole.null_count or pa.compute.count_distinct(sizes).as_py() > 1 or whole.flatten().null_count:
+        raise ValueError("vectors must be present, without null components and of one length")
     flat = whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(whole), -1)
 

@@ -54,17 +54,20 @@ def sql_function(spark, sf_dir):
     return tool_calls(spark, sf_dir).selectExpr("call_id", "name", "round(calculate(name, x, y), 6) AS value")
 
 
-RETRIEVED = 10
+def find_similar(spark, sf_dir, k):
+    """The ``k`` most similar vectors of every vector; as a function of that name it takes any number up to ``k``."""
+    knn(spark, sf_dir, k).createOrReplaceTempView("retrieved")
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION find_similar(k BIGINT) "
+        "RETURNS TABLE (qid BIGINT, id BIGINT, score DOUBLE, rk BIGINT) "
+        f"COMMENT 'The k most similar vectors of every vector; more than {k} is an error' "
+        "RETURN SELECT qid, id, score, rk FROM retrieved "
+        f"WHERE rk <= IF(k <= {k}, k, raise_error('find_similar was set up for {k} rows per question'))"
+    )
+    return spark.sql(f"SELECT * FROM find_similar({k})")
 
 
 @query("retriever_table_function", f"WITH {SQL_KNN} SELECT qid, id, score, rk FROM knn_r WHERE rk <= {NEIGHBOURS}")
 def retriever_table_function(spark, sf_dir):
     """Retrieval under a name, described, and called with the number of rows wanted."""
-    knn(spark, sf_dir, RETRIEVED).createOrReplaceTempView("retrieved")
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION find_similar(k BIGINT) "
-        "RETURNS TABLE (qid BIGINT, id BIGINT, score DOUBLE, rk BIGINT) "
-        "COMMENT 'The k most similar vectors of every vector, k up to 10' "
-        "RETURN SELECT qid, id, score, rk FROM retrieved WHERE rk <= k"
-    )
-    return spark.sql(f"SELECT * FROM find_similar({NEIGHBOURS})")
+    return find_similar(spark, sf_dir, NEIGHBOURS)

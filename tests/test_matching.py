@@ -215,3 +215,22 @@ def test_dimension_profile(spark):
     row = dimension_profile(df, "v").first()
     assert (row.min_dim, row.max_dim, row.n_vectors, row.n_violations) == (1, 2, 3, 1)
     assert dimension_profile(df, "v", 3).first().n_violations == 3
+
+
+@pytest.mark.parametrize("rows", [[[1.0, 2.0, 3.0], [4.0], [5.0, 6.0]], [[1.0], None], [[1.0, None], [2.0, 3.0]]])
+def test_ragged_and_null_vectors_are_refused(rows):
+    import pyarrow as pa
+
+    from docweft.operators.matching import vector_matrix
+
+    with pytest.raises(ValueError):
+        vector_matrix(pa.chunked_array([pa.array(rows, pa.list_(pa.float64()))]))
+
+
+def test_table_function_returns_as_many_rows_as_asked(spark, sf_dir):
+    from docweft.plans.scoring import find_similar
+
+    rows = find_similar(spark, sf_dir, 25).groupBy("qid").count()
+    assert rows.agg({"count": "min"}).first()[0] == 25
+    with pytest.raises(Exception, match="set up for 25"):
+        spark.sql("SELECT * FROM find_similar(26)").collect()
