@@ -42,8 +42,6 @@ BANDS = 24
 ROWS = 4
 REPRESENTATIVES = 3
 REGISTERS = BANDS * ROWS
-#: Six standard deviations below the registers that two texts at SIMILAR agree in.
-AGREEING = int(SIMILAR * REGISTERS - 6 * (REGISTERS * SIMILAR * (1 - SIMILAR)) ** 0.5)
 BITS = 1 << 23
 SALTS = 16
 _U64 = np.uint64
@@ -154,8 +152,12 @@ def among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return held.where(F.expr(f"bits & shiftleft(1L, cast({bit} % 64 as int)) <> 0")).drop("bit_at", "bits")
 
 
-def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose signatures don't rule out the similarity; ``nodes`` has ``node`` and ``sketch``."""
+def likely(pairs: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Pairs whose signatures don't rule out the similarity; ``nodes`` has ``node`` and ``sketch``.
+
+    They agree in no fewer registers than six standard deviations below those expected at ``least``.
+    """
+    agreeing = int(least * REGISTERS - 6 * (REGISTERS * least * (1 - least)) ** 0.5)
     named = among(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")), "node").select("node", "sketch")
     both = _beside(_beside(pairs, named, "a", "b"), named, "b", "a")
 
@@ -164,7 +166,7 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             one, two = (
                 np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS) for c in ("of_a", "of_b")
             )
-            keep = pa.array((one == two).sum(axis=1) >= AGREEING)
+            keep = pa.array((one == two).sum(axis=1) >= agreeing)
             yield batch.select(["a", "b"]).filter(keep)
 
     return both.select("a", "b", "of_a", "of_b").mapInArrow(check, "a bigint, b bigint")
@@ -269,7 +271,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     sketches = rows.select(F.col("at").alias("node"), "sketch")
     labels, turn = None, 0
     while (size := members.count()) > 0:
-        pairs = staged(likely(staged(_pairs(members, size, turn), "pairs"), sketches), "likely")
+        pairs = staged(likely(staged(_pairs(members, size, turn), "pairs"), sketches, least), "likely")
         links = staged(verified(pairs, texts, least), "similar")
         if links.isEmpty():
             break
