@@ -53,11 +53,11 @@ def paper_id(number: str | Column) -> Column:
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(paper, text)``: every document as a paper citing two earlier ones, some itself."""
-    rows = load(spark, sf_dir, "documents").select("doc_id")
+    """``(paper, text)``: every document as a paper whose whole text ends in a line citing two earlier ones, some itself."""
+    rows = load_spread(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
     first, second = F.floor(F.col("doc_id") / 2), F.floor(F.col("doc_id") / 3) + 1
     text = F.concat(
-        F.lit("see arXiv:"), paper_id(first), F.lit("v2 and ARXIV:"), paper_id(second), F.lit(".")
+        F.coalesce("text", F.lit("")), F.lit("\nsee arXiv:"), paper_id(first), F.lit("v2 and ARXIV:"), paper_id(second), F.lit(".")
     )
     return rows.select("doc_id", paper_id("doc_id").alias("paper"), text.alias("text"))
 
@@ -148,7 +148,7 @@ def sql_paper(number: str) -> str:
 
 SQL_PAPERS = f"""
 papers AS (SELECT doc_id, {sql_paper('doc_id')} AS paper,
-    'see arXiv:' || {sql_paper('doc_id // 2')} || 'v2 and ARXIV:' || {sql_paper('doc_id // 3 + 1')} || '.' AS text
+    coalesce(text, '') || chr(10) || 'see arXiv:' || {sql_paper('doc_id // 2')} || 'v2 and ARXIV:' || {sql_paper('doc_id // 3 + 1')} || '.' AS text
   FROM documents),
 found AS (SELECT paper AS src,
     unnest(regexp_extract_all(text, '(?i)arXiv:(\\d+\\.\\d+\\d*(?:v\\d+)?)\\b', 1)) AS dst FROM papers),
