@@ -24,20 +24,39 @@ def history_pairs(conversations: DataFrame) -> DataFrame:
     )
 
 
-def requests(conversations: DataFrame) -> DataFrame:
-    """Every user turn with the exchange right before it: ``(conv_id, turn, text, history)``.
+BLOCK = 1024
 
-    ``history`` is empty or holds one (human, ai) pair.
+
+def requests(conversations: DataFrame, assistant: str = "assistant") -> DataFrame:
+    """The messages of every request, long: ``(conv_id, turn, pos, role, content)``.
+
+    A request is the last user turn of a conversation and ``turn`` its number. All
+    messages before it, whoever wrote them, are its history; ``pos`` is a message's
+    own turn, that of the request comes last. The AI side is named ``assistant``. A null
+    text is empty. Conversations without a user turn ask nothing.
+
+    Messages meet their request per block of turns, so a conversation may hold any
+    share of the rows.
     """
-    rows = with_neighbours(conversations, KEY, "turn", ["role", "text"], ["p1", "p2"])
-    pair = F.struct(F.col("p2.text").alias("human"), F.col("p1.text").alias("ai"))
-    exchanged = (F.col("p1.role") == "assistant") & (F.col("p2.role") == "user")
-    empty = F.array().cast("array<struct<human:string,ai:string>>")
-    return rows.where("role = 'user'").select(
-        "conv_id", "turn", "text", F.when(exchanged, F.array(pair)).otherwise(empty).alias("history")
+    rows = conversations.withColumn("_b", F.floor(F.col("turn") / BLOCK))
+    asked = rows.where("role = 'user'").groupBy("conv_id").agg(F.max("turn").alias("asked"))
+    blocks = rows.groupBy("conv_id", "_b").agg(F.lit(1).alias("_one")).drop("_one").join(asked, "conv_id")
+    messages = rows.join(blocks, ["conv_id", "_b"]).where(F.col("turn") <= F.col("asked"))
+    role = F.when(F.col("role") == "assistant", assistant).otherwise(F.col("role"))
+    return messages.select(
+        "conv_id", F.col("asked").alias("turn"), F.col("turn").alias("pos"), role.alias("role"),
+        F.coalesce("text", F.lit("")).alias("content"),
     )
 
 
+def request_texts(messages: DataFrame, line: Column, separator: str = "\n") -> DataFrame:
+    """One row per request, ``(conv_id, turn, text)``: ``line`` of its messages in order, put together per block first."""
+    lines = messages.select("conv_id", "turn", "pos", F.concat(line, F.lit(separator)).alias("_line"))
+    joined = joined_deltas(lines, ["conv_id", "turn"], "pos", "_line", BLOCK)
+    whole = F.substring("text", F.lit(1), F.char_length("text") - len(separator))
+    return joined.select("conv_id", "turn", whole.alias("text"))
+
+
 TURNS = 1 << 32
 
 

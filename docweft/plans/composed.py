@@ -14,6 +14,7 @@ from docweft.operators.context import (
     joined_context,
     rag_messages,
 )
+from docweft.operators.conversations import request_id, request_texts
 from docweft.operators.embedding import DIM
 from docweft.operators.evaluation import mean
 from docweft.operators.matching import attach, nearest
@@ -108,16 +109,19 @@ _HISTORY_PARTS = HISTORY_PROMPT.replace("{context}", "{input}").replace("{chat_h
         ctx AS (SELECT rr.qid, string_agg(d.text, chr(10) || chr(10) ORDER BY rr.rk) AS context
           FROM rr JOIN documents d ON d.doc_id = rr.id GROUP BY rr.qid)
         SELECT req.qid, {_sql_text(_HISTORY_PARTS[0])} || req.text || {_sql_text(_HISTORY_PARTS[1])} || ctx.context ||
-          {_sql_text(_HISTORY_PARTS[2])} || coalesce('Human: ' || human || chr(10) || 'AI: ' || ai, '') ||
-          {_sql_text(_HISTORY_PARTS[3])} AS prompt
+          {_sql_text(_HISTORY_PARTS[2])} || said || {_sql_text(_HISTORY_PARTS[3])} AS prompt
         FROM req JOIN ctx ON ctx.qid = req.qid""",
 )
 def history_rag(spark, sf_dir):
     """Question with history, reranked context, and the history itself in one prompt."""
     corpus = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     context = joined_context(attach(history_ranked(spark, sf_dir), corpus), ["qid"])
-    said = F.transform("history", lambda p: F.concat(F.lit("Human: "), p["human"], F.lit("\nAI: "), p["ai"]))
-    asked = chat_requests(spark, sf_dir).select("qid", "text", F.array_join(said, "\n").alias("said"))
+    messages = chat_requests(spark, sf_dir)
+    speaker = F.when(F.col("role") == "user", "Human: ").when(F.col("role") == "assistant", "AI: ").otherwise("System: ")
+    said = request_texts(messages.where("pos < turn"), F.concat(speaker, "content"))
+    said = said.select(request_id().alias("qid"), F.col("text").alias("said"))
+    asked = messages.where("pos = turn").select("qid", F.col("content").alias("text")).join(said, "qid", "left")
+    asked = asked.withColumn("said", F.coalesce("said", F.lit("")))
     values = {"input": F.col("text"), "context": F.col("context"), "chat_history": F.col("said")}
     return asked.join(context, "qid").select("qid", fill(HISTORY_PROMPT, values).alias("prompt"))
 

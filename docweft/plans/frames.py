@@ -38,10 +38,9 @@ def embedded(corpus: DataFrame) -> DataFrame:
     return corpus.select("id", embed(F.col("text")).alias("embedding"))
 
 
-def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns with the exchange before them, numbered by ``qid``."""
-    rows = requests(load(spark, sf_dir, "conversations"))
-    return rows.withColumn("qid", request_id())
+def chat_requests(spark: SparkSession, sf_dir: str, assistant: str = "assistant") -> DataFrame:
+    """The messages of every conversation's last user turn and of its whole history, numbered by ``qid``."""
+    return requests(load(spark, sf_dir, "conversations"), assistant).withColumn("qid", request_id())
 
 
 def paper_id(number: str | Column) -> Column:
@@ -129,13 +128,15 @@ def sql_chunks(name: str = "chunk", size: int = CHUNK_TOKENS, overlap: int = CHU
 
 
 SQL_REQUESTS = """
-req_w AS (SELECT conv_id, turn, role, text,
-    lag(role) OVER w AS r1, lag(text) OVER w AS t1, lag(role, 2) OVER w AS r2, lag(text, 2) OVER w AS t2
-  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-req AS (SELECT conv_id, turn, conv_id * 4294967296 + turn AS qid, text,
-    CASE WHEN r1 = 'assistant' AND r2 = 'user' THEN t2 END AS human,
-    CASE WHEN r1 = 'assistant' AND r2 = 'user' THEN t1 END AS ai
-  FROM req_w WHERE role = 'user')"""
+req_t AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY conv_id),
+req_m AS (SELECT r.conv_id, r.turn, r.conv_id * 4294967296 + r.turn AS qid, c.turn AS pos, c.role, coalesce(c.text, '') AS content
+  FROM req_t r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn <= r.turn),
+req AS (SELECT conv_id, turn, qid, count(*) AS n_messages, arg_min(content, pos) AS first_content,
+    arg_max(content, pos) AS text, string_agg(content, chr(10) ORDER BY pos) AS question,
+    count(*) FILTER (role = 'assistant') AS n_answers,
+    coalesce(string_agg(CASE role WHEN 'user' THEN 'Human: ' WHEN 'assistant' THEN 'AI: ' ELSE 'System: ' END || content,
+      chr(10) ORDER BY pos) FILTER (pos < turn), '') AS said
+  FROM req_m GROUP BY conv_id, turn, qid)"""
 
 SQL_REGISTRY = """
 registry AS (SELECT p_brand AS name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS version,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docweft.functions.messages import with_history
 from docweft.operators.citations import citation_edges, two_hops
 from docweft.operators.embedding import embed
 from docweft.operators.hashing import nearest_by_hash
@@ -13,7 +12,7 @@ from docweft.operators.matching import nearest
 from docweft.operators.prompts import candidate_matrix as matrix
 from docweft.operators.prompts import shared_words
 from docweft.operators.tools import calculator_registry, dispatched
-from docweft.operators.conversations import history_pairs
+from docweft.operators.conversations import history_pairs, request_id, request_texts
 from docweft.functions.tools import value_or_error
 from docweft.plans.frames import (
     NEIGHBOURS,
@@ -113,16 +112,13 @@ def rerank(spark, sf_dir):
 
 
 SQL_HISTORY_ASKED = f"""{SQL_REQUESTS},
-asked AS (SELECT qid, CASE WHEN human IS NULL THEN text ELSE human || chr(10) || ai || chr(10) || text END AS question
-  FROM req)"""
+asked AS (SELECT qid, question FROM req)"""
 
 
 def history_questions(spark, sf_dir):
-    """Chat requests rewritten with their history, as questions."""
-    rows = chat_requests(spark, sf_dir)
-    said = F.flatten(F.transform("history", lambda p: F.array(p["human"], p["ai"])))
-    asked = rows.select("qid", with_history(said, F.col("text")).alias("text"))
-    # Windows, rewriting and embedding run once; checks and joins read the stored rows.
+    """Chat requests rewritten with their whole history, as questions."""
+    asked = request_texts(chat_requests(spark, sf_dir), F.col("content")).select(request_id().alias("qid"), "text")
+    # Rewriting and embedding run once; checks and joins read the stored rows.
     return staged(asked.withColumn("embedding", embed(F.col("text"))), "questions")
 
 

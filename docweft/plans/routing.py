@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docweft.functions.messages import DONE, route, step_kind, with_history
+from docweft.functions.messages import DONE, route, step_kind
 from docweft.functions.text import same_paper, words
 from docweft.operators.citations import found_citations
-from docweft.operators.conversations import last_messages
+from docweft.operators.conversations import last_messages, request_texts
 from docweft.operators.matching import nearest
 from docweft.operators.retrieval import mapped
 from docweft.operators.scoring import batch_predict, keyword_intent_model
@@ -54,15 +54,14 @@ def filtered_retrieval(spark, sf_dir):
 
 @query(
     "history_passthrough",
-    f"""WITH {SQL_REQUESTS} SELECT conv_id, turn, human IS NULL AS unchanged,
-          CASE WHEN human IS NULL THEN text ELSE human || chr(10) || ai || chr(10) || text END AS question FROM req""",
+    f"WITH {SQL_REQUESTS} SELECT conv_id, turn, n_messages = 1 AS unchanged, question FROM req",
 )
 def history_passthrough(spark, sf_dir):
-    rows = chat_requests(spark, sf_dir)
-    said = F.flatten(F.transform("history", lambda p: F.array(p["human"], p["ai"])))
-    return rows.select(
-        "conv_id", "turn", (F.size("history") == 0).alias("unchanged"), with_history(said, F.col("text")).alias("question")
-    )
+    """The last question of every conversation behind its whole history; unchanged where there is none."""
+    messages = chat_requests(spark, sf_dir)
+    alone = messages.groupBy("conv_id", "turn").agg((F.count(F.lit(1)) == 1).alias("unchanged"))
+    asked = request_texts(messages, F.col("content")).withColumnRenamed("text", "question")
+    return alone.join(asked, ["conv_id", "turn"])
 
 
 SQL_INTENT = (

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from docweft.functions.messages import (
     chain_role,
     first_text,
-    flattened_history,
     message,
     system_and_user,
 )
@@ -23,6 +22,7 @@ from docweft.functions.text import (
 from docweft.functions.tools import calculator_error, calculator_value, register_sql_functions, value_or_error
 from docweft.operators.citations import found_citations
 from docweft.operators.conversations import history_pairs as pairs_of
+from docweft.operators.conversations import request_texts
 from docweft.operators.profile import schema_profile
 from docweft.operators.tools import calculator_registry, dispatched
 from docweft.plans.frames import (
@@ -167,15 +167,11 @@ def message_array(spark, sf_dir):
 
 @query(
     "history_flatten",
-    f"""WITH {SQL_REQUESTS}
-        SELECT conv_id, turn, unnest(range(3)) AS pos, unnest(['user', 'assistant', 'user']) AS role,
-          unnest([human, ai, text]) AS content FROM req WHERE human IS NOT NULL
-        UNION ALL SELECT conv_id, turn, 0, 'user', text FROM req WHERE human IS NULL""",
+    f"WITH {SQL_REQUESTS} SELECT conv_id, turn, pos, role, content FROM req_m",
 )
 def history_flatten(spark, sf_dir):
-    flat = flattened_history(F.col("history"), F.col("text"))
-    rows = chat_requests(spark, sf_dir).select("conv_id", "turn", F.posexplode(flat).alias("pos", "m"))
-    return rows.select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "m.role", "m.content")
+    """Every request as its whole list of messages, one per row."""
+    return chat_requests(spark, sf_dir).select("conv_id", "turn", "pos", "role", "content")
 
 
 @query(
@@ -227,19 +223,23 @@ def json_args(spark, sf_dir):
 
 @query(
     "json_request",
-    f"""WITH {SQL_REQUESTS} SELECT conv_id, turn, CASE WHEN human IS NULL THEN 1 ELSE 3 END::BIGINT AS n_messages,
-          coalesce(human, text) AS first_content, text AS last_content FROM req""",
+    f"""WITH {SQL_REQUESTS} SELECT conv_id, turn, n_messages, n_answers AS n_agent, first_content, text AS last_content
+        FROM req""",
 )
 def json_request(spark, sf_dir):
-    """Requests as JSON text, checked through the fields read back from it."""
-    flat = flattened_history(F.col("history"), F.col("text"))
-    body = F.to_json(F.struct(flat.alias("messages")))
-    rows = chat_requests(spark, sf_dir).select("conv_id", "turn", body.alias("body"))
+    """Requests with their whole history as JSON text, checked through the fields read back from it.
+
+    The receiving service names the AI side ``agent``.
+    """
+    messages = request_texts(chat_requests(spark, sf_dir, "agent"), F.to_json(F.struct("role", "content")), ",")
+    body = F.concat(F.lit('{"messages":['), "text", F.lit("]}"))
+    rows = messages.select("conv_id", "turn", body.alias("body"))
     back = F.from_json("body", "messages array<struct<role:string,content:string>>")["messages"]
     return rows.select("conv_id", "turn", back.alias("m")).select(
         "conv_id",
         "turn",
         F.size("m").cast("bigint").alias("n_messages"),
+        F.size(F.filter("m", lambda x: x["role"] == "agent")).cast("bigint").alias("n_agent"),
         F.try_element_at("m", F.lit(1))["content"].alias("first_content"),
         F.try_element_at("m", F.lit(-1))["content"].alias("last_content"),
     )

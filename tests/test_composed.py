@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweft.operators.citations import citation_edges, two_hops
-from docweft.operators.conversations import appended, history_pairs, last_messages, requests, with_system
+from docweft.operators.conversations import appended, history_pairs, last_messages, request_texts, requests, with_system
 from docweft.operators.evaluation import percentiles
 from docweft.operators.prompts import (
     best,
@@ -37,8 +37,28 @@ def chat(spark):
 
 def test_history(chat):
     assert sorted(map(tuple, history_pairs(chat).collect())) == [(1, 1, "u1", "a1"), (1, 4, "u3", "a3")]
-    got = {(r.conv_id, r.turn): [tuple(p) for p in r.history] for r in requests(chat).collect()}
-    assert got == {(1, 1): [], (1, 3): [("u1", "a1")], (1, 4): [], (1, 6): [("u3", "a3")], (2, 0): []}
+    got = sorted(map(tuple, requests(chat, "agent").collect()))
+    first = [(1, 6, pos, "agent" if role == "assistant" else role, text) for conv, pos, role, text in CHAT if conv == 1]
+    assert got == [*first, (2, 0, 0, "user", "v1")]
+    asked = {r.conv_id: r.text for r in request_texts(requests(chat), F.col("content")).collect()}
+    assert asked == {1: "s\nu1\na1\nu2\nu3\na3\nu4", 2: "v1"}
+
+
+def test_history_after_the_question_and_without_one(spark):
+    rows = [(1, 0, "user", None), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (2, 0, "assistant", "hello")]
+    chat = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    assert sorted(map(tuple, requests(chat).collect())) == [(1, 1, 0, "user", ""), (1, 1, 1, "user", "q")]
+    assert requests(chat.where("conv_id > 2")).count() == 0
+
+
+def test_long_history_is_whole(spark):
+    n = 200_001
+    role = F.when(F.col("turn") % 2 == 0, "user").otherwise("assistant")
+    long = spark.range(n).select(F.lit(7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"))
+    chat = long.select("conv_id", "turn", role.alias("role"), F.col("turn").cast("string").alias("text"))
+    assert requests(chat).count() == n
+    text = request_texts(requests(chat), F.col("content")).first().text
+    assert text == "\n".join(map(str, range(n)))
 
 
 def test_messages(chat):
