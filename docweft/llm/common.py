@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweft.operators.numbering import top_per_key
 from docweft.plans.registry import Query
 from docweft.session import staged
 from docweft.sources.tables import load
@@ -56,6 +57,21 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return rows.join(hot, key).unionByName(small.join(groups.where(F.col(size) <= least), key))
 
 
+def drawn(rows: DataFrame, key: str, value: str, k: int) -> DataFrame:
+    """At most ``k`` different values per key, those with the smallest hashes: ``(key, value)``.
+
+    The different values are counted first, to within some 5 percent, and only the
+    part of the hashes that holds about ``3 * k`` of them goes on, each value once per
+    task. So what is shuffled follows ``k`` and not the rows. Keys are the classes
+    that a model is trained for; a null is one of them.
+    """
+    counts = rows.groupBy(F.col(key).alias("_key")).agg(F.approx_count_distinct(value).alias("_n"))
+    near = rows.join(F.broadcast(counts), F.col(key).eqNullSafe(F.col("_key")))
+    near = near.where(F.pmod(F.xxhash64(value), F.lit(1 << 40)) * F.col("_n") < F.lit(3 * k * float(1 << 40)))
+    order = [F.pmod(F.xxhash64(value), F.lit(1 << 40)), F.col(value)]
+    return top_per_key(near.select(key, value).distinct(), [key], order, k).select(key, value)
+
+
 def per_text(df: DataFrame, run: Callable[[list[str], pa.RecordBatch], dict[str, pa.Array]], schema: str, text: str = "text", step: int = 4 << 20) -> DataFrame:
     """Map batches through ``run(texts, batch)``, a null text read as empty.
 
@@ -100,4 +116,4 @@ class Cache(dict):
         return value
 
 
-__all__ = ["HOT_KEYS", "ORACLES", "QUERIES", "Cache", "cut", "documents", "join_groups", "per_text", "query", "staged", "unused"]
+__all__ = ["HOT_KEYS", "ORACLES", "QUERIES", "Cache", "cut", "documents", "drawn", "join_groups", "per_text", "query", "staged", "unused"]

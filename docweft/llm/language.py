@@ -23,9 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.llm.common import documents, per_text, query
+from docweft.llm.common import documents, drawn, per_text, query
 from docweft.llm.letters import SCRIPTS, Words, words_of
-from docweft.operators.numbering import top_per_key
 
 BUCKETS = 1 << 16
 #: At most so many labelled texts per language are learned from, none above so many characters.
@@ -76,11 +75,11 @@ def fitted(texts: list[str], langs: list[str]) -> Model:
 
 
 def sampled(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """``(text, lang)``: the rows to learn from, at most ``SAMPLE`` per language, drawn by hash."""
+    """``(text, lang)``: the different texts to learn from, at most ``SAMPLE`` per language, drawn by hash."""
     own = (F.crc32(F.col(key).cast("string").cast("binary")) % 5 != 0) | F.col(key).isNull()
     fits = F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) <= SAMPLE_CHARS)
     rows = docs.where(own & fits).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    return top_per_key(rows, ["lang"], [F.xxhash64("text"), F.col("text")], SAMPLE).select("text", "lang")
+    return drawn(rows, "lang", "text", SAMPLE).select("text", "lang")
 
 
 def learned(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:

@@ -371,3 +371,16 @@ def test_stages_keep_the_columns_of_documents(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[1:4]:
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+
+
+def test_drawn_samples_are_the_smallest_hashes(spark):
+    from docweft.llm.common import drawn
+    from docweft.operators.numbering import top_per_key
+
+    kind = F.when(F.col("id") % 400 == 0, None).when(F.col("id") % 400 < 100, "b").otherwise("a")
+    rows = spark.range(20_000).select((F.col("id") % 16_000).alias("id"), kind.alias("kind"))
+    order = [F.pmod(F.xxhash64("id"), F.lit(1 << 40)), F.col("id")]
+    want = {(r.kind, r.id) for r in top_per_key(rows.distinct(), ["kind"], order, 300).collect()}
+    got = list(map(tuple, drawn(rows, "kind", "id", 300).collect()))
+    assert len(got) == len(set(got)) and set(got) == want
+    assert drawn(rows.where("id < 0"), "kind", "id", 300).count() == 0
