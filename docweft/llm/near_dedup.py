@@ -9,14 +9,16 @@ its next arrival is later than every register's first one.
 
 ``BANDS`` bands of ``ROWS`` registers give buckets: a pair at similarity 0.8
 shares at least one but for 3 in 10^6 cases. Only distinct texts take part; a
-class holds the copies of its texts too. In a bucket a few representatives, drawn
-anew per bucket, are compared with all members, so pairs grow with the rows of
-the bucket and not with their square. Pairs whose signatures agree in far too few
-registers go first (six standard deviations). A remaining pair counts if the Jaccard
-similarity of its distinct shingles, taken exactly on both whole texts, reaches
-the threshold. Links give components. Buckets that still hold several components
-and more members than were all compared go through further rounds with other
-representatives, until a round adds no link.
+class holds the copies of its texts too. In a bucket a few representatives are
+compared with all members, so pairs grow with the rows of the bucket and not with
+their square. The first round draws them in one order for all buckets, so that texts
+that meet in many buckets make the same few pairs there; later rounds draw them anew
+per bucket. Pairs whose signatures agree in far too few registers go first (six
+standard deviations). A remaining pair counts if the Jaccard similarity of its
+distinct shingles, taken exactly on both whole texts, reaches the threshold. Links
+give components. Buckets that still hold several components and more members than
+were all compared go through further rounds with other representatives, and with
+pairs that no round has compared yet, until a later round adds no link.
 
 Defined cases: a null text is empty; texts are compared in lower case, cut at
 white space; a text shorter than a shingle is one shingle of all its words;
@@ -153,12 +155,13 @@ def among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Pairs whose signatures don't rule out the similarity; ``nodes`` has ``node`` and ``sketch``.
+    """Pairs ``(a, b)``, whose signatures don't rule out the similarity, with their other columns; ``nodes`` has ``node`` and ``sketch``.
 
     They agree in no fewer registers than six standard deviations below those expected at ``least``.
     """
     agreeing = int(least * REGISTERS - 6 * (REGISTERS * least * (1 - least)) ** 0.5)
     named = among(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")), "node").select("node", "sketch")
+    columns = pairs.columns
     both = _beside(_beside(pairs, named, "a", "b"), named, "b", "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,9 +170,9 @@ def likely(pairs: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> DataFr
                 np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS) for c in ("of_a", "of_b")
             )
             keep = pa.array((one == two).sum(axis=1) >= agreeing)
-            yield batch.select(["a", "b"]).filter(keep)
+            yield batch.select(columns).filter(keep)
 
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(check, "a bigint, b bigint")
+    return both.select(*columns, "of_a", "of_b").mapInArrow(check, pairs.schema)
 
 
 def _beside(pairs: DataFrame, nodes: DataFrame, side: str, other: str) -> DataFrame:
@@ -182,18 +185,19 @@ def _beside(pairs: DataFrame, nodes: DataFrame, side: str, other: str) -> DataFr
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """The pairs ``(a, b)`` that are similar enough; ``nodes`` has ``node`` and ``text``.
+    """The pairs ``(a, b)`` that are similar enough, with their other columns; ``nodes`` has ``node`` and ``text``.
 
     Only texts of such nodes are shuffled.
     """
     named = among(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")), "node").select("node", "text")
+    columns = pairs.columns
     sides = _beside(_beside(pairs, named, "b", "a"), named, "a", "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, frozenset()
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = []
+            a = batch.column("a").to_pylist()
+            keep = np.zeros(batch.num_rows, bool)
             for at in range(batch.num_rows):
                 if a[at] != last:
                     last, held = a[at], _shingles(batch.column("of_a")[at].as_py())
@@ -201,35 +205,37 @@ def verified(pairs: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> Data
                 fewer, more = sorted((len(held), len(other)))
                 if fewer >= least * more:
                     both = len(held & other)
-                    if both >= least * (len(held) + len(other) - both):
-                        keep.append(at)
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a[i] for i in keep], pa.int64()), "b": pa.array([b[i] for i in keep], pa.int64())})
+                    keep[at] = both >= least * (len(held) + len(other) - both)
+            yield batch.select(columns).filter(pa.array(keep))
 
-    return sides.select("a", "b", "of_a", "of_b").mapInArrow(check, "a bigint, b bigint")
+    return sides.select(*columns, "of_a", "of_b").mapInArrow(check, pairs.schema)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``(node, root)``: the smallest node of each node's component, over links ``(a, b)``.
+    """``(node, root)``: the smallest node of each node's component, over links ``(a, b)``; written already.
 
     Rounds of large and small stars: every node points its larger neighbours, then
     its smaller ones, to the smallest. Only minima are gathered per node, so a
     node of any degree takes part in partial sums and split joins.
     """
     links = staged(links.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct(), "links")
-    state = None
-    while True:
+    while not _stars(links):
         both = links.unionByName(links.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        links = _pointed(both, F.col("root") > F.col("node"))
-        links = staged(_pointed(links, F.lit(True), keep=True), "links")
-        now = tuple(links.agg(F.count(F.lit(1)), F.sum("root"), F.bit_xor(F.xxhash64("node", "root"))).first())
-        if now == state:
-            return links
-        state = now
+        near = staged(_pointed(both, F.col("root") > F.col("node")), "stars")
+        links = staged(_pointed(near, F.lit(True), keep=True), "links")
+    return links
+
+
+def _stars(links: DataFrame) -> bool:
+    """Whether every node has one root, which has none itself."""
+    up = F.struct(F.col("node").alias("end"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    down = F.struct(F.col("root").alias("end"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    ends = links.select(F.inline(F.array(up, down))).groupBy("end").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up + down > 1").isEmpty()
 
 
 def _pointed(links: DataFrame, which: Column, keep: bool = False) -> DataFrame:
-    """Neighbours ``root`` of ``node``, where ``which`` holds, to the smallest neighbour or the node itself."""
-    links = staged(links, "stars")
+    """Neighbours ``root`` of ``node``, where ``which`` holds, to the smallest neighbour or the node itself; ``links`` are written."""
     least = links.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.least(F.min("root"), F.col("node")).alias("low"))
     told = join_groups(links.where(which), staged(least, "least"), "node", "n", links.count())
     out = told.select(F.col("root").alias("node"), F.col("low").alias("root"))
@@ -239,8 +245,9 @@ def _pointed(links: DataFrame, which: Column, keep: bool = False) -> DataFrame:
 
 
 def _pairs(members: DataFrame, total: int, turn: int) -> DataFrame:
-    """Each bucket's representatives of this turn with the members of its other components."""
-    drawn = F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("at"), "node", "label")
+    """Each bucket's representatives of this turn with the members of its other components: ``(a, b, of, to)``, the last two their labels."""
+    order = F.xxhash64("node", "key", F.lit(turn)) if turn else F.xxhash64("node")
+    drawn = F.struct(order.alias("at"), "node", "label")
     ranked = members.select("key", drawn.alias("m"))
     ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("m"))).where(F.col("place") <= REPRESENTATIVES)
     chosen = ranked.groupBy("key").agg(F.collect_list("m").alias("chosen"))
@@ -248,7 +255,9 @@ def _pairs(members: DataFrame, total: int, turn: int) -> DataFrame:
     groups = staged(chosen.join(sizes, "key"), "chosen")
     rows = join_groups(members, groups, "key", "n", total).withColumn("m", F.explode("chosen"))
     rows = rows.where("m.node <> node AND m.label <> label")
-    return rows.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct()
+    ends = F.struct("node", "label"), F.struct("m.node", "m.label")
+    rows = rows.select(F.least(*ends).alias("one"), F.greatest(*ends).alias("two"))
+    return rows.selectExpr("one.node AS a", "two.node AS b", "one.label AS of", "two.label AS to").distinct()
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
@@ -269,17 +278,22 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     members = staged(_members(members, crowded, total * BANDS).withColumn("label", F.col("node")), "buckets")
     texts = rows.select(F.col("at").alias("node"), "text")
     sketches = rows.select(F.col("at").alias("node"), "sketch")
-    labels, turn = None, 0
+    labels, compared, turn = None, None, 0
     while (size := members.count()) > 0:
-        pairs = staged(likely(staged(_pairs(members, size, turn), "pairs"), sketches, least), "likely")
-        links = staged(verified(pairs, texts, least), "similar")
-        if links.isEmpty():
+        pairs = _pairs(members, size, turn)
+        if compared is not None:
+            pairs = pairs.join(compared, ["a", "b"], "left_anti")
+        pairs = staged(pairs, "pairs")
+        compared = pairs.select("a", "b") if compared is None else compared.unionByName(pairs.select("a", "b"))
+        links = staged(verified(staged(likely(pairs, sketches, least), "likely"), texts, least), "similar")
+        found = not links.isEmpty()
+        if turn and not found:
             break
-        if labels is not None:
-            links = _relabelled(_relabelled(links, labels, "a"), labels, "b")
-        roots = staged(components(links), "roots")
-        labels = roots if labels is None else _combined(labels, roots)
-        members = _open(members, roots)
+        if found:
+            roots = components(links.select(F.col("of").alias("a"), F.col("to").alias("b")))
+            labels = roots if labels is None else _combined(labels, roots)
+            members = staged(_relabelled(members, roots, "label"), "relabelled")
+        members = _open(members)
         turn += 1
     merged = copies.withColumn("label", F.col("node"))
     if labels is not None:
@@ -296,8 +310,7 @@ def _members(members: DataFrame, crowded: DataFrame, total: int) -> DataFrame:
 
 
 def _relabelled(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
-    """Rows with ``column`` replaced by its root, where it has one."""
-    rows = staged(rows, "rows")
+    """Rows, which are written, with ``column`` replaced by its root, where it has one."""
     used = rows.groupBy(F.col(column).alias("node")).agg(F.count(F.lit(1)).alias("uses"))
     known = used.join(roots, "node", "left").select(F.col("node").alias(column), "uses", F.coalesce("root", "node").alias("to"))
     return join_groups(rows, staged(known, "known"), column, "uses", rows.count()).drop(column, "uses").withColumnRenamed("to", column)
@@ -310,9 +323,8 @@ def _combined(labels: DataFrame, roots: DataFrame) -> DataFrame:
     return staged(moved.select("node", "root").unionByName(new.select("node", "root")), "labels")
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+def _open(members: DataFrame) -> DataFrame:
     """Members of buckets that hold several components and were not compared in full."""
-    members = staged(_relabelled(members, roots, "label"), "relabelled")
     state = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     state = staged(state.where(f"n > {REPRESENTATIVES + 1} AND low < high").select("key", "n"), "open")
     return staged(join_groups(members, state, "key", "n", members.count()).select("key", "node", "label"), "buckets")
