@@ -46,6 +46,7 @@ REPRESENTATIVES = 3
 REGISTERS = BANDS * ROWS
 BITS = 1 << 23
 SALTS = 16
+OFTEN = 32
 _U64 = np.uint64
 
 
@@ -145,13 +146,18 @@ def similarity(a: str, b: str) -> float:
     return both / (len(one) + len(two) - both)
 
 
-def among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows whose id is, but for few others, among ``ids``; a bit table of fixed size is broadcast, the rows stay where they are."""
+def marked(rows: DataFrame, ids: DataFrame, column: str, name: str) -> DataFrame:
+    """Rows with ``name``, true where the id is among ``ids`` and for few others; a bit table of fixed size is broadcast, the rows stay where they are."""
     bit = f"pmod(xxhash64({column}), {BITS})"
     table = ids.select(F.expr(f"{bit} div 64").alias("bit_at"), F.expr(f"shiftleft(1L, cast({bit} % 64 as int))").alias("bits"))
     table = table.groupBy("bit_at").agg(F.bit_or("bits").alias("bits"))
-    held = rows.withColumn("bit_at", F.expr(f"{bit} div 64")).join(F.broadcast(table), "bit_at")
-    return held.where(F.expr(f"bits & shiftleft(1L, cast({bit} % 64 as int)) <> 0")).drop("bit_at", "bits")
+    held = rows.withColumn("bit_at", F.expr(f"{bit} div 64")).join(F.broadcast(table), "bit_at", "left")
+    return held.withColumn(name, F.expr(f"coalesce(bits & shiftleft(1L, cast({bit} % 64 as int)), 0L) <> 0")).drop("bit_at", "bits")
+
+
+def among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows whose id is, but for few others, among ``ids``."""
+    return marked(rows, ids, column, "is_among").where("is_among").drop("is_among")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -162,7 +168,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> DataFr
     agreeing = int(least * REGISTERS - 6 * (REGISTERS * least * (1 - least)) ** 0.5)
     named = among(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")), "node").select("node", "sketch")
     columns = pairs.columns
-    both = _beside(_beside(pairs, named, "a", "b"), named, "b", "a")
+    both = _beside(_beside(_often(pairs), named, "a", "b"), named, "b", "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,12 +182,24 @@ def likely(pairs: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> DataFr
 
 
 def _beside(pairs: DataFrame, nodes: DataFrame, side: str, other: str) -> DataFrame:
-    """Pairs with the sketch or text of one side, which may be in many pairs and is salted by the other."""
-    value = nodes.columns[1]
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
+    """Pairs with the sketch or text of one side.
+
+    A side in more than ``OFTEN`` pairs, which may hold most of them, is salted by the
+    other; the rest, marked by ``_often``, meets its value in one shuffle.
+    """
+    value, often = nodes.columns[1], f"often_{side}"
     own = nodes.select(F.col("node").alias(side), F.col(value).alias(f"of_{side}"))
+    salted = pairs.where(often).withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
     spread = salted.select(side, "salt").distinct().join(own, side)
-    return salted.join(spread, [side, "salt"]).drop("salt")
+    return pairs.where(f"NOT {often}").join(own, side).unionByName(salted.join(spread, [side, "salt"]).drop("salt")).drop(often)
+
+
+def _often(pairs: DataFrame) -> DataFrame:
+    out = pairs
+    for side in ("a", "b"):
+        many = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")).where(f"n > {OFTEN}")
+        out = marked(out, many, side, f"often_{side}")
+    return out
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -191,7 +209,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> Data
     """
     named = among(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")), "node").select("node", "text")
     columns = pairs.columns
-    sides = _beside(_beside(pairs, named, "b", "a"), named, "a", "b")
+    sides = _beside(_beside(_often(pairs), named, "b", "a"), named, "a", "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, frozenset()
