@@ -10,15 +10,16 @@ its next arrival is later than every register's first one.
 ``BANDS`` bands of ``ROWS`` registers give buckets: a pair at similarity 0.8
 shares at least one but for 3 in 10^6 cases. Only distinct texts take part; a
 class holds the copies of its texts too. In a bucket a few representatives are
-compared with all members, so pairs grow with the rows of the bucket and not with
-their square. The first round draws them in one order for all buckets, so that texts
-that meet in many buckets make the same few pairs there; later rounds draw them anew
-per bucket. Pairs whose signatures agree in far too few registers go first (six
-standard deviations). A remaining pair counts if the Jaccard similarity of its
-distinct shingles, taken exactly on both whole texts, reaches the threshold. Links
-give components. Buckets that still hold several components and more members than
-were all compared go through further rounds with other representatives, and with
-pairs that no round has compared yet, until a later round adds no link.
+compared with all members, drawn in one order for all buckets, so that texts that
+meet in many buckets make the same few pairs there. Pairs whose signatures agree in
+far too few registers go first (six standard deviations). A remaining pair counts if
+the Jaccard similarity of its distinct shingles, taken exactly on both whole texts,
+reaches the threshold. Links give components. The texts of buckets that still hold
+several components and more members than were all compared meet once more by their
+rarest shingles: two texts at the threshold share one of the first
+``size - threshold * size + 1`` shingles of either in any common order, and cannot
+differ in size, or stand so late in both, by more than the threshold leaves. These
+bounds lose no pair, so every pair of such a bucket is compared or ruled out.
 
 Defined cases: a null text is empty; texts are compared in lower case, cut at
 white space; a text shorter than a shingle is one shingle of all its words;
@@ -29,6 +30,7 @@ repeated ``doc_id`` is a row of its own. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docweft.llm.common import Cache, documents, join_groups, per_text, query, staged, unused
+from docweft.llm.common import Cache, cut, documents, join_groups, per_text, query, staged, unused
 
 WORDS = 5
 SIMILAR = 0.8
@@ -47,6 +49,9 @@ REGISTERS = BANDS * ROWS
 BITS = 1 << 23
 SALTS = 16
 OFTEN = 32
+SLOTS = 1 << 18
+BLOCK = 512
+_SLACK = 1e-9
 _U64 = np.uint64
 
 
@@ -262,10 +267,9 @@ def _pointed(links: DataFrame, which: Column, keep: bool = False) -> DataFrame:
     return out.where("node <> root").select(F.greatest("node", "root").alias("node"), F.least("node", "root").alias("root")).distinct()
 
 
-def _pairs(members: DataFrame, total: int, turn: int) -> DataFrame:
-    """Each bucket's representatives of this turn with the members of its other components: ``(a, b, of, to)``, the last two their labels."""
-    order = F.xxhash64("node", "key", F.lit(turn)) if turn else F.xxhash64("node")
-    drawn = F.struct(order.alias("at"), "node", "label")
+def _pairs(members: DataFrame, total: int) -> DataFrame:
+    """Each bucket's representatives with the other members: ``(a, b, of, to)``, the last two their labels."""
+    drawn = F.struct(F.xxhash64("node").alias("at"), "node", "label")
     ranked = members.select("key", drawn.alias("m"))
     ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("m"))).where(F.col("place") <= REPRESENTATIVES)
     chosen = ranked.groupBy("key").agg(F.collect_list("m").alias("chosen"))
@@ -278,6 +282,73 @@ def _pairs(members: DataFrame, total: int, turn: int) -> DataFrame:
     return rows.selectExpr("one.node AS a", "two.node AS b", "one.label AS of", "two.label AS to").distinct()
 
 
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (_mixed(hashes, 5) % _U64(SLOTS)).astype(np.int64)
+
+
+def _frequencies(texts: DataFrame) -> np.ndarray:
+    """How many texts hold the shingles of each slot; it orders shingles and decides nothing, so shared slots do no harm."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for part in cut(batch, "text", 4 << 20):
+                for t in part.column("text").to_pylist():
+                    np.add.at(seen, _slots(shingle_hashes(t.lower().split())[0]), 1)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(at, pa.int64()), "n": pa.array(seen[at], pa.int64())})
+
+    # At most SLOTS rows, whatever the corpus.
+    rows = texts.select("text").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(SLOTS, np.int64)
+    table[rows["slot"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
+    return table
+
+
+def rarest(text: str, frequency: np.ndarray, least: float = SIMILAR) -> tuple[int, np.ndarray]:
+    """How many shingles a text has, and its rarest ones; texts at ``least`` or more have one of them in common."""
+    hashes, _ = shingle_hashes(text.lower().split())
+    order = np.lexsort((hashes, frequency[_slots(hashes)]))
+    return len(hashes), hashes[order[: len(hashes) - math.ceil(least * len(hashes) - _SLACK) + 1]]
+
+
+def remaining(labels: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """``(a, b, of, to)``: all pairs of the labelled nodes with other labels that shares of rare shingles don't rule out.
+
+    ``labels`` has ``node`` and ``label`` and is written, ``texts`` has ``node`` and ``text``. A shingle of many texts is
+    cut into blocks, and every block meets every block.
+    """
+    named = among(texts, labels, "node")
+    sent = texts.sparkSession.sparkContext.broadcast(_frequencies(named))
+
+    def index(found: list[str], batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        first = [rarest(t, sent.value, least) for t in found]
+        return {
+            "node": batch.column("node"),
+            "size": pa.array([n for n, _ in first], pa.int64()),
+            "shingles": pa.array([h.view(np.int64) for _, h in first], pa.list_(pa.int64())),
+        }
+
+    rows = per_text(named, index, "node bigint, size bigint, shingles array<bigint>").join(labels, "node")
+    rows = staged(rows.select("node", "label", "size", F.posexplode("shingles").alias("place", "shingle")), "index")
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    shared = staged(shared.where("low < high").select("shingle", F.col("n").alias("uses")), "shared")
+    rows = staged(join_groups(rows, shared, "shingle", "uses", rows.count()), "meeting")
+
+    def side(name: str, own: str, other: str) -> DataFrame:
+        count = F.ceil(F.col("uses") / F.lit(BLOCK)).cast("int")
+        dealt = rows.withColumn(own, F.pmod(F.xxhash64("node"), count).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), count - 1)))
+        return dealt.select("shingle", "i", "j", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "label", "size", "place")])
+
+    fits = F.expr(
+        f"a_node < b_node AND a_label <> b_label AND least(a_size, b_size) + {_SLACK}D >= {least!r}D * greatest(a_size, b_size)"
+        f" AND least(a_size - a_place, b_size - b_place) + {_SLACK}D >= {least / (1 + least)!r}D * (a_size + b_size)"
+    )
+    one, two = side("a", "i", "j"), side("b", "j", "i")
+    met = one.join(two, (one["shingle"] == two["shingle"]) & (one["i"] == two["i"]) & (one["j"] == two["j"]) & fits)
+    return met.selectExpr("a_node AS a", "b_node AS b", "a_label AS of", "b_label AS to").distinct()
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
     """``(doc_id, class_id, class_size, kept)`` per row.
 
@@ -296,23 +367,19 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     members = staged(_members(members, crowded, total * BANDS).withColumn("label", F.col("node")), "buckets")
     texts = rows.select(F.col("at").alias("node"), "text")
     sketches = rows.select(F.col("at").alias("node"), "sketch")
-    labels, compared, turn = None, None, 0
-    while (size := members.count()) > 0:
-        pairs = _pairs(members, size, turn)
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        compared = pairs.select("a", "b") if compared is None else compared.unionByName(pairs.select("a", "b"))
-        links = staged(verified(staged(likely(pairs, sketches, least), "likely"), texts, least), "similar")
-        found = not links.isEmpty()
-        if turn and not found:
-            break
-        if found:
-            roots = components(links.select(F.col("of").alias("a"), F.col("to").alias("b")))
-            labels = roots if labels is None else _combined(labels, roots)
-            members = staged(_relabelled(members, roots, "label"), "relabelled")
-        members = _open(members)
-        turn += 1
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return staged(verified(staged(likely(pairs, sketches, least), "likely"), texts, least), "similar").select(F.col("of").alias("a"), F.col("to").alias("b"))
+
+    labels = None
+    if (size := members.count()) > 0:
+        pairs = staged(_pairs(members, size), "pairs")
+        labels = components(linked(pairs))
+        left = _open(staged(_relabelled(members, labels, "label"), "relabelled")).select("node", "label").distinct()
+        left = staged(left, "left")
+        if not left.isEmpty():
+            rest = remaining(left, texts, least).join(pairs, ["a", "b"], "left_anti")
+            labels = _combined(labels, components(linked(staged(rest, "rest"))))
     merged = copies.withColumn("label", F.col("node"))
     if labels is not None:
         merged = _relabelled(merged, labels, "label")

@@ -161,6 +161,46 @@ def test_near_copies_equal_brute_force(spark):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_near_copies_in_crowded_buckets_equal_brute_force(spark, monkeypatch):
+    """All texts resemble each other at 0.75 to 0.8, thirty pairs of them at 0.84; most buckets hold most texts."""
+    monkeypatch.setattr(near_dedup, "REPRESENTATIVES", 1)
+    draw = random.Random(7)
+    places = draw.sample([(p, q) for p in range(5, 195, 5) for q in range(5, 195, 5) if p < q], 200)
+    texts, twin = [], {}
+    for n, (p, q) in enumerate(places):
+        words = [f"t{i}" for i in range(200)]
+        words[p] = f"own{n}a"
+        words[q] = f"own{n}b"
+        texts.append(" ".join(words + [f"end{n}x{i}" for i in range(8)]))
+    for n in range(30):
+        words = texts[n].split()[:200]
+        p, q = places[n]
+        words[q] = f"t{q}"
+        r = next(r for r in range(5, 195, 5) if r not in (p, q) and tuple(sorted((p, r))) not in places)
+        places.append(tuple(sorted((p, r))))
+        words[r] = f"twin{n}"
+        texts.append(" ".join(words + [f"twin{n}x{i}" for i in range(8)]))
+        twin[200 + n] = n
+    near = {(i, j) for i in range(len(texts)) for j in range(i) if _jaccard(texts[i], texts[j]) >= 0.8}
+    assert near == set(twin.items())
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(rows).collect()}
+    assert got == {i: twin.get(i, i) for i in range(len(texts))}
+
+
+def test_rare_shingles_meet_whatever_the_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    draw = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[: draw.randint(40, 60)] + [f"x{draw.randint(0, 3)}" for _ in range(draw.randint(0, 6))]) for _ in range(40)]
+    texts += ["one", "one two", "one two three four five"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    labels = rows.select("node", (F.col("node") % 30).alias("label"))
+    found = {(r["a"], r["b"]) for r in near_dedup.remaining(labels, rows).collect()}
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if _jaccard(texts[i], texts[j]) >= 0.8}
+    assert {(i, j) for i, j in near if i % 30 != j % 30} <= found and all(i % 30 != j % 30 for i, j in found)
+
+
 def test_registers_agree_as_often_as_the_bags_are_similar():
     a, b = (np.arange(lo, lo + 100, dtype=np.uint64) for lo in (0, 20))
     ones = np.ones(100, dtype=np.int64)
