@@ -1,7 +1,8 @@
 """Near duplicates by ProbMinHash, banding and exact verification.
 
-A text is a bag of word shingles; a shingle seen ``c`` times weighs ``1 + ln c``.
-Each shingle runs a Poisson process whose rate is its weight: its arrivals come
+A bag of word shingles gives a signature; a shingle seen ``c`` times weighs ``1 + ln c``.
+Texts enter with each distinct shingle once, as the criterion counts them: a line
+that repeats in one copy only leaves the signatures alike. Each shingle runs a Poisson process whose rate is its weight: its arrivals come
 later and later, and each falls on a random register. A register keeps the
 shingle that reached it first, so two signatures agree in a register with the
 probability Jaccard similarity of the weighted bags. A shingle stops as soon as
@@ -121,7 +122,8 @@ def _sketch(texts: list[str], batch: pa.RecordBatch) -> dict[str, pa.Array]:
         words = text.lower().split()
         digests.append(hashlib.blake2b(" ".join(words).encode("utf-8"), digest_size=16).digest())
         if words:
-            bags.append(shingle_hashes(words))
+            hashes, _ = shingle_hashes(words)
+            bags.append((hashes, np.ones(len(hashes), np.int64)))
             places.append(at)
     bands: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
     sketch = [b""] * len(texts)

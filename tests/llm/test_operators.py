@@ -201,6 +201,23 @@ def test_rare_shingles_meet_whatever_the_blocks(spark, monkeypatch):
     assert {(i, j) for i, j in near if i % 30 != j % 30} <= found and all(i % 30 != j % 30 for i, j in found)
 
 
+def test_near_copies_with_a_line_repeated_in_one_of_them(spark):
+    draw = random.Random(9)
+    texts = []
+    for n in range(60):
+        base = [f"w{n}x{i}" for i in range(170)]
+        copy = list(base)
+        for at in (100, 120, 140):
+            copy[at] = f"changed{n}x{at}"
+        line = base[20 : 20 + draw.choice([20, 40, 70])]
+        texts += [" ".join(base), " ".join(copy[:90] + line * draw.choice([30, 100, 500, 1000]) + copy[90:])]
+    near = [_jaccard(a, b) >= 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    assert sum(near) >= 20
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(rows).collect()}
+    assert got == {i: i - (i % 2 and near[i // 2]) for i in range(len(texts))}
+
+
 def test_registers_agree_as_often_as_the_bags_are_similar():
     a, b = (np.arange(lo, lo + 100, dtype=np.uint64) for lo in (0, 20))
     ones = np.ones(100, dtype=np.int64)
