@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docweft.llm.common import Cache, cut, documents, join_groups, per_text, query, staged, unused
+from docweft.llm.common import Cache, cut, documents, join_groups, per_text, query, staged
 
 WORDS = 5
 SIMILAR = 0.8
@@ -133,7 +133,7 @@ def _sketch(texts: list[str], batch: pa.RecordBatch) -> dict[str, pa.Array]:
         for at, keys, low in zip(places, band_keys(signature), short, strict=True):
             bands[at], sketch[at] = keys, low.tobytes()
     return {
-        "doc_id": batch.column("doc_id"),
+        **{name: batch.column(name) for name in batch.schema.names if name != "text"},
         "text": pa.array(texts, pa.string()),
         "digest": pa.array(digests, pa.binary()),
         "bands": pa.array(bands, pa.list_(pa.int64())),
@@ -356,9 +356,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
 
     ``class_id`` is the smallest ``doc_id`` of the class, nulls last; one row of a class is kept.
     """
-    source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    kind = docs.schema[key].dataType.simpleString()
-    rows = per_text(source, _sketch, f"doc_id {kind}, text string, digest binary, bands array<bigint>, sketch binary")
+    return _classed(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), least)[1].drop("at")
+
+
+def _classed(source: DataFrame, least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """The written rows, with all columns of ``source`` and their place ``at``, and what ``classes`` gives, with ``at``."""
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "text")
+    rows = per_text(source, _sketch, f"{kept}, text string, digest binary, bands array<bigint>, sketch binary")
     rows = staged(rows.withColumn("at", F.monotonically_increasing_id()), "sketches")
     total = rows.count()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first")
@@ -389,7 +393,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     whole = merged.groupBy("label").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("class_size"), F.min("first").alias("keeper"))
     merged = join_groups(merged.drop("first"), staged(whole, "whole"), "label", "texts", merged.count())
     out = join_groups(rows.select("doc_id", "at", "digest"), staged(merged.select("digest", "n", "class_size", "keeper"), "named"), "digest", "n", total)
-    return out.select("doc_id", F.col("keeper.doc_id").alias("class_id"), "class_size", (F.col("at") == F.col("keeper.at")).alias("kept"), "digest")
+    found = out.select("doc_id", F.col("keeper.doc_id").alias("class_id"), "class_size", (F.col("at") == F.col("keeper.at")).alias("kept"), "digest", "at")
+    return rows, found
 
 
 def _members(members: DataFrame, crowded: DataFrame, total: int) -> DataFrame:
@@ -419,10 +424,12 @@ def _open(members: DataFrame) -> DataFrame:
 
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with its columns: one per class."""
-    own, place = unused(docs, "near_key"), unused(docs, "near_place")
-    gone = classes(docs, key, text).where("kept").select(F.col("doc_id").alias(own)).distinct()
-    one = docs.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(text))).where(F.col(place) == 1)
-    return one.join(gone, one[key].eqNullSafe(gone[own]), "left_semi").select(*docs.columns)
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text]
+    own = F.struct(F.col(text).isNull().alias("none"), *others).alias("own")
+    rows, found = _classed(docs.select(F.col(key).alias("doc_id"), own, F.col(text).alias("text")))
+    one = rows.join(found.where("kept").select("at"), "at", "left_semi")
+    back = [F.expr("if(own.none, NULL, text)") if c == text else F.col(f"own.c{i}") for i, c in enumerate(docs.columns)]
+    return one.select(*[c.alias(name) for c, name in zip(back, docs.columns, strict=True)])
 
 
 @query("op4_near_dedup")

@@ -233,6 +233,20 @@ def test_near_copies_on_awkward_rows(spark):
     assert near_dedup.without_near_copies(awkward(spark)).columns == awkward(spark).columns
 
 
+def test_one_row_of_each_class_stays_whatever_the_ids(spark):
+    texts = [" ".join(f"w{n}x{i}" for i in range(80)) for n in range(6)]
+    copies = [t.replace("x40", "changed") for t in texts]
+    # Null ids with different texts; an id of two texts, the smaller one a copy of a text with a smaller id; null and empty texts.
+    rows = [(None, texts[0]), (None, texts[1]), (None, copies[1]), (None, texts[2]), (1, texts[3]), (5, texts[4]), (5, copies[3]), (5, texts[4]), (7, texts[5]), (7, copies[5]), (8, None), (8, "")]
+    docs = spark.createDataFrame([(i, n, t) for n, (i, t) in enumerate(rows)], "doc_id bigint, at int, text string")
+    stay = near_dedup.without_near_copies(docs)
+    assert stay.schema.simpleString() == docs.schema.simpleString()
+    kept = [tuple(r) for r in stay.collect()]
+    assert set(kept) <= {(i, n, t) for n, (i, t) in enumerate(rows)}
+    groups = [{0}, {1, 2}, {3}, {4, 6}, {5, 7}, {8, 9}, {10, 11}]
+    assert len(kept) == len(groups) and all(len({n for _, n, _ in kept} & g) == 1 for g in groups)
+
+
 # ---- personal data ----------------------------------------------------------
 
 BASE = {
