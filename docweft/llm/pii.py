@@ -10,11 +10,13 @@ information over the information of the entity,
 where ``n(t, e)`` counts documents with the term within ``WINDOW`` words of the
 entity. It is 1 if the term never occurs without the entity. Terms at or above
 ``GENERALISE`` whose pairs occur in ``SUPPORT`` different texts are spans too, of
-kind ``term``, wherever they stand in the window of their entity: in sanitised
-text they are generalised to the kind of word they are and, from ``REMOVE`` on,
-removed. Words without an entity beside them are never touched.
+kind ``term``, wherever they stand in any text, with or without their entity: in
+sanitised text they are generalised to the kind of word they are and, from
+``REMOVE`` on, removed. Words that never stand beside an entity are not touched.
+Of an entity in fewer than ``SUPPORT`` different texts only its own spans are
+replaced, as so few texts say nothing of the words beside it.
 
-All counts cover all documents. Pairs (entity, term) are aggregated per task
+All counts cover all documents, and a second scan of all texts finds the terms. Pairs (entity, term) are aggregated per task
 before they are shuffled; frequent pairs are joined by broadcast. Of the words of
 the corpus only those go on whose bit is set in a table of ``BITS`` bits of the
 terms in question; its size is fixed.
@@ -28,8 +30,10 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +61,7 @@ _TERM = re.compile(r"[^\W\d_]{3,}")
 
 FOUND = "array<struct<kind:string,start:bigint,end:bigint,entity:bigint>>"
 TERMS = "array<struct<entity:bigint,term:string,start:bigint,end:bigint>>"
+PLACES = "array<struct<term:string,start:bigint,end:bigint>>"
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -124,18 +129,34 @@ def _beside(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
         yield m[0].lower(), m.start(), m.end()
 
 
+def _found(text: str) -> list[dict]:
+    return [{"kind": k, "start": s, "end": e, "entity": entity_of(k, text[s:e])} for k, s, e in base_spans(text)]
+
+
+def _free(found: list[dict]) -> Callable[[int, int], bool]:
+    """Whether a stretch of the text overlaps no base span."""
+    taken = sorted((f["start"], f["end"]) for f in found)
+    edges = [s for s, _ in taken]
+    reach = list(accumulate((e for _, e in taken), max))
+    return lambda start, end: (at := bisect_left(edges, end)) == 0 or reach[at - 1] <= start
+
+
 def _looked(text: str) -> tuple[list[dict], list[dict]]:
-    spans = base_spans(text)
-    found = [{"kind": k, "start": s, "end": e, "entity": entity_of(k, text[s:e])} for k, s, e in spans]
-    taken = sorted((s, e) for _, s, e in spans)
-    edges = np.array([s for s, _ in taken], dtype=np.int64)
-    reach = np.maximum.accumulate(np.array([e for _, e in taken], dtype=np.int64)) if taken else edges
+    found = _found(text)
+    free = _free(found)
     terms = []
     for f in found:
-        for word, start, end in _beside(text, f["start"], f["end"]):
-            at = int(np.searchsorted(edges, end))
-            if at == 0 or reach[at - 1] <= start:
-                terms.append({"entity": f["entity"], "term": word, "start": start, "end": end})
+        terms += [{"entity": f["entity"], "term": w, "start": s, "end": e} for w, s, e in _beside(text, f["start"], f["end"]) if free(s, e)]
+    return found, terms
+
+
+def _marked(text: str, asked_for: Cache) -> tuple[list[dict], list[dict]]:
+    """Base spans, and the places of the words asked for outside them."""
+    found = _found(text)
+    free, terms = _free(found), []
+    for m in _TERM.finditer(text):
+        if asked_for[word := m[0].lower()] and free(*m.span()):
+            terms.append({"term": word, "start": m.start(), "end": m.end()})
     return found, terms
 
 
@@ -143,19 +164,29 @@ def _bit(term: str) -> int:
     return zlib.crc32(term.encode("utf-8")) % BITS
 
 
-def _term_counts(texts: DataFrame, text: str, asked: DataFrame) -> DataFrame:
-    """``(term, n_term)``: documents that hold each asked term."""
+def _bit_table(asked: DataFrame) -> bytes:
+    """The bits of the asked terms."""
     words = asked.select(F.expr(f"crc32(encode(term, 'utf-8')) % {BITS}").alias("bit"))
     words = words.select(F.expr("bit div 64").alias("at"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("bits"))
     # At most BITS / 64 rows, whatever the corpus.
     rows = words.groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
     table = np.zeros(BITS // 64, dtype=np.int64)
     table[rows["at"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
-    sent = texts.sparkSession.sparkContext.broadcast(table.tobytes())
+    return table.tobytes()
+
+
+def _asked_for(table: bytes) -> Cache:
+    """Whether a word is, but for few others, among the asked terms."""
+    set_bits = np.frombuffer(table, dtype=np.uint64)
+    return Cache(lambda word: bool(int(set_bits[(bit := _bit(word)) >> 6]) >> (bit & 63) & 1), 1_000_000)
+
+
+def _term_counts(texts: DataFrame, text: str, asked: DataFrame) -> DataFrame:
+    """``(term, n_term)``: documents that hold each asked term."""
+    sent = texts.sparkSession.sparkContext.broadcast(_bit_table(asked))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        set_bits = np.frombuffer(sent.value, dtype=np.uint64)
-        asked_for = Cache(lambda word: bool(int(set_bits[(bit := _bit(word)) >> 6]) >> (bit & 63) & 1), 1_000_000)
+        asked_for = _asked_for(sent.value)
         seen: Counter = Counter()
         for batch in batches:
             for part in cut(batch, text, 4 << 20):
@@ -193,31 +224,45 @@ def disclosing(found: DataFrame, texts: DataFrame, text: str) -> DataFrame:
 def spans_of(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The carried columns of ``docs`` with ``found`` (base spans) and ``revealing`` (term spans) per row.
 
-    Each term span has its ``disclosure``, the highest of the entities beside it.
+    Each term span has its ``disclosure``, the highest of the entities that the term discloses.
     """
     carry = [text] if carry is None else carry
 
+    own = unused(docs, "looked_at")
+
     def look(texts: list[str], batch: pa.RecordBatch) -> dict[str, pa.Array]:
         looked = [_looked(t) for t in texts]
+        return {"digest": batch.column("digest"), "found": pa.array([a for a, _ in looked], _FOUND), "terms": pa.array([b for _, b in looked], _TERMS)}
+
+    beside = docs.select(F.xxhash64(F.col(text)).alias("digest"), F.col(text).alias(own))
+    beside = staged(per_text(beside, look, f"digest bigint, found {FOUND}, terms {TERMS}", own), "beside")
+    pairs = disclosing(beside, docs, text)
+    accepted = staged(pairs.groupBy(F.col("key.term").alias("term")).agg(F.max("disclosure").alias("disclosure")), "disclosing")
+    sent = docs.sparkSession.sparkContext.broadcast(_bit_table(accepted))
+    held: list[Cache] = []
+
+    def mark(texts: list[str], batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        if not held:
+            held.append(_asked_for(sent.value))
+        marks = [_marked(t, held[0]) for t in texts]
         out = {name: batch.column(name) for name in names}
-        return out | {"found": pa.array([a for a, _ in looked], _FOUND), "terms": pa.array([b for _, b in looked], _TERMS)}
+        return out | {"found": pa.array([a for a, _ in marks], _FOUND), "terms": pa.array([b for _, b in marks], _PLACES)}
 
-    own = unused(docs, "looked_at")
-    kept = docs.select(*[F.col(c) for c in carry], F.xxhash64(F.col(text)).alias("digest"), F.col(text).alias(own))
+    kept = docs.select(*[F.col(c) for c in carry], F.col(text).alias(own))
     names = [c for c in kept.columns if c != own]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != own)
-    rows = per_text(kept, look, f"{schema}, found {FOUND}, terms {TERMS}", own)
+    rows = per_text(kept, mark, f"{schema}, found {FOUND}, terms {PLACES}", own)
     rows = staged(rows.withColumn("at", F.monotonically_increasing_id()), "found")
-    pairs = staged(disclosing(rows.select("digest", "found", "terms"), docs, text), "disclosing")
-    beside = rows.select("at", F.explode("terms").alias("t")).select("at", F.struct("t.entity", "t.term").alias("key"), "t.start", "t.end")
-    told = join_groups(beside, pairs, "key", "n", beside.count())
-    told = told.groupBy("at", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    places = rows.select("at", F.explode("terms").alias("t")).select("at", "t.term", "t.start", "t.end")
+    uses = staged(places.groupBy("term").agg(F.count(F.lit(1)).alias("uses")).join(accepted, "term"), "uses")
+    told = join_groups(places, uses, "term", "uses", places.count())
     told = told.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("revealing"))
-    return rows.join(told, "at", "left").drop("at", "terms", "digest")
+    return rows.join(told, "at", "left").drop("at", "terms")
 
 
 _FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("entity", pa.int64())]))
 _TERMS = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+_PLACES = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _shape(word: str) -> str:

@@ -290,6 +290,18 @@ def test_terms_that_give_an_entity_away_are_found_and_cleaned(spark):
     assert all(got[6 + i] == t for i, t in enumerate(other)) and got[66] is None and got[67] == ""
 
 
+def test_terms_are_cleaned_far_from_their_entity_too(spark):
+    told = [f"filler{chr(97 + i)} about Zorblatt mail zed@example.com now" for i in range(30)]
+    far = "Zorblatt mail zed@example.com\n" + "plain " * 400 + "then ZORBLATT again"
+    alone = "here Zorblatt goes without the address"
+    other = [f"nothing about mail now or here then again plain goes without the address {chr(97 + i % 26) * 4}" for i in range(900)]
+    rows = spark.createDataFrame(list(enumerate([*told, far, alone, *other])), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.sanitised(rows).collect()}
+    assert not any("zorblatt" in t.lower() for t in got.values())
+    assert got[30].endswith("again") and got[30].count("plain") == 400 and got[31].endswith("goes without the address")
+    assert all(got[32 + i] == t for i, t in enumerate(other))
+
+
 # ---- archives ---------------------------------------------------------------
 
 
