@@ -1,14 +1,16 @@
 """Approximate neighbours by random hyperplanes.
 
 Vectors on the same side of all planes of a table share a bucket, and only
-bucket mates are scored. Three things keep buckets workable without leaving a
+bucket mates are scored. Two things keep buckets workable without leaving a
 mate out:
 
 * copies are folded: of equal corpus vectors only the smallest ids can be among
   anyone's k best, and equal questions have equal answers;
-* a bucket much larger than planned gets further planes of its own;
-* what is still large is cut into blocks, and every block pair is scored, so no
-  task holds a whole bucket.
+* a large bucket is cut into blocks, and every block pair is scored, so no task
+  holds a whole bucket.
+
+Planes grow with the corpus, and tables with the planes, so that a neighbour at
+cosine ``NEAR`` shares a bucket with the probability ``RECALL`` at any size.
 """
 
 from __future__ import annotations
@@ -28,9 +30,10 @@ from docweft.session import staged
 
 BUCKET_ROWS = 1024
 BLOCK_ROWS = 4096
-# Planes per table: those of the plan, and those a crowded bucket may add.
 MAX_BITS = 36
-SPARE_BITS = 24
+TABLES = 12
+NEAR = 0.9
+RECALL = 0.95
 MAX_CROWDED = 1_000_000
 
 
@@ -39,26 +42,30 @@ def copy_key(vector: str) -> Column:
     return F.md5(F.to_binary(F.array_join(F.transform(vector, lambda x: x.cast("string")), ","), F.lit("utf-8")))
 
 
+def tables_for(bits: int) -> int:
+    """As many tables as give ``RECALL`` for a neighbour at cosine ``NEAR``, and ``TABLES`` at least."""
+    together = (1 - math.acos(NEAR) / math.pi) ** bits
+    return max(TABLES, math.ceil(math.log(1 - RECALL) / math.log1p(-together)))
+
+
 def signatures(df: DataFrame, dim: int, tables: int, bits: int, seed: int = 7) -> DataFrame:
-    """One row per table: ``(…, tab INT, sig BIGINT, spare BIGINT)``."""
+    """One row per table: ``(…, tab INT, sig BIGINT)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        per_table = bits + SPARE_BITS
-        planes = np.random.default_rng(seed).normal(size=(dim, tables * per_table))
-        first, further = 1 << np.arange(bits, dtype=np.int64), 1 << np.arange(SPARE_BITS, dtype=np.int64)
+        planes = np.random.default_rng(seed).normal(size=(dim, tables * bits))
+        first = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             if rows.num_rows == 0:
                 continue
-            side = (vector_matrix(rows["embedding"]) @ planes > 0).reshape(rows.num_rows, tables, per_table)
+            side = (vector_matrix(rows["embedding"]) @ planes > 0).reshape(rows.num_rows, tables, bits)
             out = rows.take(pa.array(np.repeat(np.arange(rows.num_rows), tables)))
             out = out.append_column("tab", pa.array(np.tile(np.arange(tables, dtype=np.int32), rows.num_rows)))
-            out = out.append_column("sig", pa.array((side[:, :, :bits] * first).sum(axis=2).reshape(-1)))
-            out = out.append_column("spare", pa.array((side[:, :, bits:] * further).sum(axis=2).reshape(-1)))
+            out = out.append_column("sig", pa.array((side * first).sum(axis=2).reshape(-1)))
             yield from out.combine_chunks().to_batches()
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{fields}, tab int, sig bigint, spare bigint")
+    return df.mapInArrow(run, f"{fields}, tab int, sig bigint")
 
 
 def nearest_by_hash(
@@ -66,7 +73,7 @@ def nearest_by_hash(
     corpus: DataFrame,
     k: int = 4,
     exclude_self: bool = False,
-    tables: int = 12,
+    tables: int | None = None,
     bits: int | None = None,
     bucket_rows: int = BUCKET_ROWS,
     block_rows: int = BLOCK_ROWS,
@@ -75,13 +82,16 @@ def nearest_by_hash(
 
     ``questions`` has ``qid BIGINT, embedding``, ``corpus`` has ``id BIGINT,
     embedding``. Unless ``bits`` is given, it grows with the corpus so that an
-    even spread leaves about ``bucket_rows`` vectors per bucket.
+    even spread leaves about ``bucket_rows`` vectors per bucket; unless ``tables``
+    is given, it follows from ``bits``.
     """
     n, dim = corpus.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     if not n:
         return questions.sparkSession.createDataFrame([], "qid bigint, id bigint, score double, rk bigint")
     if bits is None:
         bits = min(MAX_BITS, max(2, math.ceil(math.log2(n / bucket_rows))))
+    if tables is None:
+        tables = tables_for(bits)
     want = k + 1 if exclude_self else k
     asked = questions.select("qid", "embedding", copy_key("embedding").alias("copy"))
     # One question per distinct vector, under its smallest id. Stored, as the
@@ -91,7 +101,7 @@ def nearest_by_hash(
     kept = staged(top_per_key(kept, ["copy"], [F.col("id")], want, "nth").select("id", "embedding"), "corpus")
     left = signatures(asked_once.select("qid", "embedding"), dim, tables, bits)
     right = signatures(kept, dim, tables, bits)
-    bucket = ["tab", "sig", "spare"]
+    bucket = ["tab", "sig"]
     counted = staged(
         right.groupBy(*bucket).agg(F.count(F.lit(1)).alias("c"), F.lit(0).cast("bigint").alias("q")).unionByName(
             left.groupBy(*bucket).agg(F.lit(0).cast("bigint").alias("c"), F.count(F.lit(1)).alias("q"))
@@ -99,24 +109,15 @@ def nearest_by_hash(
         "buckets",
     )
 
-    # Further planes for crowded buckets, as many as bring them back to plan.
-    crowd = counted.groupBy("tab", "sig").agg(F.sum("c").alias("n")).where(F.col("n") > 4 * bucket_rows)
-    mask = F.expr(f"shiftleft(1L, CAST(least(ceil(log2(n / {bucket_rows})), {SPARE_BITS}) AS INT)) - 1")
-    crowd = sent(staged(crowd.select("tab", "sig", mask.alias("mask")), "crowd"), MAX_CROWDED)
-
-    def split(df: DataFrame) -> DataFrame:
-        joined = df.join(crowd, ["tab", "sig"], "left")
-        return joined.withColumn("spare", F.col("spare").bitwiseAND(F.coalesce("mask", F.lit(0)))).drop("mask")
-
-    # Blocks of what is still large.
-    parts = split(counted).groupBy(*bucket).agg(
+    # Blocks of what is large.
+    parts = counted.groupBy(*bucket).agg(
         F.ceil(F.sum("q") / F.lit(block_rows)).cast("int").alias("q_blocks"),
         F.ceil(F.sum("c") / F.lit(block_rows)).cast("int").alias("c_blocks"),
     )
     parts = sent(staged(parts.where("q_blocks > 1 OR c_blocks > 1"), "parts"), MAX_CROWDED)
 
     def cut(df: DataFrame, own: str, other: str, own_id: str, own_n: str, other_n: str) -> DataFrame:
-        sized = split(df).join(parts, bucket, "left")
+        sized = df.join(parts, bucket, "left")
         here, there = F.greatest(F.coalesce(own_n, F.lit(1)), F.lit(1)), F.greatest(F.coalesce(other_n, F.lit(1)), F.lit(1))
         return (
             sized.withColumn(own, F.pmod(F.xxhash64(own_id), here).cast("int"))

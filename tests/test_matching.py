@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweft.functions.text import words
+from docweft.operators import hashing
 from docweft.operators.embedding import dimension_profile, embed, model_dimension
 from docweft.operators.hashing import nearest_by_hash
 from docweft.operators.keywords import hybrid, reranked
@@ -234,3 +235,20 @@ def test_table_function_returns_as_many_rows_as_asked(spark, sf_dir):
     assert rows.agg({"count": "min"}).first()[0] == 25
     with pytest.raises(Exception, match="set up for 25"):
         spark.sql("SELECT * FROM find_similar(26)").collect()
+
+
+def test_crowded_buckets_lose_no_mate(spark):
+    draw = np.random.default_rng(4)
+    vectors = draw.normal(size=16) + 0.3 * draw.normal(size=(600, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id bigint, embedding array<double>")
+    got = {(r["qid"], r["id"]) for r in nearest_by_hash(df.withColumnRenamed("id", "qid"), df, 4, exclude_self=True, tables=2, bits=2, bucket_rows=16).collect()}
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    score = unit @ unit.T - 2 * np.eye(600)
+    want = {(q, int(i)) for q in range(600) for i in np.argsort(-score[q])[:4]}
+    assert len(got & want) >= 0.99 * len(want)
+
+
+def test_tables_keep_the_recall_at_any_size():
+    for bits in (2, 7, 14, 27, 36):
+        shared = (1 - math.acos(0.9) / math.pi) ** bits
+        assert 1 - (1 - shared) ** hashing.tables_for(bits) >= 0.95
