@@ -2,14 +2,17 @@
 
 from docweft.llm import (  # noqa: F401
     bpe,
+    divergence,
     exact_dedup,
     language,
     near_dedup,
     neighbours,
     packing,
     pii,
+    quality,
     token_counts,
     toxicity,
+    vector_codes,
     warc,
 )
 from docweft.llm.common import ORACLES, QUERIES
