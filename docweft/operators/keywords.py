@@ -15,6 +15,7 @@ from docweft.operators.matching import CosineScorer, Matches, best_matches
 from docweft.operators.numbering import top_per_key
 from docweft.operators.sizes import MAX_BROADCAST_BYTES, fits, sent
 from docweft.session import staged
+from docweft.sources.lists import ListIndex
 
 K1 = 1.2
 B = 0.75
@@ -168,8 +169,21 @@ def reranked(questions: DataFrame, corpus: DataFrame, candidates: Matches, keep:
     wanted = candidates.frame.select("qid", "id").join(asked, "qid")
     # A question travels once per candidate.
     small = candidates.row_bound is not None and fits(asked, max_bytes=MAX_BROADCAST_BYTES // candidates.per_question)
-    texts = corpus.select("id", words(F.col("text")).alias("_words")).join(F.broadcast(wanted) if small else wanted, "id")
-    scored = texts.select("qid", "id", F.size(F.array_intersect("_asked", "_words")).cast("bigint").alias("overlap"))
+    more = [c for c in ("list",) if c in corpus.columns]
+    split = F.col("words") if "words" in corpus.columns else words(F.col("text"))
+    texts = corpus.select("id", *more, split.alias("_words")).join(F.broadcast(wanted) if small else wanted, "id")
+    scored = texts.select("qid", "id", *more, F.size(F.array_intersect("_asked", "_words")).cast("bigint").alias("overlap"))
     ranked = top_per_key(scored, ["qid"], [F.col("overlap").desc(), F.col("id")], keep)
     bound = candidates.row_bound
     return Matches(ranked, keep, None if bound is None else bound // candidates.per_question * keep)
+
+
+def reranked_in(index: ListIndex, questions: DataFrame, candidates: Matches, keep: int) -> Matches:
+    """As :func:`reranked`, over the lists the candidates were found in; ``list`` stays."""
+    corpus = index.lists_of(candidates, "id", "text")
+    if candidates.row_bound is not None:
+        # Texts that many questions are near to lie in the same lists: each is cut once, then dealt to all tasks.
+        corpus = corpus.join(F.broadcast(candidates.frame.select("list", "id").distinct()), ["list", "id"], "left_semi")
+        tasks = 4 * index.spark.sparkContext.defaultParallelism
+        corpus = corpus.select("id", "list", words(F.col("text")).alias("words")).repartition(tasks, "id")
+    return reranked(questions, corpus, candidates, keep)

@@ -84,7 +84,7 @@ class CosineScorer:
         return state @ unit_rows(vector_matrix(corpus[self.corpus_column])).T
 
 
-class _Best:
+class Best:
     """The k best (score, id) per question seen so far in one task."""
 
     def __init__(self, qids: np.ndarray, k: int, exclude_self: bool):
@@ -93,28 +93,44 @@ class _Best:
         self.exclude_self = exclude_self
         self.scores = np.full((len(qids), k), -np.inf)
         self.ids = np.zeros((len(qids), k), dtype=np.int64)
+        self.lists = np.zeros((len(qids), k), dtype=np.int32)
 
-    def take(self, scores: np.ndarray, ids: np.ndarray) -> None:
+    def take(self, scores: np.ndarray, ids: np.ndarray, asked: np.ndarray | None = None, list_: int = 0) -> None:
+        """Scores of all questions, or of those at ``asked``, against rows of one list."""
+        asked = np.arange(len(self.qids)) if asked is None else asked
         scores = np.round(scores, 6)
         if self.exclude_self:
-            scores[self.qids[:, None] == ids[None, :]] = -np.inf
-        open_ = (scores >= self.scores[:, -1:]) & (scores > -np.inf)
-        if len(ids) > self.k and np.count_nonzero(open_) > 4 * self.scores.size:
+            scores[self.qids[asked, None] == ids[None, :]] = -np.inf
+        open_ = (scores >= self.scores[asked, -1:]) & (scores > -np.inf)
+        if len(ids) > self.k and np.count_nonzero(open_) > 4 * len(asked) * self.k:
             # Nothing below the slice's own k-th score can be among the k best; ties stay.
             open_ &= scores >= np.partition(scores, -self.k, axis=1)[:, [-self.k]]
         q, j = np.nonzero(open_)
         if len(q) == 0:
             return
-        at = np.unique(q)
-        row = np.concatenate([np.repeat(at, self.k), q])
+        at = asked[np.unique(q)]
+        row = np.concatenate([np.repeat(at, self.k), asked[q]])
         score = np.concatenate([self.scores[at].ravel(), scores[q, j]])
         found = np.concatenate([self.ids[at].ravel(), ids[j]])
+        lists = np.concatenate([self.lists[at].ravel(), np.full(len(j), list_, np.int32)])
         order = np.lexsort((found, -score, row))
         row = row[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
         best = place < self.k
         row, place, order = row[best], place[best], order[best]
-        self.scores[row, place], self.ids[row, place] = score[order], found[order]
+        self.scores[row, place], self.ids[row, place], self.lists[row, place] = score[order], found[order], lists[order]
+
+    def listed(self) -> pa.RecordBatch:
+        """``(qid, id, score, list)``."""
+        q, j = np.nonzero(self.scores > -np.inf)
+        return pa.RecordBatch.from_pydict(
+            {
+                "qid": pa.array(self.qids[q], pa.int64()),
+                "id": pa.array(self.ids[q, j], pa.int64()),
+                "score": pa.array(self.scores[q, j], pa.float64()),
+                "list": pa.array(self.lists[q, j], pa.int32()),
+            }
+        )
 
     def rows(self, side: str) -> pa.RecordBatch:
         q, j = np.nonzero(self.scores > -np.inf)
@@ -139,7 +155,7 @@ def _scan(
     if questions.num_rows == 0:
         return
     qids = questions["qid"].to_numpy()
-    states = [(side, scorer, scorer.prepare(questions), _Best(qids, k, exclude_self)) for side, scorer in scorers]
+    states = [(side, scorer, scorer.prepare(questions), Best(qids, k, exclude_self)) for side, scorer in scorers]
     step = max(1, min(_STEP_ROWS, _STEP_CELLS // len(qids)))
     for batch in batches:
         for start in range(0, batch.num_rows, step):

@@ -17,10 +17,8 @@ from docweft.operators.context import (
 from docweft.operators.conversations import request_id, request_texts
 from docweft.operators.embedding import DIM
 from docweft.operators.evaluation import mean
-from docweft.operators.matching import attach, nearest
 from docweft.operators.numbering import top_per_key
 from docweft.operators.prompts import best, latest, mean_scores, with_new_version
-from docweft.operators.retrieval import mapped
 from docweft.operators.scoring import batch_predict, echo_model, transcript_model, word_count_model
 from docweft.operators.tools import MAX_ROUNDS, tool_loop
 from docweft.plans.frames import (
@@ -30,7 +28,6 @@ from docweft.plans.frames import (
     SQL_CALLS,
     SQL_REGISTRY,
     chat_requests,
-    embedded,
     prompt_registry,
     questions,
     sql_chunks,
@@ -52,11 +49,12 @@ from docweft.plans.lookups import (
 )
 from docweft.plans.registry import query
 from docweft.plans.routing import SQL_INTENT, SQL_LAST_USER, intents
+from docweft.plans.stored import document_index, page_index
 from docweft.sources.index import VectorIndex, index_rows
 from docweft.sources.payloads import first_prediction
 from docweft.sources.runs import append_log, long_form, read_log
 from docweft.sources.tables import load, load_spread
-from docweft.session import fresh_path
+from docweft.session import fresh_path, staged
 
 
 @query(
@@ -114,8 +112,9 @@ _HISTORY_PARTS = HISTORY_PROMPT.replace("{context}", "{input}").replace("{chat_h
 )
 def history_rag(spark, sf_dir):
     """Question with history, reranked context, and the history itself in one prompt."""
-    corpus = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    context = joined_context(attach(history_ranked(spark, sf_dir), corpus), ["qid"])
+    ranked = history_ranked(spark, sf_dir)
+    ranked = ranked._replace(frame=staged(ranked.frame, "ranked"))
+    context = joined_context(document_index(spark, sf_dir).fetched(ranked, "text"), ["qid"])
     messages = chat_requests(spark, sf_dir)
     speaker = F.when(F.col("role") == "user", "Human: ").when(F.col("role") == "assistant", "AI: ").otherwise("System: ")
     said = request_texts(messages.where("pos < turn"), F.concat(speaker, "content"))
@@ -141,10 +140,8 @@ _QUERY_PARTS = QUERY_PROMPT.replace("{context}", "{input}").split("{input}")
 )
 def query_engine(spark, sf_dir):
     """Retrieval over a table under foreign column names."""
-    foreign = mapped(load(spark, sf_dir, "pages"), {"row_id": "page_id", "source_doc": "url", "page_content": "html"})
-    corpus = mapped(foreign, {"id": "row_id", "text": "page_content"})
-    asked = questions(spark, sf_dir)
-    found = attach(nearest(asked, embedded(corpus), NEIGHBOURS), corpus)
+    asked, index = questions(spark, sf_dir), page_index(spark, sf_dir)
+    found = index.fetched(index.nearest(asked, NEIGHBOURS), "text")
     context = joined_context(found, ["qid"]).join(asked.select("qid", F.col("text").alias("question")), "qid")
     values = {"context": F.col("context"), "input": F.col("question")}
     return context.select("qid", fill(QUERY_PROMPT, values).alias("prompt"))

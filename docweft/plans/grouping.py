@@ -9,17 +9,12 @@ from docweft.functions.text import lines, n_words, words
 from docweft.operators.context import joined_context
 from docweft.operators.embedding import dimension_profile
 from docweft.operators.evaluation import compared, mean, sentences
-from docweft.operators.matching import attach, nearest
 from docweft.operators.prompts import best, mean_scores, resolved
 from docweft.operators.signal import peak_normalised
 from docweft.operators.tools import last_wins, union_of
 from docweft.plans.frames import (
-    CHUNK_OVERLAP,
-    CHUNK_TOKENS,
     NEIGHBOURS,
     SQL_REGISTRY,
-    document_chunks,
-    embedded,
     prompt_registry,
     questions,
     sql_chunks,
@@ -29,8 +24,7 @@ from docweft.plans.frames import (
 )
 from docweft.plans.lookups import SQL_SCORED, candidate_scores
 from docweft.plans.registry import query
-from docweft.session import staged
-from docweft.sources.index import chunks, document_of
+from docweft.plans.stored import chunk_index
 from docweft.sources.tables import load, load_spread
 
 SQL_RETRIEVED = f"""{sql_vectors('qv', 'benchmark', 'item_id', 'text')}, {sql_chunks()},
@@ -41,13 +35,8 @@ ctx AS (SELECT h.qid, count(*) AS n_ctx, string_agg(c.text, chr(10) || chr(10) O
 
 def contexts(spark, sf_dir, asked):
     """Context of every question from its nearest chunks: ``(qid, n_ctx, context)``."""
-    found = nearest(asked, embedded(document_chunks(spark, sf_dir)), NEIGHBOURS)
-    # Few rows, used twice: to pick the documents worth cutting again, then their chunks.
-    found = found._replace(frame=staged(found.frame, "matches"))
-    wanted = found._replace(frame=found.frame.select(document_of("id").alias("doc_id")).distinct())
-    texts = attach(wanted, load(spark, sf_dir, "documents"), "doc_id")
-    corpus = chunks(texts, CHUNK_TOKENS, CHUNK_OVERLAP).select("id", "text")
-    return joined_context(attach(found, corpus), ["qid"])
+    index = chunk_index(spark, sf_dir)
+    return joined_context(index.fetched(index.nearest(asked, NEIGHBOURS), "text"), ["qid"])
 
 
 @query("format_docs", f"WITH {SQL_RETRIEVED} SELECT qid, n_ctx, context FROM ctx")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docweft.operators.citations import citation_edges, two_hops
 from docweft.operators.embedding import embed
 from docweft.operators.hashing import nearest_by_hash
-from docweft.operators.keywords import hybrid, reranked
+from docweft.operators.keywords import hybrid, reranked_in
 from docweft.operators.matching import nearest
 from docweft.operators.prompts import candidate_matrix as matrix
 from docweft.operators.prompts import shared_words
@@ -21,7 +21,6 @@ from docweft.plans.frames import (
     SQL_REQUESTS,
     chat_requests,
     documents,
-    embedded,
     papers,
     paper_id,
     questions,
@@ -36,6 +35,7 @@ from docweft.plans.frames import (
     vectors,
 )
 from docweft.plans.registry import query
+from docweft.plans.stored import document_index
 from docweft.session import staged
 from docweft.sources.tables import load
 
@@ -107,8 +107,13 @@ rr AS (SELECT * FROM (SELECT qid, id, overlap, row_number() OVER (PARTITION BY q
         {sql_nearest('cand', 'qv', 'dv', 10)}, {SQL_RERANK} SELECT qid, id, overlap, rk FROM rr""",
 )
 def rerank(spark, sf_dir):
-    asked, corpus = questions(spark, sf_dir), documents(spark, sf_dir)
-    return reranked(asked, corpus, nearest(asked, embedded(corpus), 10), 3).frame
+    return ranked_again(spark, sf_dir, questions(spark, sf_dir)).frame.select("qid", "id", "overlap", "rk")
+
+
+def ranked_again(spark, sf_dir, asked):
+    """The three of a question's ten nearest documents that hold most of its words."""
+    index = document_index(spark, sf_dir)
+    return reranked_in(index, asked, index.nearest(asked, 10), 3)
 
 
 SQL_HISTORY_ASKED = f"""{SQL_REQUESTS},
@@ -128,13 +133,12 @@ SQL_HISTORY_RERANK = f"""{SQL_HISTORY_ASKED},
 
 
 def history_ranked(spark, sf_dir):
-    asked, corpus = history_questions(spark, sf_dir), documents(spark, sf_dir)
-    return reranked(asked, corpus, nearest(asked, embedded(corpus), 10), 3)
+    return ranked_again(spark, sf_dir, history_questions(spark, sf_dir))
 
 
 @query("history_rerank", f"WITH {SQL_HISTORY_RERANK} SELECT qid, id, overlap, rk FROM rr")
 def history_rerank(spark, sf_dir):
-    return history_ranked(spark, sf_dir).frame
+    return history_ranked(spark, sf_dir).frame.select("qid", "id", "overlap", "rk")
 
 
 @query(
