@@ -107,13 +107,13 @@ def sql_vectors(name: str, rows: str, key: str, text: str) -> str:
 {name} AS (SELECT key, b, c / sqrt(sum(c * c) OVER (PARTITION BY key)) AS w FROM {name}_cnt)"""
 
 
-def sql_nearest(name: str, asked: str, corpus: str, k: int) -> str:
-    """CTE ``<name>(qid, id, score, rk)``: cosine neighbours of long-form vectors."""
+def sql_nearest(name: str, asked: str, corpus: str, k: int | None = None) -> str:
+    """CTE ``<name>(qid, id, score, rk)``: cosine neighbours of long-form vectors, all of them without a ``k``."""
     return f"""
 {name}_s AS (SELECT q.key AS qid, d.key AS id, round(sum(q.w * d.w), 6) AS score
   FROM {asked} q JOIN {corpus} d ON q.b = d.b GROUP BY q.key, d.key),
 {name} AS (SELECT * FROM (SELECT qid, id, score,
-    row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rk FROM {name}_s) WHERE rk <= {k})"""
+    row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rk FROM {name}_s){f" WHERE rk <= {k}" if k else ""})"""
 
 
 def sql_chunks(name: str = "chunk", size: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP) -> str:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from docweft.operators.citations import citation_edges, two_hops
 from docweft.operators.embedding import embed
 from docweft.operators.hashing import nearest_by_hash
-from docweft.operators.keywords import hybrid, reranked_in
+from docweft.operators.fusion import fused
+from docweft.operators.keywords import reranked_in
 from docweft.operators.matching import nearest
 from docweft.operators.prompts import candidate_matrix as matrix
 from docweft.operators.prompts import shared_words
@@ -20,7 +21,6 @@ from docweft.plans.frames import (
     SQL_PAPERS,
     SQL_REQUESTS,
     chat_requests,
-    documents,
     papers,
     paper_id,
     questions,
@@ -35,7 +35,7 @@ from docweft.plans.frames import (
     vectors,
 )
 from docweft.plans.registry import query
-from docweft.plans.stored import document_index
+from docweft.plans.stored import document_index, document_postings
 from docweft.session import staged
 from docweft.sources.tables import load
 
@@ -63,7 +63,6 @@ def knn_lsh(spark, sf_dir):
     return nearest_by_hash(rows.withColumnRenamed("id", "qid"), rows, NEIGHBOURS, exclude_self=True)
 
 
-HYBRID_DEPTH = 20
 SQL_BM25 = f"""
 q_t AS (SELECT DISTINCT item_id AS qid, unnest({sql_words('text')}) AS term FROM benchmark),
 d_l AS (SELECT doc_id, {sql_words('text')} AS toks FROM documents),
@@ -74,21 +73,20 @@ d_df AS (SELECT term, count(*)::DOUBLE AS df FROM d_tf GROUP BY term),
 kw_s AS (SELECT q.qid, t.doc_id AS id,
     round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / avglen))), 6) AS score
   FROM q_t q JOIN d_tf t ON q.term = t.term JOIN d_df f ON f.term = t.term, d_n GROUP BY q.qid, t.doc_id),
-kw AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rk
-  FROM kw_s) WHERE rk <= {HYBRID_DEPTH})"""
+kw AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rk FROM kw_s)"""
 
 
 @query(
     "hybrid_topk",
     f"""WITH {sql_vectors('qv', 'benchmark', 'item_id', 'text')}, {sql_vectors('dv', 'documents', 'doc_id', 'text')},
-        {sql_nearest('vec', 'qv', 'dv', HYBRID_DEPTH)}, {SQL_BM25},
+        {sql_nearest('vec', 'qv', 'dv')}, {SQL_BM25},
         f AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rk)), 6) AS score
               FROM (SELECT qid, id, rk FROM vec UNION ALL SELECT qid, id, rk FROM kw) GROUP BY qid, id)
         SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rk FROM f)
         WHERE rk <= 5""",
 )
 def hybrid_topk(spark, sf_dir):
-    return hybrid(questions(spark, sf_dir), documents(spark, sf_dir), k=5, depth=HYBRID_DEPTH)
+    return fused(questions(spark, sf_dir), document_index(spark, sf_dir), document_postings(spark, sf_dir), k=5)
 
 
 SQL_RERANK = f"""

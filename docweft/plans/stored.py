@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweft.operators.embedding import embed
+from docweft.operators.embedding import DIM, embed
 from docweft.operators.retrieval import mapped
 from docweft.plans.frames import CHUNK_OVERLAP, CHUNK_TOKENS, document_chunks, documents
 from docweft.session import fresh_path, shared_dir
 from docweft.sources.lists import ListIndex
+from docweft.sources.postings import BLOCK_TEXTS, BUCKETS, Postings
 from docweft.sources.tables import load_spread, table_path
 
 _OPEN: dict[tuple[str, str], object] = {}
@@ -58,7 +59,7 @@ def _lists(spark: SparkSession, label: str, source: str, rows: Callable[[], Data
         index = ListIndex.build(rows(), path)
         return index, index.schema.json()
 
-    return kept(spark, label, source, build, lambda path, note: ListIndex(spark, path, T.StructType.fromJson(json.loads(note))))
+    return kept(spark, f"{label}-{DIM}", source, build, lambda path, note: ListIndex(spark, path, T.StructType.fromJson(json.loads(note))))
 
 
 def _embedded(rows: DataFrame) -> DataFrame:
@@ -84,3 +85,14 @@ def page_index(spark: SparkSession, sf_dir: str) -> ListIndex:
         return _embedded(mapped(foreign, {"id": "row_id", "text": "page_content"}))
 
     return _lists(spark, "pages-index", table_path(sf_dir, "pages"), rows)
+
+
+def document_postings(spark: SparkSession, sf_dir: str) -> Postings:
+    """The words of whole documents."""
+
+    def build(path: str) -> tuple[Postings, str]:
+        index = Postings.build(documents(spark, sf_dir), path)
+        return index, json.dumps([index.n_texts, index.mean_length])
+
+    # Whatever decides the layout is part of the name.
+    return kept(spark, f"documents-postings-{BUCKETS}-{BLOCK_TEXTS}", table_path(sf_dir, "documents"), build, lambda path, note: Postings(spark, path, *json.loads(note)))
