@@ -35,7 +35,8 @@ from docweft.plans.frames import (
     vectors,
 )
 from docweft.plans.registry import query
-from docweft.plans.stored import document_index, document_postings
+from docweft.operators.sizes import fits
+from docweft.plans.stored import document_index, document_postings, vector_index
 from docweft.session import staged
 from docweft.sources.tables import load
 
@@ -49,7 +50,11 @@ knn_r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)
 def knn(spark, sf_dir, k):
     """The k nearest others of every vector."""
     rows = vectors(spark, sf_dir)
-    return nearest(rows.withColumnRenamed("id", "qid"), rows, k, exclude_self=True).frame
+    asked = rows.withColumnRenamed("id", "qid")
+    if fits(asked) is None:
+        # Too many questions for every task: rows travel only to groups of questions that may need them.
+        return vector_index(spark, sf_dir).nearest(asked, k, exclude_self=True).frame.drop("list")
+    return nearest(asked, rows, k, exclude_self=True).frame
 
 
 @query("knn_topk", f"WITH {SQL_KNN} SELECT qid, id, score, rk FROM knn_r WHERE rk <= {NEIGHBOURS}")

@@ -139,6 +139,32 @@ def index_from_nodes(spark, sf_dir):
     return index.latest().select("id", "text", "source", F.size("text_vector").cast("bigint").alias("dim"))
 
 
+REWRITE_TOKENS = 50
+REWRITE_CHUNK, REWRITE_OVERLAP = 64, 8
+SQL_REWRITTEN = f"""
+now AS (SELECT d.doc_id, d.source, CASE WHEN quality = 0 THEN array_to_string(list_slice(string_split(text, ' '), 1, {REWRITE_TOKENS}), ' ') ELSE text END AS text,
+    CASE WHEN quality = 0 THEN 2 ELSE 1 END::BIGINT AS seq
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE coalesce(toxic, 0) <> 1),
+{sql_chunks(size=REWRITE_CHUNK, overlap=REWRITE_OVERLAP).replace("FROM documents", "FROM now").strip()}"""
+
+
+@query(
+    "index_rewrite",
+    f"""WITH {SQL_REWRITTEN} SELECT c.doc_id || '-' || c.chunk_no AS id, now.seq, c.text FROM chunk c JOIN now ON now.doc_id = c.doc_id""",
+)
+def index_rewrite(spark, sf_dir):
+    """All documents are indexed, those of low quality rewritten shorter, toxic ones deleted; what is left."""
+    index = VectorIndex.open_or_create(spark, fresh_path(spark, "index"), DIM)
+    documents = load_spread(spark, sf_dir, "documents", "doc_id")
+    labels = load(spark, sf_dir, "labels")
+    index.write(index_rows(documents, REWRITE_CHUNK, REWRITE_OVERLAP), 1)
+    short = F.array_join(F.slice(F.split("text", " "), 1, REWRITE_TOKENS), " ")
+    poor = documents.join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_semi").withColumn("text", short)
+    index.write(index_rows(poor, REWRITE_CHUNK, REWRITE_OVERLAP), 2)
+    index.delete(labels.where("toxic = 1").select(F.col("doc_id").alias("doc")), 3)
+    return index.latest().select("id", "seq", "text")
+
+
 @query("catalog_bootstrap", "SELECT source, count(*) AS n_docs FROM documents GROUP BY source")
 def catalog_bootstrap(spark, sf_dir):
     location = fresh_path(spark, "namespace")

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from docweft.operators.embedding import DIM, embed
 from docweft.operators.retrieval import mapped
-from docweft.plans.frames import CHUNK_OVERLAP, CHUNK_TOKENS, document_chunks, documents
+from docweft.plans.frames import CHUNK_OVERLAP, CHUNK_TOKENS, document_chunks, documents, vectors
 from docweft.session import fresh_path, shared_dir
 from docweft.sources.lists import ListIndex
 from docweft.sources.postings import BLOCK_TEXTS, BUCKETS, Postings
@@ -87,6 +87,12 @@ def page_index(spark: SparkSession, sf_dir: str) -> ListIndex:
     return _lists(spark, "pages-index", table_path(sf_dir, "pages"), rows)
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> ListIndex:
+    """The given vectors."""
+    columns = ["id", F.col("embedding").cast("array<double>").alias("embedding")]
+    return _lists(spark, "vectors-index", table_path(sf_dir, "embeddings"), lambda: vectors(spark, sf_dir).select(*columns))
+
+
 def document_postings(spark: SparkSession, sf_dir: str) -> Postings:
     """The words of whole documents."""
 

@@ -65,7 +65,7 @@ def index_sync_stream(spark, sf_dir):
     index = VectorIndex.open_or_create(spark, fresh_path(spark, "index"), DIM)
 
     def sync(batch, number):
-        index.write(index_rows(batch, CHUNK_TOKENS, CHUNK_OVERLAP), number + 1)
+        index.write(index_rows(batch, CHUNK_TOKENS, CHUNK_OVERLAP), number + 1, batch.select(F.col("doc_id").alias("doc")))
 
     drain(_stream(spark, sf_dir, "documents"), sync)
     return index.latest().select("id", "source", "text")

@@ -3,6 +3,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from test_queries import plan_of
 
 from docweft.functions.messages import one_line_base64
 from docweft.functions.text import page_text
@@ -15,7 +16,7 @@ from docweft.sources.runs import append_log, long_form, read_log
 
 
 def rows(spark, *items):
-    return spark.createDataFrame([(i, t, [1.0, 2.0], "s") for i, t in items], INDEX_SCHEMA)
+    return spark.createDataFrame([(i, i, t, [1.0, 2.0], "s") for i, t in items], INDEX_SCHEMA)
 
 
 def contents(index):
@@ -38,6 +39,38 @@ def test_index_keeps_the_newest_row(spark, folder):
     assert small.log().count() == 3 and {i: t for i, (t, _) in contents(small).items()} == {"a": "1", "b": "2", "c": "2"}
 
 
+def chunk_rows(spark, *items):
+    """Rows named document-chunk, as chunks of a document are."""
+    return spark.createDataFrame([(i, i.split("-")[0], t, [1.0, 2.0], "s") for i, t in items], INDEX_SCHEMA)
+
+
+def test_a_shorter_rewrite_leaves_no_stale_chunk(spark, folder):
+    index = VectorIndex.open_or_create(spark, folder, 2)
+    index.write(chunk_rows(spark, ("a-0", "1"), ("a-1", "1"), ("a-2", "1"), ("b-0", "1"), ("c-0", "1")), 1)
+    index.write(chunk_rows(spark, ("a-0", "2")), 2)
+    want = {"a-0": ("2", 2), "b-0": ("1", 1), "c-0": ("1", 1)}
+    assert contents(index) == want
+    index.write(chunk_rows(spark, ("b-0", "3"), ("b-1", "3")), 3)
+    index.delete(spark.createDataFrame([("c",), ("unknown",)], "doc string"), 4)
+    want = {"a-0": ("2", 2), "b-0": ("3", 3), "b-1": ("3", 3)}
+    assert contents(index) == want
+    index.write(chunk_rows(spark, ("c-0", "5")), 5)
+    assert contents(index) == want | {"c-0": ("5", 5)}
+    # Repeating an earlier write, in full or with other rows, doesn't bring it back.
+    index.write(chunk_rows(spark, ("a-0", "1"), ("a-1", "1"), ("b-0", "1"), ("c-0", "1")), 1)
+    assert contents(index) == want | {"c-0": ("5", 5)}
+    assert {i: t for i, (t, _) in contents(index.compact(fresh_path(spark, "compact"))).items()} == {"a-0": "2", "b-0": "3", "b-1": "3", "c-0": "5"}
+
+
+def test_reading_the_newest_versions_moves_no_text(spark, folder):
+    index = VectorIndex.open_or_create(spark, folder, 2)
+    index.write(chunk_rows(spark, ("a-0", "1"), ("a-1", "1"), ("b-0", "1")), 1)
+    index.write(chunk_rows(spark, ("a-0", "2")), 2)
+    plan = plan_of(index.latest())
+    exchanged = [x.split("\n")[1] for x in plan.split(") Exchange")[1:]]
+    assert "BroadcastHashJoin" in plan and exchanged and not any("text" in x for x in exchanged)
+
+
 def test_index_refuses_other_dimensions(spark, folder):
     index = VectorIndex.open_or_create(spark, folder, 3)
     with pytest.raises(Exception, match="not of dimension 3"):
