@@ -20,6 +20,7 @@ import math
 import zlib
 from array import array
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ SIZE = 4096
 END = 1
 CACHED = 500_000
 BLOCK = 20_000
-MARKS = ".,;:!?"
+#: Marks at the end of a chunk are one pre-token, whatever stands before them.
+MARKS = ".,;:!?#$%&*+-/=@^_~|"
 #: White space on which the tokenizer's own rule and str.split() may differ; texts that hold any are encoded whole.
 ODD = regex.compile("[\x1c-\x1f\x85​﻿]")
 
@@ -45,6 +47,25 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Recent(Cache):
+    """A cache that, when full, forgets only what was not asked for since it was last full."""
+
+    def __init__(self, make: Callable, most: int, longest: int = 64):
+        super().__init__(make, most // 2, longest)
+        self.old: dict = {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class WordEncoder:
     """Ids of texts whose tokenizer drops white space: each run between white space is encoded apart and remembered."""
 
@@ -55,8 +76,9 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.merge = self.library.model.tokenize
-        self.words = Cache(self._word, CACHED)
-        self.chunks = Cache(self._chunk, CACHED)
+        self.words = Recent(self._word, CACHED)
+        self.marks = Cache(self._ids, CACHED)
+        self.chunks = Recent(self._chunk, CACHED)
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -66,11 +88,12 @@ class WordEncoder:
         return array("I", [t.id for t in self.merge(byte_level(word))]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        """A chunk is often a word with a mark behind it; both parts are known better apart."""
-        body, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in MARKS else (chunk, "")
+        """A chunk is often a word with marks behind it; both parts are known better apart."""
+        body = chunk.rstrip(MARKS)
+        marks = chunk[len(body) :]
         # Beyond Latin-1 lower case and normal form can change which characters are letters.
         if body.isalpha() and max(body) <= "\xff":
-            return self.words[body.lower()] + (self.words[mark] if mark else b"")
+            return self.words[body.lower()] + (self.marks[marks] if marks else b"")
         return self._ids(chunk)
 
     def encode(self, text: str) -> bytes:
