@@ -1,8 +1,7 @@
 """Near duplicates by ProbMinHash, banding and exact verification.
 
 A bag of word shingles gives a signature; a shingle seen ``c`` times weighs ``1 + ln c``.
-Texts enter with each distinct shingle once, as the criterion counts them: a line
-that repeats in one copy only leaves the signatures alike. Each shingle runs a Poisson process whose rate is its weight: its arrivals come
+Each shingle runs a Poisson process whose rate is its weight: its arrivals come
 later and later, and each falls on a random register. A register keeps the
 shingle that reached it first, so two signatures agree in a register with the
 probability Jaccard similarity of the weighted bags. A shingle stops as soon as
@@ -14,25 +13,27 @@ class holds the copies of its texts too. In a bucket a few representatives are
 compared with all members, drawn in one order for all buckets, so that texts that
 meet in many buckets make the same few pairs there. Pairs whose signatures agree in
 far too few registers go first (six standard deviations). A remaining pair counts if
-the Jaccard similarity of its distinct shingles, taken exactly on both whole texts,
-reaches the threshold. Links give components. The texts of buckets that still hold
+the same similarity, taken from both whole texts' weighted bags, reaches the threshold.
+Links give components. The texts of buckets that still hold
 several components and more members than were all compared meet once more by their
-rarest shingles: two texts at the threshold share one of the first
-``size - threshold * size + 1`` shingles of either in any common order, and cannot
-differ in size, or stand so late in both, by more than the threshold leaves. These
+rarest shingles: two texts at the threshold share at least that part of either's weight, so
+they have one of the rarest shingles in common that make up the rest, and neither has
+fewer shingles from there on than the other needs for its part. These
 bounds lose no pair, so every pair of such a bucket is compared or ruled out.
 
 Defined cases: a null text is empty; texts are compared in lower case, cut at
 white space; a text shorter than a shingle is one shingle of all its words;
-texts without words are copies of each other and near to nothing else. A null or
+texts without words are copies of each other and near to nothing else. A text of any length is
+compared whole; memory follows the longest texts of a pair. Of equal candidates the smallest ``doc_id`` names the
+class and the first row stays. Other columns, of whatever name, are carried by the stage. A null or
 repeated ``doc_id`` is a row of its own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -85,10 +86,14 @@ def shingle_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(made, return_counts=True)
 
 
+def weight(counts: np.ndarray) -> np.ndarray:
+    return 1.0 + np.log(counts)
+
+
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], registers: int = REGISTERS) -> np.ndarray:
     """One row per bag: the shingle that first reaches each register. Bags must not be empty."""
     element = np.concatenate([h for h, _ in bags])
-    rate = 1.0 + np.log(np.concatenate([c for _, c in bags]))
+    rate = weight(np.concatenate([c for _, c in bags]))
     bag = np.repeat(np.arange(len(bags)), [len(h) for h, _ in bags])
     first = np.full(len(bags) * registers, np.inf)
     holder = np.zeros(len(bags) * registers, _U64)
@@ -122,8 +127,7 @@ def _sketch(texts: list[str], batch: pa.RecordBatch) -> dict[str, pa.Array]:
         words = text.lower().split()
         digests.append(hashlib.blake2b(" ".join(words).encode("utf-8"), digest_size=16).digest())
         if words:
-            hashes, _ = shingle_hashes(words)
-            bags.append((hashes, np.ones(len(hashes), np.int64)))
+            bags.append(shingle_hashes(words))
             places.append(at)
     bands: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
     sketch = [b""] * len(texts)
@@ -141,16 +145,36 @@ def _sketch(texts: list[str], batch: pa.RecordBatch) -> dict[str, pa.Array]:
     }
 
 
-def _shingles(text: str) -> frozenset:
-    words = text.lower().split()
-    return frozenset(zip(*(words[i:] for i in range(WORDS)), strict=False)) if len(words) >= WORDS else frozenset([tuple(words)])
+class Bag(NamedTuple):
+    shingles: np.ndarray  # hashes, ascending
+    weights: np.ndarray
+    total: float
+
+
+def bag_of(text: str) -> Bag:
+    hashes, counts = shingle_hashes(text.lower().split())
+    weights = weight(counts)
+    return Bag(hashes, weights, float(weights.sum()))
 
 
-def similarity(a: str, b: str) -> float:
-    """Jaccard similarity of the distinct shingles of two texts that have words."""
-    one, two = _shingles(a), _shingles(b)
-    both = len(one & two)
-    return both / (len(one) + len(two) - both)
+def similarity(one: Bag, two: Bag, least: float = 0.0) -> float:
+    """Probability Jaccard similarity of two weighted bags; 0 where a bound already shows it to be under ``least``.
+
+    A common shingle ``i`` is the first of both processes with probability ``1 / sum(max(x_j / x_i, y_j / y_i))``
+    over all ``j``. Sorted by ``x / y``, the maxima up to ``i`` come from ``y`` and those after it from ``x``.
+    """
+    _, at, to = np.intersect1d(one.shingles, two.shingles, assume_unique=True, return_indices=True)
+    x, y = one.weights[at], two.weights[to]
+    sum_x, sum_y = x.sum(), y.sum()
+    if len(x) == 0 or min(sum_x / one.total, sum_y / two.total) + _SLACK < least:
+        return 0.0
+    order = np.argsort(x / y, kind="stable")
+    x, y = x[order], y[order]
+    ratio = x / y
+    # Equal ratios count as not beyond.
+    end = np.searchsorted(ratio, ratio, side="right")
+    below, above = np.concatenate([[0.0], np.cumsum(y)])[end], sum_x - np.concatenate([[0.0], np.cumsum(x)])[end]
+    return float((1.0 / ((one.total - sum_x + above) / x + (two.total - sum_y + below) / y)).sum())
 
 
 def marked(rows: DataFrame, ids: DataFrame, column: str, name: str) -> DataFrame:
@@ -168,14 +192,13 @@ def among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Pairs ``(a, b)``, whose signatures don't rule out the similarity, with their other columns; ``nodes`` has ``node`` and ``sketch``.
+    """Pairs ``(a, b)`` marked by ``_often``, whose signatures don't rule out the similarity, with their other columns; ``nodes`` has ``node`` and ``sketch``.
 
     They agree in no fewer registers than six standard deviations below those expected at ``least``.
     """
     agreeing = int(least * REGISTERS - 6 * (REGISTERS * least * (1 - least)) ** 0.5)
-    named = among(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")), "node").select("node", "sketch")
     columns = pairs.columns
-    both = _beside(_beside(_often(pairs), named, "a", "b"), named, "b", "a")
+    both = _beside(_beside(pairs, nodes, "a", "b"), nodes, "b", "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +221,7 @@ def _beside(pairs: DataFrame, nodes: DataFrame, side: str, other: str) -> DataFr
     own = nodes.select(F.col("node").alias(side), F.col(value).alias(f"of_{side}"))
     salted = pairs.where(often).withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
     spread = salted.select(side, "salt").distinct().join(own, side)
-    return pairs.where(f"NOT {often}").join(own, side).unionByName(salted.join(spread, [side, "salt"]).drop("salt")).drop(often)
+    return pairs.where(f"NOT {often}").join(own, side).unionByName(salted.join(spread, [side, "salt"]).drop("salt"))
 
 
 def _often(pairs: DataFrame) -> DataFrame:
@@ -210,27 +233,23 @@ def _often(pairs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """The pairs ``(a, b)`` that are similar enough, with their other columns; ``nodes`` has ``node`` and ``text``.
+    """The pairs ``(a, b)`` marked by ``_often`` that are similar enough, with their other columns; ``nodes`` has ``node`` and ``text``.
 
     Only texts of such nodes are shuffled.
     """
     named = among(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")), "node").select("node", "text")
     columns = pairs.columns
-    sides = _beside(_beside(_often(pairs), named, "b", "a"), named, "a", "b")
+    sides = _beside(_beside(pairs, named, "b", "a"), named, "a", "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, frozenset()
+        last, held = None, None
         for batch in batches:
             a = batch.column("a").to_pylist()
             keep = np.zeros(batch.num_rows, bool)
             for at in range(batch.num_rows):
                 if a[at] != last:
-                    last, held = a[at], _shingles(batch.column("of_a")[at].as_py())
-                other = _shingles(batch.column("of_b")[at].as_py())
-                fewer, more = sorted((len(held), len(other)))
-                if fewer >= least * more:
-                    both = len(held & other)
-                    keep[at] = both >= least * (len(held) + len(other) - both)
+                    last, held = a[at], bag_of(batch.column("of_a")[at].as_py())
+                keep[at] = similarity(held, bag_of(batch.column("of_b")[at].as_py()), least) >= least - _SLACK
             yield batch.select(columns).filter(pa.array(keep))
 
     return sides.select(*columns, "of_a", "of_b").mapInArrow(check, pairs.schema)
@@ -240,8 +259,8 @@ def components(links: DataFrame) -> DataFrame:
     """``(node, root)``: the smallest node of each node's component, over links ``(a, b)``; written already.
 
     Rounds of large and small stars: every node points its larger neighbours, then
-    its smaller ones, to the smallest. Only minima are gathered per node, so a
-    node of any degree takes part in partial sums and split joins.
+    its smaller ones, to the smallest. Only minima are gathered per node, by partial
+    sums; rows are pairs of numbers, and a node that most of them name is split by the adaptive join.
     """
     links = staged(links.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct(), "links")
     while not _stars(links):
@@ -261,8 +280,8 @@ def _stars(links: DataFrame) -> bool:
 
 def _pointed(links: DataFrame, which: Column, keep: bool = False) -> DataFrame:
     """Neighbours ``root`` of ``node``, where ``which`` holds, to the smallest neighbour or the node itself; ``links`` are written."""
-    least = links.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.least(F.min("root"), F.col("node")).alias("low"))
-    told = join_groups(links.where(which), staged(least, "least"), "node", "n", links.count())
+    least = links.groupBy("node").agg(F.least(F.min("root"), F.col("node")).alias("low"))
+    told = links.where(which).join(least, "node")
     out = told.select(F.col("root").alias("node"), F.col("low").alias("root"))
     if keep:
         out = out.unionByName(told.select("node", F.col("low").alias("root")))
@@ -301,17 +320,26 @@ def _frequencies(texts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"slot": pa.array(at, pa.int64()), "n": pa.array(seen[at], pa.int64())})
 
     # At most SLOTS rows, whatever the corpus.
-    rows = texts.select("text").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    rows = texts.select("text").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(SLOTS, np.int64)
-    table[rows["slot"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
+    table[rows["slot"].to_numpy()] = rows["n"].to_numpy()
     return table
 
 
-def rarest(text: str, frequency: np.ndarray, least: float = SIMILAR) -> tuple[int, np.ndarray]:
-    """How many shingles a text has, and its rarest ones; texts at ``least`` or more have one of them in common."""
-    hashes, _ = shingle_hashes(text.lower().split())
+def rarest(text: str, frequency: np.ndarray, least: float = SIMILAR) -> tuple[int, int, np.ndarray]:
+    """How many shingles a text has, how many of them a text at ``least`` or more has too, and its rarest ones.
+
+    The similarity is at most the share of either text's weight that lies in common shingles. So what stands
+    before the first common one, in any order, weighs no more than ``1 - least`` of the text, and two texts at
+    ``least`` or more have one of their rarest shingles in common.
+    """
+    hashes, counts = shingle_hashes(text.lower().split())
+    weights = weight(counts)
     order = np.lexsort((hashes, frequency[_slots(hashes)]))
-    return len(hashes), hashes[order[: len(hashes) - math.ceil(least * len(hashes) - _SLACK) + 1]]
+    before = np.cumsum(weights[order]) - weights[order]
+    heaviest = np.cumsum(np.sort(weights)[::-1])
+    need = int(np.searchsorted(heaviest, least * heaviest[-1] - _SLACK)) + 1 if len(hashes) else 0
+    return len(hashes), need, hashes[order[before <= (1 - least) * weights.sum() + _SLACK]]
 
 
 def remaining(labels: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -327,12 +355,13 @@ def remaining(labels: DataFrame, texts: DataFrame, least: float = SIMILAR) -> Da
         first = [rarest(t, sent.value, least) for t in found]
         return {
             "node": batch.column("node"),
-            "size": pa.array([n for n, _ in first], pa.int64()),
-            "shingles": pa.array([h.view(np.int64) for _, h in first], pa.list_(pa.int64())),
+            "size": pa.array([n for n, _, _ in first], pa.int64()),
+            "need": pa.array([m for _, m, _ in first], pa.int64()),
+            "shingles": pa.array([h.view(np.int64) for _, _, h in first], pa.list_(pa.int64())),
         }
 
-    rows = per_text(named, index, "node bigint, size bigint, shingles array<bigint>").join(labels, "node")
-    rows = staged(rows.select("node", "label", "size", F.posexplode("shingles").alias("place", "shingle")), "index")
+    rows = per_text(named, index, "node bigint, size bigint, need bigint, shingles array<bigint>").join(labels, "node")
+    rows = staged(rows.select("node", "label", "size", "need", F.posexplode("shingles").alias("place", "shingle")), "index")
     shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     shared = staged(shared.where("low < high").select("shingle", F.col("n").alias("uses")), "shared")
     rows = staged(join_groups(rows, shared, "shingle", "uses", rows.count()), "meeting")
@@ -340,12 +369,10 @@ def remaining(labels: DataFrame, texts: DataFrame, least: float = SIMILAR) -> Da
     def side(name: str, own: str, other: str) -> DataFrame:
         count = F.ceil(F.col("uses") / F.lit(BLOCK)).cast("int")
         dealt = rows.withColumn(own, F.pmod(F.xxhash64("node"), count).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), count - 1)))
-        return dealt.select("shingle", "i", "j", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "label", "size", "place")])
+        return dealt.select("shingle", "i", "j", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "label", "size", "need", "place")])
 
-    fits = F.expr(
-        f"a_node < b_node AND a_label <> b_label AND least(a_size, b_size) + {_SLACK}D >= {least!r}D * greatest(a_size, b_size)"
-        f" AND least(a_size - a_place, b_size - b_place) + {_SLACK}D >= {least / (1 + least)!r}D * (a_size + b_size)"
-    )
+    # From the first common shingle on, each has as many left as the other needs.
+    fits = F.expr("a_node < b_node AND a_label <> b_label AND a_size - a_place >= b_need AND b_size - b_place >= a_need")
     one, two = side("a", "i", "j"), side("b", "j", "i")
     met = one.join(two, (one["shingle"] == two["shingle"]) & (one["i"] == two["i"]) & (one["j"] == two["j"]) & fits)
     return met.selectExpr("a_node AS a", "b_node AS b", "a_label AS of", "b_label AS to").distinct()
@@ -375,7 +402,7 @@ def _classed(source: DataFrame, least: float = SIMILAR) -> tuple[DataFrame, Data
     sketches = rows.select(F.col("at").alias("node"), "sketch")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return staged(verified(staged(likely(pairs, sketches, least), "likely"), texts, least), "similar").select(F.col("of").alias("a"), F.col("to").alias("b"))
+        return staged(verified(staged(likely(staged(_often(pairs), "marked"), sketches, least), "likely"), texts, least), "similar").select(F.col("of").alias("a"), F.col("to").alias("b"))
 
     labels = None
     if (size := members.count()) > 0:

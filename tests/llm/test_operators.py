@@ -127,12 +127,29 @@ def test_hot_digests_are_found_and_settled(spark):
     assert got == {i: (first[t], size[t], first[t] == i) for i, t in enumerate(texts)}
 
 
-def _jaccard(a, b):
-    sets = []
+def _similarity(a, b):
+    """Probability Jaccard similarity of bags in which a shingle seen c times weighs 1 + ln c, by its definition."""
+    bags = []
     for t in (a, b):
         w = t.lower().split()
-        sets.append(set(zip(*(w[i:] for i in range(5)), strict=False)) if len(w) >= 5 else {tuple(w)})
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        bags.append(Counter(zip(*(w[i:] for i in range(5)), strict=False)) if len(w) >= 5 else Counter([tuple(w)]))
+    every = list(bags[0].keys() | bags[1].keys())
+    if max(*bags[0].values(), *bags[1].values()) == 1:
+        return len(bags[0].keys() & bags[1].keys()) / len(every)
+    x, y = (np.array([1 + np.log(bag[k]) if k in bag else 0.0 for k in every]) for bag in bags)
+    return sum(1 / np.maximum(x / x[i], y / y[i]).sum() for i in np.flatnonzero((x > 0) & (y > 0)))
+
+
+def test_similarity_and_its_bound_equal_the_definition():
+    draw = random.Random(12)
+    for _ in range(60):
+        base = [f"w{draw.randint(0, 30)}" for _ in range(draw.randint(1, 60))]
+        line = base[: draw.randint(1, 12)]
+        a, b = (" ".join(base[draw.randint(0, 3) :] + line * draw.choice([0, 1, 5, 40])) or "w0" for _ in range(2))
+        one, two = near_dedup.bag_of(a), near_dedup.bag_of(b)
+        exact = _similarity(a, b)
+        assert near_dedup.similarity(one, two) == pytest.approx(exact, abs=1e-9)
+        assert (near_dedup.similarity(one, two, 0.8) >= 0.8 - 1e-9) == (exact >= 0.8 - 1e-9)
 
 
 def test_near_copies_equal_brute_force(spark):
@@ -154,7 +171,7 @@ def test_near_copies_equal_brute_force(spark):
 
     for i in range(len(texts)):
         for j in range(i):
-            if _jaccard(texts[i], texts[j]) >= 0.8:
+            if _similarity(texts[i], texts[j]) >= 0.8:
                 root[max(find(i), find(j))] = min(find(i), find(j))
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(rows).collect()}
@@ -181,7 +198,7 @@ def test_near_copies_in_crowded_buckets_equal_brute_force(spark, monkeypatch):
         words[r] = f"twin{n}"
         texts.append(" ".join(words + [f"twin{n}x{i}" for i in range(8)]))
         twin[200 + n] = n
-    near = {(i, j) for i in range(len(texts)) for j in range(i) if _jaccard(texts[i], texts[j]) >= 0.8}
+    near = {(i, j) for i in range(len(texts)) for j in range(i) if _similarity(texts[i], texts[j]) >= 0.8}
     assert near == set(twin.items())
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(rows).collect()}
@@ -197,7 +214,7 @@ def test_rare_shingles_meet_whatever_the_blocks(spark, monkeypatch):
     rows = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
     labels = rows.select("node", (F.col("node") % 30).alias("label"))
     found = {(r["a"], r["b"]) for r in near_dedup.remaining(labels, rows).collect()}
-    near = {(i, j) for j in range(len(texts)) for i in range(j) if _jaccard(texts[i], texts[j]) >= 0.8}
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if _similarity(texts[i], texts[j]) >= 0.8}
     assert {(i, j) for i, j in near if i % 30 != j % 30} <= found and all(i % 30 != j % 30 for i, j in found)
 
 
@@ -207,12 +224,11 @@ def test_near_copies_with_a_line_repeated_in_one_of_them(spark):
     for n in range(60):
         base = [f"w{n}x{i}" for i in range(170)]
         copy = list(base)
-        for at in (100, 120, 140):
-            copy[at] = f"changed{n}x{at}"
-        line = base[20 : 20 + draw.choice([20, 40, 70])]
-        texts += [" ".join(base), " ".join(copy[:90] + line * draw.choice([30, 100, 500, 1000]) + copy[90:])]
-    near = [_jaccard(a, b) >= 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True)]
-    assert sum(near) >= 20
+        copy[100] = f"changed{n}"
+        line = base[20 : 20 + draw.choice([3, 6, 8, 20, 70])]
+        texts += [" ".join(base), " ".join(copy[:90] + line * draw.choice([2, 30, 100, 1000]) + copy[90:])]
+    near = [_similarity(a, b) >= 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    assert 10 <= sum(near) <= 50
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(rows).collect()}
     assert got == {i: i - (i % 2 and near[i // 2]) for i in range(len(texts))}
@@ -226,6 +242,15 @@ def test_registers_agree_as_often_as_the_bags_are_similar():
     assert abs((found[0] == found[1]).mean() - 80 / 120) < 0.04
 
 
+def test_registers_agree_as_often_as_weighted_bags_are_similar():
+    a = " ".join(f"w{i}" for i in range(60))
+    b = a + " " + " ".join([f"w{i}" for i in range(30, 50)] * 25)
+    bags = [near_dedup.shingle_hashes(t.split()) for t in (a, b)]
+    found = near_dedup.signatures(bags, 4096)
+    assert max(bags[1][1]) == 26 and _similarity(a, b) < 0.75
+    assert abs((found[0] == found[1]).mean() - _similarity(a, b)) < 0.04
+
+
 def test_near_copies_on_awkward_rows(spark):
     rows = near_dedup.classes(awkward(spark)).collect()
     words = {" ".join((t or "").lower().split()) for t in AWKWARD}
