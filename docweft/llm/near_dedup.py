@@ -70,7 +70,7 @@ def _word_hash(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode("utf-8"), digest_size=8).digest(), "little")
 
 
-_hashes = Cache(_word_hash, 500_000)
+_hashes = Cache(_word_hash, 200_000)
 
 
 def shingle_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
