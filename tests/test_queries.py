@@ -46,7 +46,7 @@ def test_scans_are_pruned_and_filtered(spark, sf_dir):
     assert "EqualTo(role,user)" in plan and "struct<conv_id:bigint,role:string>" in plan
 
 
-@pytest.mark.parametrize("name", ["iteration_cap", "index_upsert", "knn_topk", "dedupe_registry", "tool_loop"])
+@pytest.mark.parametrize("name", ["iteration_cap", "knn_topk", "dedupe_registry", "tool_loop"])
 def test_groups_are_limited_before_the_shuffle(spark, sf_dir, name):
     from docweft.plans.composed import order_calls
 
