@@ -7,8 +7,11 @@ them (spectral order, then exchanges that cut fewer edges), and a small network
 learns which part a vector belongs to. Every vector is indexed under its most
 probable part. A query goes to its most probable parts, as many as hold
 ``RECALL`` of the graph's edges, and is ranked there against all members in
-double precision. A part is read in blocks of bounded size, so one that holds
-most vectors is spread over tasks.
+double precision. Queries lie in blocks by their first part, members in chunks by
+their part; a block meets a chunk once, if one of its queries visits a part of it,
+and gives the best of all those parts together. So a task is bounded, a part that
+holds most vectors is spread over tasks, and what goes on follows the queries and
+not the parts they visit.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components,
 or have another length than most take no part, nor do rows without an id. Ties
@@ -41,6 +44,9 @@ MOST_PARTS = 256
 HIDDEN = 64
 RECALL = 0.985
 BLOCK = 4096
+CHUNK_BYTES = 32 << 20
+#: Scored pairs that a task holds before it keeps the best only.
+HELD = 1 << 21
 
 
 class Router(NamedTuple):
@@ -170,7 +176,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _routed(vectors: DataFrame, router: Router, probes: int, members: np.ndarray | None, least: int) -> DataFrame:
-    """``vectors`` with one row per part to visit; further parts where the first hold fewer than ``least`` ids."""
+    """``vectors`` with the parts to visit, most probable first; further ones where the first hold fewer than ``least`` ids."""
     sent = vectors.sparkSession.sparkContext.broadcast((router, members))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,11 +189,12 @@ def _routed(vectors: DataFrame, router: Router, probes: int, members: np.ndarray
             if sizes is not None:
                 before = np.cumsum(sizes[order], axis=1) - sizes[order]
                 visit = visit | (before < least)
-            row, at = np.nonzero(visit)
-            yield batch.take(pa.array(row)).append_column("part", pa.array(order[row, at].astype(np.int32)))
+            ends = np.concatenate([[0], np.cumsum(visit.sum(axis=1))]).astype(np.int32)
+            parts = pa.ListArray.from_arrays(pa.array(ends), pa.array(order[visit].astype(np.int32)))
+            yield batch.append_column("parts", parts)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema.fields)
-    return vectors.mapInArrow(route, f"{fields}, part int")
+    return vectors.mapInArrow(route, f"{fields}, parts array<int>").withColumn("part", F.col("parts")[0])
 
 
 _FOUND = "q bigint, score double, low bigint, ids array<bigint>"
@@ -206,18 +213,24 @@ def nearest(rows: DataFrame, asked: Column, k: int = K, key: str = "vec_id", vec
     total = folded.count()
     sample = folded.select("embedding", "at").orderBy(F.xxhash64("embedding"), "at").limit(SAMPLE).toArrow()
     router = learn(_matrix(sample.column("embedding").combine_chunks()) if total else np.zeros((0, 1)), total)
-    index = staged(_routed(folded, router, 1, None, 0), "index")
+    index = staged(_routed(folded, router, 1, None, 0).drop("parts"), "index")
     members = {r["part"]: (r["n"], r["ids"]) for r in index.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("ids")).collect()}
     parts = len(router.b2)
-    held = np.array([members.get(p, (0, 0))[1] for p in range(parts)])
-    blocks = [max(1, math.ceil(members.get(p, (0, 0))[0] / BLOCK)) for p in range(parts)]
+    n, held = (np.array([members.get(p, (0, 0))[i] for p in range(parts)]) for i in (0, 1))
     queries = rows.where("asked").select("vec_id", "embedding")
     distinct = queries.groupBy("embedding").agg(F.count(F.lit(1)).alias("uses"))
     distinct = staged(distinct.withColumn("q", F.monotonically_increasing_id()), "queries")
     routed = staged(_routed(distinct.select("q", "embedding"), router, router.probes, held, k + 1), "routed")
-    visits = {r["part"]: r["n"] for r in routed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    turns = [max(1, math.ceil(visits.get(p, 0) / BLOCK)) for p in range(parts)]
-    found = _scored(_dealt(routed, "q", turns, blocks, True), _dealt(index, "at", blocks, turns, False), k)
+    # At most a row per pair of parts.
+    visits = routed.select("part", F.explode("parts").alias("to")).groupBy("part", "to").agg(F.count(F.lit(1)).alias("n")).collect()
+    asked, reach = np.zeros(parts, np.int64), np.zeros((parts, parts), bool)
+    for r in visits:
+        reach[r["part"], r["to"]] = True
+        if r["part"] == r["to"]:
+            asked[r["part"]] = r["n"]
+    chunk = max(256, CHUNK_BYTES // (8 * (usual["size"] if usual else 1)))
+    blocks, chunks = Slots.of(asked, min(BLOCK, chunk)), Slots.of(n, chunk)
+    found = _scored(_dealt(routed, "q", blocks, chunks, reach, True), _dealt(index, "at", chunks, blocks, reach.T, False), k)
     best = top_per_key(found, ["q"], [F.desc("score"), F.col("low")], k + 1)
     each = best.select("q", F.explode(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("below"), i.alias("vec_id")))).alias("x"))
     lists = each.groupBy("q").agg(F.slice(F.sort_array(F.collect_set("x")), 1, k + 1).alias("near"))
@@ -228,42 +241,82 @@ def nearest(rows: DataFrame, asked: Column, k: int = K, key: str = "vec_id", vec
     return out.select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", (-F.col("x.below")).alias("score"))
 
 
-def _dealt(rows: DataFrame, key: str, own: list[int], others: list[int], first: bool) -> DataFrame:
-    """Each row in its own block of its part, once for every block of the other side."""
-    n_own, n_others = (F.element_at(F.array(*map(F.lit, some)), F.col("part") + 1) for some in (own, others))
-    mine = F.pmod(F.xxhash64(key), n_own.cast("bigint")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), n_others - 1))
-    return rows.withColumn("mine", mine).withColumn("other", other).withColumnsRenamed(
-        {"mine": "qb", "other": "cb"} if first else {"mine": "cb", "other": "qb"}
-    )
+class Slots(NamedTuple):
+    """Rows of a part in a row of slots, part after part, cut into groups of bounded size."""
+
+    start: np.ndarray  # the first slot of each part
+    rows: np.ndarray
+    size: int
+
+    @classmethod
+    def of(cls, rows: np.ndarray, size: int) -> Slots:
+        return cls(np.cumsum(rows) - rows, rows, size)
+
+    def groups(self, parts: np.ndarray) -> list[tuple[int, int]]:
+        """Ranges of the groups that hold rows of the given parts, apart from each other."""
+        out: list[tuple[int, int]] = []
+        for p in np.flatnonzero(parts & (self.rows > 0)):
+            low, high = int(self.start[p]) // self.size, int(self.start[p] + self.rows[p] - 1) // self.size
+            if out and low <= out[-1][1] + 1:
+                out[-1] = (out[-1][0], max(high, out[-1][1]))
+            else:
+                out.append((low, high))
+        return out
+
+
+def _dealt(rows: DataFrame, key: str, own: Slots, others: Slots, reach: np.ndarray, first: bool) -> DataFrame:
+    """Each row in its own group, once for every group of the other side that its part has to do with."""
+    about = [(p, int(own.start[p]), int(own.rows[p]), others.groups(reach[p])) for p in range(len(reach)) if own.rows[p]]
+    table = rows.sparkSession.createDataFrame(about, "part int, start bigint, n bigint, ranges array<struct<low: bigint, high: bigint>>")
+    dealt = rows.join(F.broadcast(table), "part").withColumn("mine", F.expr(f"(start + pmod(xxhash64({key}), n)) div {own.size}"))
+    dealt = dealt.withColumn("other", F.explode(F.flatten(F.transform("ranges", lambda r: F.sequence(r["low"], r["high"])))))
+    return dealt.withColumnsRenamed({"mine": "qb", "other": "cb"} if first else {"mine": "cb", "other": "qb"})
+
+
+def _best(who: np.ndarray, at: np.ndarray, score: np.ndarray, low: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest scores of each query, ties to the smaller ``low``."""
+    order = np.lexsort((low[at], -score, who))
+    ordered = who[order]
+    return order[np.arange(len(order)) - np.searchsorted(ordered, ordered) < k]
 
 
 def _scored(queries: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """The ``k + 1`` best distinct vectors per query in each pair of blocks."""
+    """The ``k + 1`` best distinct vectors per query in each pair of a block and a chunk, among members of the parts it visits."""
 
     def pair(asked: pa.Table, held: pa.Table) -> pa.Table:
-        q, at, score = [], [], []
-        if asked.num_rows and held.num_rows:
-            vectors = _matrix(held.column("embedding").combine_chunks())
-            ids = held.column("ids").combine_chunks()
-            first = ids.values.to_numpy()[ids.offsets.to_numpy()[:-1]]
-            names, wanted = asked.column("q").to_numpy(), _matrix(asked.column("embedding").combine_chunks())
-            for start in range(0, len(names), 512):
-                scores = wanted[start : start + 512] @ vectors.T
-                for i, row in enumerate(scores):
-                    near = np.arange(len(row)) if len(row) <= k + 1 else np.flatnonzero(row >= np.partition(row, -k - 1)[-k - 1])
-                    near = near[np.lexsort((first[near], -row[near]))][: k + 1]
-                    q.append(np.full(len(near), names[start + i]))
-                    at.append(near)
-                    score.append(row[near])
-            picked = np.concatenate(at)
-            found = {"q": np.concatenate(q), "score": np.concatenate(score), "low": first[picked], "ids": ids.take(pa.array(picked))}
-            return pa.table(found)
-        return pa.table({"q": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "low": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64()))})
-
-    keys = ["part", "qb", "cb"]
-    left = queries.select(*keys, "q", "embedding").groupBy(*keys)
-    return left.cogroup(members.select(*keys, "embedding", "ids").groupBy(*keys)).applyInArrow(pair, _FOUND)
+        if not asked.num_rows or not held.num_rows:
+            return pa.table({"q": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "low": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64()))})
+        vectors, wanted = (_matrix(t.column("embedding").combine_chunks()) for t in (held, asked))
+        ids, visited = held.column("ids").combine_chunks(), asked.column("parts").combine_chunks()
+        low, part = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()], held.column("part").to_numpy()
+        visitor, visits = np.repeat(np.arange(asked.num_rows), visited.value_lengths().to_numpy()), visited.flatten().to_numpy()
+        top = np.full((asked.num_rows, k + 1), -np.inf)
+        who, at, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        kept, pending = [], 0
+        for p in np.unique(part):
+            mine, those = np.flatnonzero(part == p), visitor[visits == p]
+            for start in range(0, len(mine), BLOCK):
+                near = mine[start : start + BLOCK]
+                for begin in range(0, len(those), 512):
+                    some = those[begin : begin + 512]
+                    scores = wanted[some] @ vectors[near].T
+                    # The bound of what was scored so far lets few through.
+                    top[some] = np.partition(np.concatenate([top[some], scores], axis=1), -k - 1, axis=1)[:, -k - 1 :]
+                    row, column = np.nonzero(scores >= top[some].min(axis=1, keepdims=True))
+                    kept.append((some[row], near[column], scores[row, column]))
+                    pending += len(row)
+                    if pending > HELD:
+                        who, at, score = (np.concatenate([a, *b]) for a, b in zip((who, at, score), zip(*kept, strict=True), strict=True))
+                        best = _best(who, at, score, low, k + 1)
+                        who, at, score, kept, pending = who[best], at[best], score[best], [], 0
+        if kept:
+            who, at, score = (np.concatenate([a, *b]) for a, b in zip((who, at, score), zip(*kept, strict=True), strict=True))
+        best = _best(who, at, score, low, k + 1)
+        names = asked.column("q").to_numpy()
+        return pa.table({"q": names[who[best]], "score": score[best], "low": low[at[best]], "ids": ids.take(pa.array(at[best]))})
+
+    left = queries.select("qb", "cb", "q", "embedding", "parts").groupBy("qb", "cb")
+    return left.cogroup(members.select("qb", "cb", "part", "embedding", "ids").groupBy("qb", "cb")).applyInArrow(pair, _FOUND)
 
 
 @query("op2_neighbours")

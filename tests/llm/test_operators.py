@@ -389,6 +389,31 @@ def test_recall_of_learned_parts(spark, sf_dir):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_only_visited_parts_are_ranked_whatever_the_blocks(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    centres = 8 * draw.standard_normal((40, 16))
+    vectors = (centres[draw.integers(0, 40, 6000)] + draw.standard_normal((6000, 16))).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>")
+    monkeypatch.setattr(neighbours, "PART_ROWS", 400)
+    learned, real = [], neighbours.learn
+    monkeypatch.setattr(neighbours, "learn", lambda *a: learned.append(real(*a)) or learned[-1])
+
+    def answers():
+        return sorted(map(tuple, neighbours.nearest(rows, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id").collect()))
+
+    whole = answers()
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "CHUNK_BYTES", 8 * 16 * 300)
+    monkeypatch.setattr(neighbours, "HELD", 500)
+    assert answers() == whole
+    assert len(learned[0].b2) == 16
+    assert learned[0].probes <= 8
+    exact, hits = vectors.astype(np.float64), 0
+    for q in range(0, 6000, 50):
+        hits += len({v for i, _, v in whole if i == q} & set(np.argsort(-(exact @ exact[q]))[:21]))
+    assert hits / len(whole) >= 0.9
+
+
 def test_halves_are_balanced():
     vectors = np.random.default_rng(1).standard_normal((1024, 8))
     label = neighbours.balanced_parts(neighbours.neighbour_graph(vectors, 10), 8)
