@@ -53,6 +53,8 @@ SALTS = 16
 OFTEN = 32
 SLOTS = 1 << 18
 BLOCK = 512
+#: Bytes of text that a task turns into shingles at once.
+STEP = 2 << 20
 _SLACK = 1e-9
 _U64 = np.uint64
 
@@ -163,8 +165,11 @@ def similarity(one: Bag, two: Bag, least: float = 0.0) -> float:
     A common shingle ``i`` is the first of both processes with probability ``1 / sum(max(x_j / x_i, y_j / y_i))``
     over all ``j``. Sorted by ``x / y``, the maxima up to ``i`` come from ``y`` and those after it from ``x``.
     """
-    _, at, to = np.intersect1d(one.shingles, two.shingles, assume_unique=True, return_indices=True)
-    x, y = one.weights[at], two.weights[to]
+    if not len(one.shingles) or not len(two.shingles):
+        return 0.0
+    at = np.minimum(np.searchsorted(two.shingles, one.shingles), len(two.shingles) - 1)
+    common = two.shingles[at] == one.shingles
+    x, y = one.weights[common], two.weights[at[common]]
     sum_x, sum_y = x.sum(), y.sum()
     if len(x) == 0 or min(sum_x / one.total, sum_y / two.total) + _SLACK < least:
         return 0.0
@@ -191,24 +196,29 @@ def among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return marked(rows, ids, column, "is_among").where("is_among").drop("is_among")
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Pairs ``(a, b)`` marked by ``_often``, whose signatures don't rule out the similarity, with their other columns; ``nodes`` has ``node`` and ``sketch``.
+def _least_agreeing(least: float) -> int:
+    """Registers that agree but for one pair in 10^9 at ``least``: six standard deviations below those expected."""
+    return int(least * REGISTERS - 6 * (REGISTERS * least * (1 - least)) ** 0.5)
 
-    They agree in no fewer registers than six standard deviations below those expected at ``least``.
-    """
-    agreeing = int(least * REGISTERS - 6 * (REGISTERS * least * (1 - least)) ** 0.5)
-    columns = pairs.columns
-    both = _beside(_beside(pairs, nodes, "a", "b"), nodes, "b", "a")
+
+def agreeing(both: DataFrame, columns: list[str], least: float) -> DataFrame:
+    """``columns`` of the rows whose sketches ``of_a`` and ``of_b`` don't rule out the similarity."""
+    enough = _least_agreeing(least)
+    out = both.select(*columns)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = (
                 np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS) for c in ("of_a", "of_b")
             )
-            keep = pa.array((one == two).sum(axis=1) >= agreeing)
-            yield batch.select(columns).filter(keep)
+            yield batch.select(columns).filter(pa.array((one == two).sum(axis=1) >= enough))
 
-    return both.select(*columns, "of_a", "of_b").mapInArrow(check, pairs.schema)
+    return both.select(*columns, "of_a", "of_b").mapInArrow(check, out.schema)
+
+
+def likely(pairs: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Pairs ``(a, b)`` marked by ``_often``, whose signatures don't rule out the similarity, with their other columns; ``nodes`` has ``node`` and ``sketch``."""
+    return agreeing(_beside(_beside(pairs, nodes, "a", "b"), nodes, "b", "a"), pairs.columns, least)
 
 
 def _beside(pairs: DataFrame, nodes: DataFrame, side: str, other: str) -> DataFrame:
@@ -288,19 +298,23 @@ def _pointed(links: DataFrame, which: Column, keep: bool = False) -> DataFrame:
     return out.where("node <> root").select(F.greatest("node", "root").alias("node"), F.least("node", "root").alias("root")).distinct()
 
 
-def _pairs(members: DataFrame, total: int) -> DataFrame:
-    """Each bucket's representatives with the other members: ``(a, b, of, to)``, the last two their labels."""
-    drawn = F.struct(F.xxhash64("node").alias("at"), "node", "label")
+def _pairs(members: DataFrame, total: int, least: float = SIMILAR) -> DataFrame:
+    """Each bucket's representatives with the other members: ``(a, b, of, to)``, the last two their labels.
+
+    Members bring their sketches, so that pairs which these rule out go where they arise.
+    """
+    drawn = F.struct(F.xxhash64("node").alias("at"), "node", "label", "sketch")
     ranked = members.select("key", drawn.alias("m"))
-    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("m"))).where(F.col("place") <= REPRESENTATIVES)
+    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("m.at", "m.node"))).where(F.col("place") <= REPRESENTATIVES)
     chosen = ranked.groupBy("key").agg(F.collect_list("m").alias("chosen"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     groups = staged(chosen.join(sizes, "key"), "chosen")
     rows = join_groups(members, groups, "key", "n", total).withColumn("m", F.explode("chosen"))
     rows = rows.where("m.node <> node AND m.label <> label")
-    ends = F.struct("node", "label"), F.struct("m.node", "m.label")
+    ends = F.struct("node", "label", "sketch"), F.struct("m.node", "m.label", "m.sketch")
     rows = rows.select(F.least(*ends).alias("one"), F.greatest(*ends).alias("two"))
-    return rows.selectExpr("one.node AS a", "two.node AS b", "one.label AS of", "two.label AS to").distinct()
+    rows = rows.selectExpr("one.node AS a", "two.node AS b", "one.label AS of", "two.label AS to", "one.sketch AS of_a", "two.sketch AS of_b")
+    return agreeing(rows, ["a", "b", "of", "to"], least).distinct()
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
@@ -313,7 +327,7 @@ def _frequencies(texts: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for part in cut(batch, "text", 4 << 20):
+            for part in cut(batch, "text", STEP):
                 for t in part.column("text").to_pylist():
                     np.add.at(seen, _slots(shingle_hashes(t.lower().split())[0]), 1)
         at = np.flatnonzero(seen)
@@ -360,7 +374,7 @@ def remaining(labels: DataFrame, texts: DataFrame, least: float = SIMILAR) -> Da
             "shingles": pa.array([h.view(np.int64) for _, _, h in first], pa.list_(pa.int64())),
         }
 
-    rows = per_text(named, index, "node bigint, size bigint, need bigint, shingles array<bigint>").join(labels, "node")
+    rows = per_text(named, index, "node bigint, size bigint, need bigint, shingles array<bigint>", step=STEP).join(labels, "node")
     rows = staged(rows.select("node", "label", "size", "need", F.posexplode("shingles").alias("place", "shingle")), "index")
     shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     shared = staged(shared.where("low < high").select("shingle", F.col("n").alias("uses")), "shared")
@@ -389,30 +403,32 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
 def _classed(source: DataFrame, least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """The written rows, with all columns of ``source`` and their place ``at``, and what ``classes`` gives, with ``at``."""
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "text")
-    rows = per_text(source, _sketch, f"{kept}, text string, digest binary, bands array<bigint>, sketch binary")
+    rows = per_text(source, _sketch, f"{kept}, text string, digest binary, bands array<bigint>, sketch binary", step=STEP)
     rows = staged(rows.withColumn("at", F.monotonically_increasing_id()), "sketches")
     total = rows.count()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first")
     copies = staged(rows.groupBy("digest").agg(F.min("at").alias("node"), F.count(F.lit(1)).alias("n"), first), "copies")
-    nodes = rows.join(copies.select(F.col("node").alias("at")), "at", "left_semi").select(F.col("at").alias("node"), "text", "bands")
-    members = nodes.select("node", F.explode("bands").alias("key"))
+    nodes = rows.join(copies.select(F.col("node").alias("at")), "at", "left_semi").select(F.col("at").alias("node"), "bands", "sketch")
+    members = nodes.select("node", "sketch", F.explode("bands").alias("key"))
     crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = staged(_members(members, crowded, total * BANDS).withColumn("label", F.col("node")), "buckets")
     texts = rows.select(F.col("at").alias("node"), "text")
     sketches = rows.select(F.col("at").alias("node"), "sketch")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return staged(verified(staged(likely(staged(_often(pairs), "marked"), sketches, least), "likely"), texts, least), "similar").select(F.col("of").alias("a"), F.col("to").alias("b"))
+        """Links of written pairs that their sketches don't rule out."""
+        return staged(verified(staged(_often(pairs), "marked"), texts, least), "similar").select(F.col("of").alias("a"), F.col("to").alias("b"))
 
     labels = None
     if (size := members.count()) > 0:
-        pairs = staged(_pairs(members, size), "pairs")
+        pairs = staged(_pairs(members, size, least), "pairs")
         labels = components(linked(pairs))
-        left = _open(staged(_relabelled(members, labels, "label"), "relabelled")).select("node", "label").distinct()
+        left = _open(staged(_relabelled(members.drop("sketch"), labels, "label"), "relabelled")).select("node", "label").distinct()
         left = staged(left, "left")
         if not left.isEmpty():
             rest = remaining(left, texts, least).join(pairs, ["a", "b"], "left_anti")
-            labels = _combined(labels, components(linked(staged(rest, "rest"))))
+            rest = staged(likely(staged(_often(staged(rest, "rest")), "rare"), sketches, least).select("a", "b", "of", "to"), "likely")
+            labels = _combined(labels, components(linked(rest)))
     merged = copies.withColumn("label", F.col("node"))
     if labels is not None:
         merged = _relabelled(merged, labels, "label")
@@ -425,7 +441,7 @@ def _classed(source: DataFrame, least: float = SIMILAR) -> tuple[DataFrame, Data
 
 
 def _members(members: DataFrame, crowded: DataFrame, total: int) -> DataFrame:
-    return join_groups(members, staged(crowded, "crowded"), "key", "n", total).select("key", "node")
+    return join_groups(members, staged(crowded, "crowded"), "key", "n", total).drop("n")
 
 
 def _relabelled(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
