@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docweft.functions.messages import STOPPED
 from docweft.functions.tools import (
+    OPERATION_ERROR,
     OPERATIONS,
     calculator_error,
     calculator_value,
@@ -16,6 +18,7 @@ from docweft.functions.tools import (
     value_or_error,
 )
 from docweft.operators.numbering import newest
+from docweft.operators.scoring import Model, batch_predict
 from docweft.operators.sizes import sent
 from docweft.session import fresh_path
 
@@ -52,46 +55,72 @@ def calculator_registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(op,) for op in OPERATIONS], "name STRING")
 
 
-def tool_loop(requests: DataFrame, calls: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def listed_calls_planner() -> Model:
+    """Stand-in: the request is a JSON list of calls; asks for the next one, answers with the last output."""
+    import json
+
+    def reply(conversation: str) -> str:
+        messages = json.loads(conversation)
+        listed = json.loads(messages[0].get("content") or "[]")
+        outputs = [m.get("content") for m in messages if m["type"] == "function_call_output"]
+        if len(outputs) < len(listed):
+            return json.dumps(listed[len(outputs)])
+        return json.dumps({"answer": f"Answer: {outputs[-1] if outputs else 'nothing to compute'}"})
+
+    return lambda conversations: [reply(c) for c in conversations]
+
+
+def tool_loop(
+    requests: DataFrame, planner: Callable[[], Model], registry: DataFrame | None = None, max_rounds: int = MAX_ROUNDS
+) -> DataFrame:
     """All requests, one step per round, until each is answered or the rounds are used up.
 
-    ``requests`` has ``request_id, answered`` (its conversation already ends on
-    an assistant message); ``calls`` has ``request_id, call_no, name, x, y``: the
-    calls the stand-in planner asks for, in order from 1. Returns the items
-    produced, ``(request_id, round, type, content)``.
+    ``requests`` has ``request_id, prompt, answered`` (its conversation already ends
+    on an assistant message), ``registry`` has ``name``. Returns the items produced,
+    ``(request_id, round, type, content)``.
 
-    A round looks at the last message only: after a tool call the tool runs,
-    after anything else the planner asks for the next call or answers. So odd
-    rounds plan and even rounds run tools, and call ``n`` takes rounds ``2 n - 1``
-    and ``2 n``: one join and one pass. Calls are stored by number and each is
-    read once. State is one row per open request, kept as a table in the shared
+    The planner is a model that is built once per task and sees each open request's
+    messages, ``[{"type", "content"}]`` as JSON: the prompt, then calls and outputs. It
+    replies ``{"name", "x", "y"}`` to call a tool or ``{"answer"}``; any other reply is
+    itself the answer. So what it asks next may depend on what a tool gave.
+
+    A round looks at the last message only: odd rounds plan, even rounds run tools, and
+    both are one pass over the open requests. They are never shuffled: the registry is
+    sent to them. State is one row per open request, kept as a table in the shared
     folder, so a lost executor costs a task, not the loop.
     """
     spark = requests.sparkSession
     root = fresh_path(spark, "tool-loop")
-    calls.select("request_id", "name", "x", "y", "call_no").write.partitionBy("call_no").parquet(f"{root}/calls")
-    stored = spark.read.schema("request_id BIGINT, name STRING, x DOUBLE, y DOUBLE, call_no BIGINT").parquet(f"{root}/calls")
-    schema = "request_id BIGINT, asked STRING, output STRING, answer STRING"
-    state = requests.where(~F.col("answered")).select("request_id", F.lit(None).cast("string").alias("seen"))
+    known = sent((calculator_registry(spark) if registry is None else registry).select("name", F.lit(True).alias("known")).distinct())
     op, x, y = F.col("name"), F.col("x"), F.col("y")
     asked = F.concat(op, F.lit("("), number_text(x), F.lit(", "), number_text(y), F.lit(")"))
-    result = value_or_error(calculator_error(op, y), number_text(calculator_value(op, x, y)))
-    said = F.concat(F.lit("Answer: "), F.coalesce("seen", F.lit("nothing to compute")))
+    result = F.when(F.col("known").isNull(), OPERATION_ERROR).otherwise(
+        value_or_error(calculator_error(op, y), number_text(calculator_value(op, x, y)))
+    )
+
+    def message(type_, content):
+        return F.struct(F.lit(type_).alias("type"), content.alias("content"))
+
+    schema = "request_id BIGINT, asked STRING, output STRING, answer STRING, messages ARRAY<STRUCT<type: STRING, content: STRING>>"
+    state = requests.where(~F.col("answered")).select("request_id", F.array(message("message", F.col("prompt"))).alias("messages"))
     for number in range(1, (max_rounds + 1) // 2 + 1):
-        due = stored.where(F.col("call_no") == number).drop("call_no")
-        step = state.join(due, "request_id", "left").select(
+        told = batch_predict(state.withColumn("conversation", F.to_json("messages")), "conversation", planner, "reply")
+        plan = F.from_json("reply", "name STRING, x DOUBLE, y DOUBLE, answer STRING")
+        step = told.withColumn("plan", plan).select("request_id", "messages", "reply", "plan.*").join(known, "name", "left")
+        step = step.select(
             "request_id",
+            "messages",
             F.when(op.isNotNull(), asked).alias("asked"),
             F.when(op.isNotNull(), result).alias("output"),
-            F.when(op.isNull(), said).alias("answer"),
+            F.when(op.isNull(), F.coalesce("answer", "reply", F.lit(""))).alias("answer"),
         )
-        path = f"{root}/calls_done/number={number}"
-        step.write.parquet(path)
-        open_ = spark.read.schema(schema).parquet(path).where("answer IS NULL")
-        state = open_.select("request_id", F.col("output").alias("seen"))
+        grown = F.concat("messages", F.array(message("function_call", F.col("asked")), message("function_call_output", F.col("output"))))
+        path = f"{root}/number={number}"
+        step.withColumn("messages", F.when(F.col("answer").isNull(), grown)).write.parquet(path)
+        state = spark.read.schema(schema).parquet(path).where("answer IS NULL").select("request_id", "messages")
         if state.isEmpty():
             break
-    done = spark.read.schema(f"{schema}, number BIGINT").option("basePath", f"{root}/calls_done").parquet(f"{root}/calls_done")
+    done = spark.read.schema(f"{schema}, number BIGINT").parquet(root).drop("messages")
 
     def item(round_, type_, content):
         return F.struct(round_.cast("bigint").alias("round"), F.lit(type_).alias("type"), content.alias("content"))

@@ -20,7 +20,7 @@ from docweft.operators.evaluation import mean
 from docweft.operators.numbering import top_per_key
 from docweft.operators.prompts import best, latest, mean_scores, with_new_version
 from docweft.operators.scoring import batch_predict, echo_model, transcript_model, word_count_model
-from docweft.operators.tools import MAX_ROUNDS, tool_loop
+from docweft.operators.tools import MAX_ROUNDS, listed_calls_planner, tool_loop
 from docweft.plans.frames import (
     CHUNK_OVERLAP,
     CHUNK_TOKENS,
@@ -188,11 +188,16 @@ UNION ALL SELECT request_id, {MAX_ROUNDS + 1}, 'message', 'Max iterations reache
 
 @query("tool_loop", f"WITH {SQL_LOOP}")
 def run_tool_loop(spark, sf_dir):
-    """Every order as a request; finished orders already end on an answer."""
-    requests = load(spark, sf_dir, "orders").select(
+    """Every order as a request that lists what to compute; finished orders already end on an answer."""
+    listed = order_calls(spark, sf_dir).groupBy("request_id").agg(
+        F.sort_array(F.collect_list(F.struct("call_no", "name", "x", "y"))).alias("calls")
+    )
+    prompt = F.to_json(F.transform("calls", lambda c: F.struct(c["name"].alias("name"), c["x"].alias("x"), c["y"].alias("y"))))
+    orders = load(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("request_id"), (F.col("o_orderstatus") == "F").alias("answered")
     )
-    return tool_loop(requests, order_calls(spark, sf_dir))
+    requests = orders.join(listed, "request_id", "left").select("request_id", "answered", prompt.alias("prompt"))
+    return tool_loop(requests, listed_calls_planner)
 
 
 @query(

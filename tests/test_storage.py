@@ -12,7 +12,7 @@ from docweft.sources.catalog import ensure_namespace, ensure_table
 from docweft.sources.files import extracted, list_files, read_binaries, read_texts
 from docweft.sources.index import INDEX_SCHEMA, VectorIndex
 from docweft.sources.payloads import first_prediction, payload_cells, split_payloads
-from docweft.sources.runs import append_log, long_form, read_log
+from docweft.sources.runs import append_log, long_form, read_log, write_attempt
 
 
 def rows(spark, *items):
@@ -127,6 +127,24 @@ def test_run_log(spark, folder):
     assert got == [("r1", "m", "0.500000"), ("r1", "n", "2"), ("r2", "m", "0.333333"), ("r2", "n", "3"), ("r3", "n", "2")]
 
 
+def test_run_log_shows_committed_attempts_only(spark, folder):
+    rows = spark.createDataFrame([("r1", "n", "1"), ("r1", "m", "2"), ("", "n", "3"), (None, "n", "4")], "run_id string, key string, value string")
+    assert read_log(spark, folder).count() == 0
+    write_attempt(rows, folder)
+    assert read_log(spark, folder).count() == 0
+    for _ in range(2):
+        append_log(rows, folder)
+    both = {("r1", "n", "1"), ("r1", "m", "2"), ("", "n", "3"), (None, "n", "4")}
+    got = list(map(tuple, read_log(spark, folder).collect()))
+    assert len(got) == 4 and set(got) == both
+    write_attempt(rows.where("run_id = 'r1'").withColumn("value", F.lit("lost")), folder)
+    append_log(rows.where("run_id = 'r1' AND key = 'n'").withColumn("value", F.lit("9")), folder)
+    got = list(map(tuple, read_log(spark, folder).collect()))
+    assert len(got) == 3 and set(got) == {("r1", "n", "9"), ("", "n", "3"), (None, "n", "4")}
+    append_log(rows.limit(0), folder)
+    assert read_log(spark, folder).count() == 3
+
+
 def test_catalog_calls_are_idempotent(spark, folder):
     name = "ns_" + folder[-8:]
     for n in (1, 2):

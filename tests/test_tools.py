@@ -1,7 +1,9 @@
+import json
+
 import pytest
 
 from docweft.functions.tools import calculator_error, calculator_value, register_sql_functions
-from docweft.operators.tools import calculator_registry, dispatched, last_wins, tool_loop, union_of
+from docweft.operators.tools import calculator_registry, dispatched, last_wins, listed_calls_planner, tool_loop, union_of
 
 CALLS = "request_id bigint, call_no bigint, name string, x double, y double"
 
@@ -53,10 +55,14 @@ def items(df):
     return out
 
 
+def asking(spark, rows):
+    made = [(i, answered, calls if isinstance(calls, str) else json.dumps([dict(zip(("name", "x", "y"), c, strict=True)) for c in calls])) for i, answered, calls in rows]
+    return spark.createDataFrame(made, "request_id bigint, answered boolean, prompt string")
+
+
 def test_loop_of_two_steps(spark):
-    requests = spark.createDataFrame([(1, False), (2, True), (3, False)], "request_id bigint, answered boolean")
-    calls = spark.createDataFrame([(1, 1, "subtract", 100.0, 37.0), (1, 2, "add", 63.0, 50.0)], CALLS)
-    got = items(tool_loop(requests, calls))
+    two = [("subtract", 100.0, 37.0), ("add", 63.0, 50.0)]
+    got = items(tool_loop(asking(spark, [(1, False, two), (2, True, two), (3, False, [])]), listed_calls_planner))
     assert got == {
         1: [
             (1, "function_call", "subtract(100.0000, 37.0000)"),
@@ -72,9 +78,8 @@ def test_loop_of_two_steps(spark):
 @pytest.mark.parametrize(("rounds", "n_calls", "stopped"), [(10, 4, False), (10, 5, True), (3, 1, True), (5, 1, False)])
 def test_loop_is_bounded(spark, rounds, n_calls, stopped):
     """An answer given in the last allowed round is still followed by the stop message."""
-    requests = spark.createDataFrame([(1, False)], "request_id bigint, answered boolean")
-    calls = spark.createDataFrame([(1, n, "add", 1.0, float(n)) for n in range(1, n_calls + 1)], CALLS)
-    got = items(tool_loop(requests, calls, rounds))[1]
+    requests = asking(spark, [(1, False, [("add", 1.0, float(n)) for n in range(1, n_calls + 1)])])
+    got = items(tool_loop(requests, listed_calls_planner, max_rounds=rounds))[1]
     assert (got[-1][2] == "Max iterations reached. Stopping.") == stopped
     assert len(got) <= rounds + 1
     if not stopped:
@@ -82,6 +87,30 @@ def test_loop_is_bounded(spark, rounds, n_calls, stopped):
 
 
 def test_loop_without_open_requests(spark):
-    requests = spark.createDataFrame([(1, True)], "request_id bigint, answered boolean")
-    calls = spark.createDataFrame([(1, 1, "add", 1.0, 1.0)], CALLS)
-    assert tool_loop(requests, calls).count() == 0
+    assert tool_loop(asking(spark, [(1, True, [("add", 1.0, 1.0)])]), listed_calls_planner).count() == 0
+
+
+def test_planner_reacts_to_what_tools_give(spark):
+    def doubling():
+        def reply(conversation):
+            messages = json.loads(conversation)
+            outputs = [m["content"] for m in messages if m["type"] == "function_call_output"]
+            if not outputs:
+                return json.dumps({"name": "power", "x": 2.0, "y": 3.0})
+            if outputs[-1].startswith("Error"):
+                return json.dumps({"name": "multiply", "x": float(messages[0]["content"]), "y": 2.0})
+            last = float(outputs[-1])
+            return "enough" if last > 50 else json.dumps({"name": "multiply", "x": last, "y": 2.0})
+
+        return lambda conversations: [reply(c) for c in conversations]
+
+    got = items(tool_loop(asking(spark, [(1, False, "20"), (2, False, "40")]), doubling))
+    failed = [(1, "function_call", "power(2.0000, 3.0000)"), (2, "function_call_output", "Error: Unknown operation")]
+    assert got[2] == failed + [(3, "function_call", "multiply(40.0000, 2.0000)"), (4, "function_call_output", "80.0000"), (5, "message", "enough")]
+    assert [c for _, _, c in got[1]][2:] == ["multiply(20.0000, 2.0000)", "40.0000", "multiply(40.0000, 2.0000)", "80.0000", "enough"]
+
+
+def test_loop_runs_registered_tools_only(spark):
+    registry = spark.createDataFrame([("add",)], "name string")
+    got = items(tool_loop(asking(spark, [(1, False, [("subtract", 2.0, 1.0), ("add", 2.0, 1.0)])]), listed_calls_planner, registry))[1]
+    assert [c for _, t, c in got if t == "function_call_output"] == ["Error: Unknown operation", "3.0000"]
