@@ -5,8 +5,6 @@ import pytest
 from docweft.functions.tools import calculator_error, calculator_value, register_sql_functions
 from docweft.operators.tools import calculator_registry, dispatched, last_wins, listed_calls_planner, tool_loop, union_of
 
-CALLS = "request_id bigint, call_no bigint, name string, x double, y double"
-
 
 @pytest.mark.parametrize(
     ("op", "x", "y", "value", "error"),
