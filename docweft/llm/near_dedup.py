@@ -14,12 +14,12 @@ compared with all members, drawn in one order for all buckets, so that texts tha
 meet in many buckets make the same few pairs there. Pairs whose signatures agree in
 far too few registers go first (six standard deviations). A remaining pair counts if
 the same similarity, taken from both whole texts' weighted bags, reaches the threshold.
-Links give components. The texts of buckets that still hold
-several components and more members than were all compared meet once more by their
-rarest shingles: two texts at the threshold share at least that part of either's weight, so
-they have one of the rarest shingles in common that make up the rest, and neither has
-fewer shingles from there on than the other needs for its part. These
-bounds lose no pair, so every pair of such a bucket is compared or ruled out.
+Links give components. Buckets that still hold several components and more members than
+were all compared are cut into blocks, bounded in members and shingles, and every two blocks
+of a bucket meet in one task with the weighted bags of their texts. It compares the pairs with
+different components, each in the first bucket that the pair shares, and sends on links of
+components only, never pairs. A component with many members in a bucket has blocks of its own, which
+don't meet each other. This loses no pair, so every pair of such a bucket is compared or ruled out.
 
 Defined cases: a null text is empty; texts are compared in lower case, cut at
 white space; a text shorter than a shingle is one shingle of all its words;
@@ -51,8 +51,9 @@ REGISTERS = BANDS * ROWS
 BITS = 1 << 23
 SALTS = 16
 OFTEN = 32
-SLOTS = 1 << 18
+#: Most members and shingles of a block.
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
 #: Bytes of text that a task turns into shingles at once.
 STEP = 2 << 20
 _SLACK = 1e-9
@@ -216,11 +217,6 @@ def agreeing(both: DataFrame, columns: list[str], least: float) -> DataFrame:
     return both.select(*columns, "of_a", "of_b").mapInArrow(check, out.schema)
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Pairs ``(a, b)`` marked by ``_often``, whose signatures don't rule out the similarity, with their other columns; ``nodes`` has ``node`` and ``sketch``."""
-    return agreeing(_beside(_beside(pairs, nodes, "a", "b"), nodes, "b", "a"), pairs.columns, least)
-
-
 def _beside(pairs: DataFrame, nodes: DataFrame, side: str, other: str) -> DataFrame:
     """Pairs with the sketch or text of one side.
 
@@ -317,79 +313,141 @@ def _pairs(members: DataFrame, total: int, least: float = SIMILAR) -> DataFrame:
     return agreeing(rows, ["a", "b", "of", "to"], least).distinct()
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (_mixed(hashes, 5) % _U64(SLOTS)).astype(np.int64)
+BAG = "node bigint, bands array<bigint>, sketch binary, size bigint, shingles array<bigint>, counts array<bigint>"
 
 
-def _frequencies(texts: DataFrame) -> np.ndarray:
-    """How many texts hold the shingles of each slot; it orders shingles and decides nothing, so shared slots do no harm."""
+def bags(texts: DataFrame) -> DataFrame:
+    """``(node, bands, sketch, size, shingles, counts)`` of rows ``(node, text, bands, sketch)``."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for part in cut(batch, "text", STEP):
-                for t in part.column("text").to_pylist():
-                    np.add.at(seen, _slots(shingle_hashes(t.lower().split())[0]), 1)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(at, pa.int64()), "n": pa.array(seen[at], pa.int64())})
+    def made(found: list[str], batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        each = [shingle_hashes(t.lower().split()) for t in found]
+        return {
+            **{name: batch.column(name) for name in ("node", "bands", "sketch")},
+            "size": pa.array([len(h) for h, _ in each], pa.int64()),
+            "shingles": pa.array([h.view(np.int64) for h, _ in each], pa.list_(pa.int64())),
+            "counts": pa.array([c for _, c in each], pa.list_(pa.int64())),
+        }
 
-    # At most SLOTS rows, whatever the corpus.
-    rows = texts.select("text").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(SLOTS, np.int64)
-    table[rows["slot"].to_numpy()] = rows["n"].to_numpy()
-    return table
+    return per_text(texts, made, BAG, step=STEP)
 
 
-def rarest(text: str, frequency: np.ndarray, least: float = SIMILAR) -> tuple[int, int, np.ndarray]:
-    """How many shingles a text has, how many of them a text at ``least`` or more has too, and its rarest ones.
+def _meetings(members: DataFrame) -> DataFrame:
+    """``(meet, side, key, node, label)``: the members of every two blocks of a bucket that may hold links, or of one block, side 0 only.
 
-    The similarity is at most the share of either text's weight that lies in common shingles. So what stands
-    before the first common one, in any order, weighs no more than ``1 - least`` of the text, and two texts at
-    ``least`` or more have one of their rarest shingles in common.
+    ``members`` has ``key``, ``node``, ``label`` and ``size`` and is written.
     """
-    hashes, counts = shingle_hashes(text.lower().split())
-    weights = weight(counts)
-    order = np.lexsort((hashes, frequency[_slots(hashes)]))
-    before = np.cumsum(weights[order]) - weights[order]
-    heaviest = np.cumsum(np.sort(weights)[::-1])
-    need = int(np.searchsorted(heaviest, least * heaviest[-1] - _SLACK)) + 1 if len(hashes) else 0
-    return len(hashes), need, hashes[order[before <= (1 - least) * weights.sum() + _SLACK]]
-
-
-def remaining(labels: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """``(a, b, of, to)``: all pairs of the labelled nodes with other labels that shares of rare shingles don't rule out.
-
-    ``labels`` has ``node`` and ``label`` and is written, ``texts`` has ``node`` and ``text``. A shingle of many texts is
-    cut into blocks, and every block meets every block.
+    spots = members.withColumn("spot", F.struct("key", "label"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES))).alias("blocks")
+    totals = F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), blocks
+    labels = staged(spots.groupBy("spot").agg(*totals).select("spot", "spot.key", "spot.label", "n", "size", "blocks"), "spots")
+    few = labels.where("blocks = 1").groupBy("key").agg(
+        F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES))).alias("common")
+    )
+    # A label with many members is cut by node and has blocks of its own, the others are dealt whole; -1 is no node.
+    placed = labels.join(few, "key", "left").selectExpr(
+        "spot", "key", "n", "if(blocks > 1, label, -1L) AS own", "if(blocks > 1, blocks, common) AS parts"
+    )
+    placed = staged(placed, "placed")
+    each = placed.groupBy("key", "own").agg(F.max("parts").alias("parts")).where("parts > 0")
+    each = each.select("key", "own", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
+    one, two = each.selectExpr("key", "own AS own_0", "part AS part_0"), each.selectExpr("key", "own AS own_1", "part AS part_1")
+    meets = one.join(two, "key").where("own_0 < own_1 OR (own_0 = -1 AND own_1 = -1 AND part_0 <= part_1)")
+    meets = staged(meets.withColumn("meet", F.monotonically_increasing_id()), "meets")
+    dealt = join_groups(spots.drop("key", "size"), placed, "spot", "n", members.count())
+    dealt = dealt.withColumn("part", F.expr("pmod(xxhash64(if(own = -1, label, node)), parts)")).select("key", "own", "part", "node", "label")
+
+    def side(number: int) -> DataFrame:
+        at = meets if number == 0 else meets.where("own_0 <> own_1 OR part_0 <> part_1")
+        at = at.select("meet", "key", F.col(f"own_{number}").alias("own"), F.col(f"part_{number}").alias("part"))
+        return dealt.join(at, ["key", "own", "part"]).select("meet", F.lit(number).alias("side"), "key", "node", "label")
+
+    return side(0).unionByName(side(1))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Neighbouring rows with one value of ``column``, over batches too."""
+    parts: list[pa.RecordBatch] = []
+    for batch in batches:
+        values = batch.column(column).to_numpy()
+        edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for start, end in zip(edges, edges[1:], strict=False):
+            if start == end:
+                continue
+            if parts and parts[-1].column(column)[0].as_py() != values[start]:
+                yield pa.Table.from_batches(parts)
+                parts = []
+            parts.append(batch.slice(start, end - start))
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
+def _links(met: pa.Table, least: float) -> list[tuple[int, int]]:
+    """Labels linked by similar texts of two blocks, or of one."""
+    met = met.combine_chunks()
+    label, side = met["label"].to_numpy(), met["side"].to_numpy()
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    within = len(two) == 0
+    if within:
+        two = one
+    if len(one) == 0:
+        return []
+    bands = np.array(met["bands"].to_pylist(), dtype=np.int64)
+    sketch = np.frombuffer(b"".join(met["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS)
+    possible = label[one][:, None] != label[two]
+    if within:
+        possible &= ~np.tri(len(one), dtype=bool)
+    # Pairs that share an earlier bucket were compared there.
+    for band in range(int(np.flatnonzero(bands[0] == met["key"][0].as_py())[0])):
+        possible &= bands[one, band][:, None] != bands[two, band]
+    agree = np.zeros(possible.shape, dtype=np.uint8)
+    for register in range(REGISTERS):
+        agree += sketch[one, register][:, None] == sketch[two, register]
+    first, second = np.nonzero(possible & (agree >= _least_agreeing(least)))
+    order = np.argsort(-agree[first, second].astype(np.int64), kind="stable")
+    shingles, counts = met["shingles"].chunk(0), met["counts"].chunk(0)
+    ends, hashes, times = shingles.offsets.to_numpy(), shingles.values.to_numpy().view(_U64), counts.values.to_numpy()
+    skew = counts.offsets.to_numpy()[0] - ends[0]
+    made: dict[int, Bag] = {}
+
+    def bag(at: int) -> Bag:
+        if at not in made:
+            low, high = ends[at], ends[at + 1]
+            weights = weight(times[low + skew : high + skew])
+            made[at] = Bag(hashes[low:high], weights, float(weights.sum()))
+        return made[at]
+
+    root = {x: x for x in label.tolist()}
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    found = []
+    for a, b in zip(one[first[order]].tolist(), two[second[order]].tolist(), strict=True):
+        x, y = top(int(label[a])), top(int(label[b]))
+        if x != y and similarity(bag(a), bag(b), least) >= least - _SLACK:
+            root[x] = y
+            found.append((x, y))
+    return found
+
+
+def settled(members: DataFrame, rows: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """``(a, b)``: labels of open buckets that similar texts link, every pair with different labels compared or ruled out.
+
+    ``members`` has ``key``, ``node`` and ``label`` and is written, ``rows`` has ``node``, ``text``, ``bands`` and ``sketch``.
     """
-    named = among(texts, labels, "node")
-    sent = texts.sparkSession.sparkContext.broadcast(_frequencies(named))
-
-    def index(found: list[str], batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        first = [rarest(t, sent.value, least) for t in found]
-        return {
-            "node": batch.column("node"),
-            "size": pa.array([n for n, _, _ in first], pa.int64()),
-            "need": pa.array([m for _, m, _ in first], pa.int64()),
-            "shingles": pa.array([h.view(np.int64) for _, _, h in first], pa.list_(pa.int64())),
-        }
-
-    rows = per_text(named, index, "node bigint, size bigint, need bigint, shingles array<bigint>", step=STEP).join(labels, "node")
-    rows = staged(rows.select("node", "label", "size", "need", F.posexplode("shingles").alias("place", "shingle")), "index")
-    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    shared = staged(shared.where("low < high").select("shingle", F.col("n").alias("uses")), "shared")
-    rows = staged(join_groups(rows, shared, "shingle", "uses", rows.count()), "meeting")
+    held = staged(bags(rows.join(members.select("node").distinct(), "node", "left_semi")), "bags")
+    sized = staged(members.join(held.select("node", "size"), "node"), "sized")
+    met = _meetings(sized).join(held.drop("size"), "node").repartition("meet").sortWithinPartitions("meet")
 
-    def side(name: str, own: str, other: str) -> DataFrame:
-        count = F.ceil(F.col("uses") / F.lit(BLOCK)).cast("int")
-        dealt = rows.withColumn(own, F.pmod(F.xxhash64("node"), count).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), count - 1)))
-        return dealt.select("shingle", "i", "j", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "label", "size", "need", "place")])
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, "meet"):
+            if links := _links(table, least):
+                a, b = zip(*links, strict=True)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    # From the first common shingle on, each has as many left as the other needs.
-    fits = F.expr("a_node < b_node AND a_label <> b_label AND a_size - a_place >= b_need AND b_size - b_place >= a_need")
-    one, two = side("a", "i", "j"), side("b", "j", "i")
-    met = one.join(two, (one["shingle"] == two["shingle"]) & (one["i"] == two["i"]) & (one["j"] == two["j"]) & fits)
-    return met.selectExpr("a_node AS a", "b_node AS b", "a_label AS of", "b_label AS to").distinct()
+    return met.mapInArrow(compare, "a bigint, b bigint")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
@@ -413,7 +471,6 @@ def _classed(source: DataFrame, least: float = SIMILAR) -> tuple[DataFrame, Data
     crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = staged(_members(members, crowded, total * BANDS).withColumn("label", F.col("node")), "buckets")
     texts = rows.select(F.col("at").alias("node"), "text")
-    sketches = rows.select(F.col("at").alias("node"), "sketch")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Links of written pairs that their sketches don't rule out."""
@@ -423,12 +480,10 @@ def _classed(source: DataFrame, least: float = SIMILAR) -> tuple[DataFrame, Data
     if (size := members.count()) > 0:
         pairs = staged(_pairs(members, size, least), "pairs")
         labels = components(linked(pairs))
-        left = _open(staged(_relabelled(members.drop("sketch"), labels, "label"), "relabelled")).select("node", "label").distinct()
-        left = staged(left, "left")
+        left = _open(staged(_relabelled(members.drop("sketch"), labels, "label"), "relabelled"))
         if not left.isEmpty():
-            rest = remaining(left, texts, least).join(pairs, ["a", "b"], "left_anti")
-            rest = staged(likely(staged(_often(staged(rest, "rest")), "rare"), sketches, least).select("a", "b", "of", "to"), "likely")
-            labels = _combined(labels, components(linked(rest)))
+            sources = rows.select(F.col("at").alias("node"), "text", "bands", "sketch")
+            labels = _combined(labels, components(staged(settled(left, sources, least), "settled")))
     merged = copies.withColumn("label", F.col("node"))
     if labels is not None:
         merged = _relabelled(merged, labels, "label")

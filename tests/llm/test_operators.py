@@ -205,17 +205,51 @@ def test_near_copies_in_crowded_buckets_equal_brute_force(spark, monkeypatch):
     assert got == {i: twin.get(i, i) for i in range(len(texts))}
 
 
-def test_rare_shingles_meet_whatever_the_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+@pytest.mark.parametrize(("block", "shingles", "split"), [(2, 1 << 20, 30), (512, 100, 30), (3, 1 << 20, 2), (512, 1 << 20, 30)])
+def test_open_buckets_are_compared_whatever_the_blocks(spark, monkeypatch, block, shingles, split):
+    """Links join the same labels as brute force over all pairs that share an open bucket; with two labels each has blocks of its own."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
     draw = random.Random(8)
     base = [f"w{i}" for i in range(60)]
     texts = [" ".join(base[: draw.randint(40, 60)] + [f"x{draw.randint(0, 3)}" for _ in range(draw.randint(0, 6))]) for _ in range(40)]
     texts += ["one", "one two", "one two three four five"]
-    rows = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
-    labels = rows.select("node", (F.col("node") % 30).alias("label"))
-    found = {(r["a"], r["b"]) for r in near_dedup.remaining(labels, rows).collect()}
-    near = {(i, j) for j in range(len(texts)) for i in range(j) if _similarity(texts[i], texts[j]) >= 0.8}
-    assert {(i, j) for i, j in near if i % 30 != j % 30} <= found and all(i % 30 != j % 30 for i, j in found)
+    bags = [near_dedup.shingle_hashes(t.split()) for t in texts]
+    signed = near_dedup.signatures(bags)
+    bands = near_dedup.band_keys(signed)
+    sketch = (near_dedup._mixed(signed, 3) & np.uint64(255)).astype(np.uint8)
+    kept = [(i, t, bands[i].tolist(), bytearray(sketch[i].tobytes())) for i, t in enumerate(texts)]
+    rows = spark.createDataFrame(kept, "node bigint, text string, bands array<bigint>, sketch binary")
+    members = rows.select(F.explode("bands").alias("key"), "node", (F.col("node") % split).alias("label"))
+    buckets = defaultdict(set)
+    for i in range(len(texts)):
+        for k in bands[i].tolist():
+            buckets[k].add(i)
+    root = list(range(split))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for held in buckets.values():
+        for i in held:
+            for j in held:
+                if i < j and _similarity(texts[i], texts[j]) >= 0.8:
+                    root[max(find(i % split), find(j % split))] = min(find(i % split), find(j % split))
+    links = near_dedup.settled(members, rows).collect()
+    assert all(find(r["a"]) == find(r["b"]) and r["a"] != r["b"] for r in links)
+    got = list(range(split))
+
+    def top(i):
+        while got[i] != i:
+            i = got[i]
+        return i
+
+    for r in links:
+        got[max(top(r["a"]), top(r["b"]))] = min(top(r["a"]), top(r["b"]))
+    assert [top(i) for i in range(split)] == [find(i) for i in range(split)]
+    assert len({find(i) for i in range(split)}) < split
 
 
 def test_near_copies_with_a_line_repeated_in_one_of_them(spark):
