@@ -468,8 +468,9 @@ def _classed(source: DataFrame, least: float = SIMILAR) -> tuple[DataFrame, Data
     copies = staged(rows.groupBy("digest").agg(F.min("at").alias("node"), F.count(F.lit(1)).alias("n"), first), "copies")
     nodes = rows.join(copies.select(F.col("node").alias("at")), "at", "left_semi").select(F.col("at").alias("node"), "bands", "sketch")
     members = nodes.select("node", "sketch", F.explode("bands").alias("key"))
-    crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = staged(_members(members, crowded, total * BANDS).withColumn("label", F.col("node")), "buckets")
+    # Rows only stay or go here, so the adaptive join may split a hot bucket's.
+    crowded = staged(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "crowded")
+    members = staged(members.join(crowded, "key", "left_semi").withColumn("label", F.col("node")), "buckets")
     texts = rows.select(F.col("at").alias("node"), "text")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -495,10 +496,6 @@ def _classed(source: DataFrame, least: float = SIMILAR) -> tuple[DataFrame, Data
     return rows, found
 
 
-def _members(members: DataFrame, crowded: DataFrame, total: int) -> DataFrame:
-    return join_groups(members, staged(crowded, "crowded"), "key", "n", total).drop("n")
-
-
 def _relabelled(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
     """Rows, which are written, with ``column`` replaced by its root, where it has one."""
     used = rows.groupBy(F.col(column).alias("node")).agg(F.count(F.lit(1)).alias("uses"))
