@@ -466,11 +466,13 @@ def _classed(source: DataFrame, least: float = SIMILAR) -> tuple[DataFrame, Data
     total = rows.count()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first")
     copies = staged(rows.groupBy("digest").agg(F.min("at").alias("node"), F.count(F.lit(1)).alias("n"), first), "copies")
-    nodes = rows.join(copies.select(F.col("node").alias("at")), "at", "left_semi").select(F.col("at").alias("node"), "bands", "sketch")
-    members = nodes.select("node", "sketch", F.explode("bands").alias("key"))
+    nodes = rows.join(copies.select(F.col("node").alias("at")), "at", "left_semi").select(F.col("at").alias("node"), "bands")
+    sketches = rows.select(F.col("at").alias("node"), "sketch")
+    members = nodes.select("node", F.explode("bands").alias("key"))
     # Rows only stay or go here, so the adaptive join may split a hot bucket's.
     crowded = staged(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "crowded")
-    members = staged(members.join(crowded, "key", "left_semi").withColumn("label", F.col("node")), "buckets")
+    members = members.join(crowded, "key", "left_semi").join(sketches, "node")
+    members = staged(members.select("key", "node", "sketch", F.col("node").alias("label")), "buckets")
     texts = rows.select(F.col("at").alias("node"), "text")
 
     def linked(pairs: DataFrame) -> DataFrame:
