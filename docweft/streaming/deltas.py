@@ -13,25 +13,26 @@ def completed_items(deltas: DataFrame) -> DataFrame:
     """Items whose deltas have all arrived: ``(item_id, text)``.
 
     ``deltas`` has ``item_id BIGINT, seq BIGINT, delta STRING, last BOOLEAN``;
-    the last delta tells how many there are, and order of arrival is free. The
-    state of an item is what has arrived of it, dropped on completion.
+    the last delta tells how many there are, and order of arrival is free. A delta
+    that arrives again before its item is complete counts once. The state of an
+    item is what has arrived of it, dropped on completion.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seqs, texts, expected = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], -1)
+        seqs, texts, expected = state.get if state.exists else ([], [], -1)
+        arrived = dict(zip(seqs, texts, strict=True))
         for frame in frames:
-            seqs.extend(frame["seq"].tolist())
-            texts.extend(frame["delta"].tolist())
+            arrived.update(zip(frame["seq"].tolist(), frame["delta"].tolist(), strict=True))
             ends = frame.loc[frame["last"], "seq"]
             if len(ends):
                 expected = int(ends.iloc[0]) + 1
-        if expected == len(seqs):
+        if expected == len(arrived):
             if state.exists:
                 state.remove()
-            whole = "".join(text for _, text in sorted(zip(seqs, texts, strict=True)))
+            whole = "".join(arrived[seq] for seq in sorted(arrived))
             yield pd.DataFrame({"item_id": [key[0]], "text": [whole]})
         else:
-            state.update((seqs, texts, expected))
+            state.update((list(arrived), list(arrived.values()), expected))
 
     return deltas.groupBy("item_id").applyInPandasWithState(
         step,

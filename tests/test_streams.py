@@ -98,6 +98,14 @@ def test_deltas_across_batches(spark):
         assert {r.item_id: r.text for r in batch.collect()} == texts
 
 
+def test_a_repeated_delta_counts_once(spark):
+    rows = [(1, 0, "one ", False, 0), (1, 0, "one ", False, 0), (1, 0, "one ", False, 1), (1, 1, "two", True, 2), (1, 1, "two", True, 2)]
+    rows += [(2, 1, "end", True, 0), (2, 1, "end", True, 1), (2, 0, "the ", False, 2)]
+    df = spark.createDataFrame(rows, "item_id bigint, seq bigint, delta string, last boolean, file int")
+    stream = file_stream(spark, written(spark, df, 3), "item_id BIGINT, seq BIGINT, delta STRING, last BOOLEAN", 1)
+    assert sorted(map(tuple, collect(completed_items(stream)).collect())) == [(1, "one two"), (2, "the end")]
+
+
 def test_index_follows_the_stream(spark, folder):
     docs = [(1, "a b c", "s", 0), (2, "d e", "s", 0), (1, "new text", "s", 1)]
     path = written(spark, spark.createDataFrame(docs, "doc_id bigint, text string, source string, file int"), 2)
