@@ -34,6 +34,9 @@ BLOCK_BYTES = 64 * 1024 * 1024
 # Rows scored at once, and cells of one score matrix.
 _STEP_ROWS = 2048
 _STEP_CELLS = 4_000_000
+_MEET_CELLS = 1 << 20
+# Scores are rounded to six places.
+_TIE = 1e-6
 # Tasks per core of a corpus scan: each sends on k rows per question.
 _TASKS_PER_CORE = 8
 
@@ -87,30 +90,46 @@ class CosineScorer:
 class Best:
     """The k best (score, id) per question seen so far in one task."""
 
-    def __init__(self, qids: np.ndarray, k: int, exclude_self: bool):
+    def __init__(self, qids: np.ndarray, k: int, exclude_self: bool, low: np.ndarray | None = None):
         self.qids = qids
         self.k = k
         self.exclude_self = exclude_self
+        # Rows below a question's ``low`` are known not to be among its best.
+        self.low = np.full(len(qids), -np.inf) if low is None else low
         self.scores = np.full((len(qids), k), -np.inf)
         self.ids = np.zeros((len(qids), k), dtype=np.int64)
         self.lists = np.zeros((len(qids), k), dtype=np.int32)
 
+    def meet(self, points: np.ndarray, asked: np.ndarray, vectors: np.ndarray, ids: np.ndarray, list_: int = 0) -> None:
+        """Questions at ``asked`` against rows of one list by inner product, a bounded number of cells at a time."""
+        step = max(1, _MEET_CELLS // max(1, len(ids)))
+        for at in range(0, len(asked), step):
+            some = asked[at : at + step]
+            self.take(points[some] @ vectors.T, ids, some, list_)
+
     def take(self, scores: np.ndarray, ids: np.ndarray, asked: np.ndarray | None = None, list_: int = 0) -> None:
         """Scores of all questions, or of those at ``asked``, against rows of one list."""
         asked = np.arange(len(self.qids)) if asked is None else asked
-        scores = np.round(scores, 6)
-        if self.exclude_self:
-            scores[self.qids[asked, None] == ids[None, :]] = -np.inf
-        open_ = (scores >= self.scores[asked, -1:]) & (scores > -np.inf)
-        if len(ids) > self.k and np.count_nonzero(open_) > 4 * len(asked) * self.k:
+        least = np.maximum(self.scores[asked, -1], self.low[asked])
+        # Only what may stay is rounded, so a score this much lower may still tie.
+        open_ = scores >= (least - _TIE)[:, None]
+        if np.isneginf(least).any():
+            open_ &= scores > -np.inf
+        kth = self.k + self.exclude_self
+        if len(ids) > kth and np.count_nonzero(open_) > 4 * len(asked) * self.k:
             # Nothing below the slice's own k-th score can be among the k best; ties stay.
-            open_ &= scores >= np.partition(scores, -self.k, axis=1)[:, [-self.k]]
+            open_ &= scores >= np.partition(scores, -kth, axis=1)[:, [-kth]] - _TIE
         q, j = np.nonzero(open_)
+        exact = np.round(scores[q, j], 6)
+        stay = exact >= least[q]
+        if self.exclude_self:
+            stay &= self.qids[asked[q]] != ids[j]
+        q, j, exact = q[stay], j[stay], exact[stay]
         if len(q) == 0:
             return
         at = asked[np.unique(q)]
         row = np.concatenate([np.repeat(at, self.k), asked[q]])
-        score = np.concatenate([self.scores[at].ravel(), scores[q, j]])
+        score = np.concatenate([self.scores[at].ravel(), exact])
         found = np.concatenate([self.ids[at].ravel(), ids[j]])
         lists = np.concatenate([self.lists[at].ravel(), np.full(len(j), list_, np.int32)])
         order = np.lexsort((found, -score, row))
