@@ -165,13 +165,19 @@ def reranked(questions: DataFrame, corpus: DataFrame, candidates: Matches, keep:
     The question's words meet the candidates first, so that a text is read and
     scored where it lies and only counts are shuffled.
     """
-    asked = questions.select("qid", F.array_distinct(words(F.col("text"))).alias("_asked"))
+    # Words hold no blank, and as one string they travel in half the bytes of an array.
+    asked = questions.select("qid", F.array_join(F.array_distinct(words(F.col("text"))), " ").alias("_asked"))
     wanted = candidates.frame.select("qid", "id").join(asked, "qid")
     # A question travels once per candidate.
     small = candidates.row_bound is not None and fits(asked, max_bytes=MAX_BROADCAST_BYTES // candidates.per_question)
     more = [c for c in ("list",) if c in corpus.columns]
-    split = F.col("words") if "words" in corpus.columns else words(F.col("text"))
-    texts = corpus.select("id", *more, split.alias("_words")).join(F.broadcast(wanted) if small else wanted, "id")
+    held = "words" if "words" in corpus.columns else "text"
+    rows = corpus.select("id", *more, held)
+    if not small:
+        rows, wanted = rows.repartition("id"), wanted.repartition("id")
+    split = F.col("words") if held == "words" else words(F.col("text"))
+    texts = rows.select("id", *more, split.alias("_words")).join(F.broadcast(wanted) if small else wanted, "id")
+    texts = texts.withColumn("_asked", F.split("_asked", " "))
     scored = texts.select("qid", "id", *more, F.size(F.array_intersect("_asked", "_words")).cast("bigint").alias("overlap"))
     ranked = top_per_key(scored, ["qid"], [F.col("overlap").desc(), F.col("id")], keep)
     bound = candidates.row_bound
