@@ -101,4 +101,4 @@ def document_postings(spark: SparkSession, sf_dir: str) -> Postings:
         return index, json.dumps([index.n_texts, index.mean_length])
 
     # Whatever decides the layout is part of the name.
-    return kept(spark, f"documents-postings-{BUCKETS}-{BLOCK_TEXTS}", table_path(sf_dir, "documents"), build, lambda path, note: Postings(spark, path, *json.loads(note)))
+    return kept(spark, f"documents-postings-by-task-{BUCKETS}-{BLOCK_TEXTS}", table_path(sf_dir, "documents"), build, lambda path, note: Postings(spark, path, *json.loads(note)))

@@ -1,8 +1,9 @@
 """A keyword index: postings in blocks, each with the best a text of it can score.
 
-Texts are dealt to blocks of about ``BLOCK_TEXTS``, texts of similar length together.
+A task gathers the texts it reads into blocks of at most ``BLOCK_TEXTS``, texts of similar length together.
 A row holds the postings of one term in one block: ids, counts and lengths, how many
-there are, and the largest gain among them. Rows lie in Parquet partitions by a hash of the term.
+there are, and the largest gain among them. Rows lie in Parquet partitions by a hash of the term;
+one partition more holds a row per block with the texts themselves.
 
 A question reads the narrow columns of its own terms first. Their weighted best gains,
 added up per block, bound every score in the block, so blocks below a known score
@@ -12,15 +13,18 @@ are never opened. The texts themselves are not read at question time.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweft.functions.text import words
+from docweft.operators.embedding import coded_words
 from docweft.operators.matching import Best
 from docweft.operators.numbering import top_per_key
 from docweft.session import staged
@@ -33,6 +37,12 @@ BLOCK_TEXTS = 4096
 # Scores are rounded to six places, so a bound this much lower may still tie.
 _TIE = 1e-6
 
+# Texts cut at once, and postings that a task holds back.
+_STEP = 1024
+_POSTINGS = 2_000_000
+# Stands for no term; no word is empty.
+NONE = ""
+
 ROWS = "term string, block bigint, n bigint, best double, ids array<bigint>, tf array<int>, length array<int>, bucket int"
 TEXTS = "id bigint, block bigint"
 
@@ -43,7 +53,76 @@ def asked_terms(questions: DataFrame) -> DataFrame:
 
 
 def _bucket(term: str):
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return (F.crc32(F.col(term).cast("binary")) % BUCKETS).cast("int")
+
+
+class _Texts:
+    """Texts of similar length whose postings one task gathers."""
+
+    def __init__(self):
+        self.ids, self.lengths, self.terms, self.at, self.tf = [], [], [], [], []
+        self.n = self.postings = 0
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray, terms: pa.Array, at: np.ndarray, tf: np.ndarray) -> None:
+        """Some texts, and their postings with the text's place among them."""
+        for held, new in ((self.ids, ids), (self.lengths, lengths), (self.terms, terms), (self.at, at + self.n), (self.tf, tf)):
+            held.append(new)
+        self.n += len(ids)
+        self.postings += len(tf)
+
+    def block(self, number: int, mean_length: float) -> pa.RecordBatch:
+        """One row per term, and one of no term for the texts themselves."""
+        ids, lengths = np.concatenate(self.ids), np.concatenate(self.lengths)
+        coded = pa.concat_arrays(self.terms).dictionary_encode()
+        at, tf, code = np.concatenate(self.at), np.concatenate(self.tf), coded.indices.to_numpy()
+        order = np.lexsort((ids[at], code))
+        at, tf = at[order], tf[order]
+        gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[at] / mean_length))
+        terms = coded.dictionary.to_pylist()
+        n = np.bincount(code, minlength=len(terms))
+        begins = np.cumsum(n) - n
+        best = np.maximum.reduceat(gain, begins) if len(terms) else np.zeros(0)
+        ends = pa.array(np.concatenate([[0], np.cumsum(n), [len(at) + len(ids)]]), pa.int32())
+        lists = ((ids[at], ids, pa.int64()), (tf, np.zeros(len(ids)), pa.int32()), (lengths[at], lengths, pa.int32()))
+        values = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([one, two]).astype(kind.to_pandas_dtype()), kind)) for one, two, kind in lists]
+        columns = {
+            "term": pa.array([*terms, NONE], pa.string()),
+            "block": pa.array(np.full(len(terms) + 1, number), pa.int64()),
+            "n": pa.array(np.append(n, len(ids)), pa.int64()),
+            "best": pa.array(np.append(best, 0.0)),
+            **dict(zip(("ids", "tf", "length"), values, strict=True)),
+            "bucket": pa.array([*(zlib.crc32(t.encode("utf-8")) % BUCKETS for t in terms), BUCKETS], pa.int32()),
+        }
+        return pa.RecordBatch.from_pydict(columns)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], number: int, block_texts: int, mean_length: float) -> Iterator[pa.RecordBatch]:
+    """Blocks of ``(id, words)``, numbered on; what is held back is bounded in texts and postings."""
+    held: dict[int, _Texts] = {}
+    for whole in batches:
+        for start in range(0, whole.num_rows, min(block_texts, _STEP)):
+            batch = whole.slice(start, min(block_texts, _STEP))
+            rows, codes, known = coded_words(batch.column("words"))
+            pairs, tf = np.unique(rows * max(1, len(known)) + codes, return_counts=True)
+            row, code = np.divmod(pairs, max(1, len(known)))
+            terms, ids = pa.array(known, pa.string()), batch.column("id").to_numpy()
+            lengths = np.bincount(rows, minlength=batch.num_rows)
+            grade = np.floor(np.log2(lengths + 1)).astype(int)
+            for g in np.unique(grade).tolist():
+                texts = held.setdefault(g, _Texts())
+                mine, own = grade == g, np.flatnonzero(grade[row] == g)
+                if texts.n and texts.n + np.count_nonzero(mine) > block_texts:
+                    yield held.pop(g).block(number, mean_length)
+                    number, texts = number + 1, held.setdefault(g, _Texts())
+                place = np.cumsum(mine) - 1
+                texts.add(ids[mine], lengths[mine], terms.take(pa.array(code[own])), place[row[own]], tf[own])
+            while sum(t.postings for t in held.values()) > _POSTINGS:
+                largest = max(held, key=lambda g: held[g].postings)
+                yield held.pop(largest).block(number, mean_length)
+                number += 1
+    for texts in held.values():
+        yield texts.block(number, mean_length)
+        number += 1
 
 
 class Postings:
@@ -58,25 +137,18 @@ class Postings:
         """Index the words of ``(id, text)`` under ``path``; ids are unique."""
         spark = corpus.sparkSession
         cut = corpus.select("id", words(F.col("text")).alias("words"))
-        sized = cut.select("id", F.coalesce(F.size("words"), F.lit(0)).alias("length"), F.coalesce("words", F.array().cast("array<string>")).alias("words"))
-        sized = staged(sized.withColumn("grade", F.floor(F.log2(F.col("length") + 1)).cast("int")), "words")
-        # Lengths below 2^31 make at most 32 grades.
-        grades = sized.groupBy("grade").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_texts)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"), F.sum("length").alias("l"))
-        grades = staged(grades, "grades")
-        total = grades.agg(F.sum("n"), F.sum("l")).first()
+        total = cut.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.size("words"), F.lit(0)))).first()
         n_texts, mean_length = total[0] or 0, max(total[1] or 0, 1) / max(total[0] or 0, 1)
-        block = F.col("grade") * F.lit(1 << 32) + F.pmod(F.xxhash64("id"), F.col("blocks"))
-        placed = sized.join(F.broadcast(grades.select("grade", "blocks")), "grade").withColumn("block", block)
-        placed.select("id", "block").write.parquet(f"{path}/texts")
-        counted = placed.select("id", "block", "length", F.explode("words").alias("term")).groupBy("term", "block", "id", "length").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        one = F.struct("id", "tf", "length")
-        # A block holds a bounded number of texts, so a row does of postings.
-        rows = counted.groupBy("term", "block").agg(F.sort_array(F.collect_list(one)).alias("p"), F.max(_gain("tf", "length", mean_length)).alias("best"))
-        rows = rows.select(
-            "term", "block", F.size("p").cast("bigint").alias("n"), "best", F.col("p.id").alias("ids"), "p.tf", "p.length", _bucket("term").alias("bucket")
-        )
-        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
-        return cls(spark, path, n_texts, mean_length)
+
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _cut(batches, TaskContext.get().partitionId() << 32, block_texts, mean_length)
+
+        # Blocks are made where the texts are read, so nothing is shuffled; one write holds postings and texts.
+        rows = cut.mapInArrow(made, ROWS).sortWithinPartitions("bucket", "term")
+        rows.write.partitionBy("bucket").parquet(f"{path}/postings")
+        index = cls(spark, path, n_texts, mean_length)
+        index.rows().where(F.col("bucket") == BUCKETS).select(F.explode("ids").alias("id"), "block").write.parquet(f"{path}/texts")
+        return index
 
     def rows(self) -> DataFrame:
         return self.spark.read.schema(ROWS).parquet(f"{self.path}/postings")

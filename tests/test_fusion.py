@@ -6,13 +6,15 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 from test_queries import plan_of
 
 from docweft.operators.embedding import embed
 from docweft.operators.fusion import contenders, fused
 from docweft.plans import QUERIES, stored
-from docweft.session import fresh_path
+from docweft.session import fresh_path, staged
+from docweft.sources import postings as postings_module
 from docweft.sources.lists import ListIndex
 from docweft.sources.postings import Postings
 
@@ -142,3 +144,20 @@ def test_an_empty_corpus_answers_nothing(spark, corpus):
     index = Postings.build(rows, fresh_path(spark, "postings"))
     vectors = ListIndex.build(rows.withColumn("embedding", embed(F.col("text"))), fresh_path(spark, "lists"))
     assert fused(corpus[2], vectors, index).isEmpty()
+
+
+def test_postings_are_built_without_a_shuffle(spark, corpus, monkeypatch):
+    made, rows, asked = corpus
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *args, **more: plans.append(plan_of(self._df)) or write(self, *args, **more))
+    monkeypatch.setattr(postings_module, "_POSTINGS", 50)
+    stored_rows = staged(rows, "corpus")
+    plans.clear()
+    index = Postings.build(stored_rows, fresh_path(spark, "postings"))
+    assert plans and not any("Exchange" in plan for plan in plans)
+    # Blocks are cut by postings too, and hold every text once.
+    blocks = spark.read.parquet(f"{index.path}/texts").collect()
+    assert sorted(r.id for r in blocks) == list(range(len(made))) and len({r.block for r in blocks}) > 1
+    got = {(r["qid"], r["id"], r["rk"]) for r in index.asked(asked).best(9).to_pylist()}
+    want = {(q, i, at) for q, t in enumerate(QUESTIONS) for at, (i, _) in enumerate(sorted(bm25(made, t).items(), key=lambda x: (-x[1], x[0]))[:9], 1)}
+    assert got == want
