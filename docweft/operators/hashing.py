@@ -35,6 +35,7 @@ TABLES = 12
 NEAR = 0.9
 RECALL = 0.95
 MAX_CROWDED = 1_000_000
+_STEP_ROWS = 512
 
 
 def copy_key(vector: str) -> Column:
@@ -55,14 +56,14 @@ def signatures(df: DataFrame, dim: int, tables: int, bits: int, seed: int = 7) -
         planes = np.random.default_rng(seed).normal(size=(dim, tables * bits))
         first = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            if rows.num_rows == 0:
-                continue
-            side = (vector_matrix(rows["embedding"]) @ planes > 0).reshape(rows.num_rows, tables, bits)
-            out = rows.take(pa.array(np.repeat(np.arange(rows.num_rows), tables)))
-            out = out.append_column("tab", pa.array(np.tile(np.arange(tables, dtype=np.int32), rows.num_rows)))
-            out = out.append_column("sig", pa.array((side * first).sum(axis=2).reshape(-1)))
-            yield from out.combine_chunks().to_batches()
+            # A row goes out once per table, so few rows are held at a time.
+            for start in range(0, batch.num_rows, _STEP_ROWS):
+                rows = batch.slice(start, _STEP_ROWS)
+                n = rows.num_rows
+                side = (vector_matrix(pa.chunked_array([rows.column("embedding")])) @ planes > 0).reshape(n, tables, bits)
+                out = rows.take(pa.array(np.repeat(np.arange(n), tables)))
+                out = out.append_column("tab", pa.array(np.tile(np.arange(tables, dtype=np.int32), n)))
+                yield out.append_column("sig", pa.array((side * first).sum(axis=2).reshape(-1)))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(run, f"{fields}, tab int, sig bigint")

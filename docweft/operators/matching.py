@@ -33,8 +33,7 @@ CORPUS_BLOCK = 65536
 BLOCK_BYTES = 64 * 1024 * 1024
 # Rows scored at once, and cells of one score matrix.
 _STEP_ROWS = 2048
-_STEP_CELLS = 4_000_000
-_MEET_CELLS = 1 << 20
+_STEP_CELLS = 1 << 20
 # Scores are rounded to six places.
 _TIE = 1e-6
 # Tasks per core of a corpus scan: each sends on k rows per question.
@@ -102,7 +101,7 @@ class Best:
 
     def meet(self, points: np.ndarray, asked: np.ndarray, vectors: np.ndarray, ids: np.ndarray, list_: int = 0) -> None:
         """Questions at ``asked`` against rows of one list by inner product, a bounded number of cells at a time."""
-        step = max(1, _MEET_CELLS // max(1, len(ids)))
+        step = max(1, _STEP_CELLS // max(1, len(ids)))
         for at in range(0, len(asked), step):
             some = asked[at : at + step]
             self.take(points[some] @ vectors.T, ids, some, list_)

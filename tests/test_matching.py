@@ -2,13 +2,15 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweft.functions.text import words
 from docweft.operators import hashing
 from docweft.operators.embedding import dimension_profile, embed, model_dimension
-from docweft.operators.hashing import nearest_by_hash
+from docweft.operators.hashing import nearest_by_hash, signatures
 from docweft.operators.keywords import hybrid, reranked
 from docweft.operators.matching import nearest
 
@@ -252,3 +254,20 @@ def test_tables_keep_the_recall_at_any_size():
     for bits in (2, 7, 14, 27, 36):
         shared = (1 - math.acos(0.9) / math.pi) ** bits
         assert 1 - (1 - shared) ** hashing.tables_for(bits) >= 0.95
+
+
+def test_hashed_rows_leave_in_small_batches():
+    """A batch of any size goes out once per table without being held that often."""
+
+    class Rows:
+        schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    points = np.random.default_rng(0).normal(size=(10_000, 8)).astype(np.float32)
+    vectors = pa.ListArray.from_arrays(pa.array(range(0, 80_001, 8), pa.int32()), pa.array(points.ravel()))
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(10_000)), "embedding": vectors})
+    out = list(signatures(Rows(), 8, 12, 5)(iter([batch])))
+    assert sum(b.num_rows for b in out) == 120_000 and max(b.num_rows for b in out) <= 12 * 1024
+    assert len({b.slice(0, 0).schema for b in out}) == 1 and out[1]["id"][0].as_py() > 0
