@@ -551,3 +551,24 @@ def test_drawn_samples_are_the_smallest_hashes(spark):
     got = list(map(tuple, drawn(rows, "kind", "id", 300).collect()))
     assert len(got) == len(set(got)) and set(got) == want
     assert drawn(rows.where("id < 0"), "kind", "id", 300).count() == 0
+
+
+def test_keys_of_lone_texts_are_not_shuffled(spark, monkeypatch):
+    """The bit table leaves members of crowded buckets and few others; copies and classes stay right."""
+    lone = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(200)]
+    near = [" ".join([f"same{j}" for j in range(60)] + [f"end{i}"]) for i in range(4)]
+    docs = spark.createDataFrame(list(enumerate([*lone, *near, lone[0], near[0]])), "doc_id bigint, text string")
+    seen, real = {}, near_dedup.among
+
+    def among(rows, ids, column):
+        out = real(rows, ids, column)
+        seen.setdefault(column, []).append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "among", among)
+    rows = {r.doc_id: r for r in near_dedup.classes(docs).collect()}
+    keys, left = seen["key"][0]
+    assert keys == 206 * near_dedup.BANDS and left < keys / 10
+    assert all(r.class_id == d and r.kept for d, r in rows.items() if 0 < d < 200)
+    assert {rows[d].class_id for d in (200, 201, 202, 203, 205)} == {200} and rows[204].class_id == 0
+    assert rows[0].class_size == 2 and rows[200].class_size == 5 and sum(r.kept for r in rows.values()) == 201
