@@ -572,3 +572,32 @@ def test_keys_of_lone_texts_are_not_shuffled(spark, monkeypatch):
     assert all(r.class_id == d and r.kept for d, r in rows.items() if 0 < d < 200)
     assert {rows[d].class_id for d in (200, 201, 202, 203, 205)} == {200} and rows[204].class_id == 0
     assert rows[0].class_size == 2 and rows[200].class_size == 5 and sum(r.kept for r in rows.values()) == 201
+
+
+def test_bit_tables_grow_with_their_ids(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BITS", 1 << 10)
+    ids, rows = spark.range(0, 20_000, 2).toDF("id"), spark.range(40_000).toDF("id")
+    found = {r.id for r in near_dedup.among(rows, ids, "id").collect()}
+    assert found >= set(range(0, 20_000, 2)) and len(found) < 15_000
+
+
+def test_only_texts_that_sketches_leave_meet_in_open_buckets(spark, monkeypatch):
+    """Texts that share a bucket but far too few registers go before any text is sent; a similar pair stays."""
+    seen, real = [], near_dedup.screened
+
+    def screened(meetings, nodes, least):
+        out = real(meetings, nodes, least)
+        seen.extend([meetings.count(), sorted(r.node for r in out.collect())])
+        return out
+
+    monkeypatch.setattr(near_dedup, "screened", screened)
+    alone = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(30)]
+    texts = [*alone, alone[3] + " end", alone[5] + " end"]
+    signed = near_dedup.signatures([near_dedup.shingle_hashes(t.split()) for t in texts])
+    bands, sketch = near_dedup.band_keys(signed), (near_dedup._mixed(signed, 3) & np.uint64(255)).astype(np.uint8)
+    bands[:, 0] = 7
+    kept = [(i, t, bands[i].tolist(), bytearray(sketch[i].tobytes())) for i, t in enumerate(texts)]
+    rows = spark.createDataFrame(kept, "node bigint, text string, bands array<bigint>, sketch binary")
+    members = rows.select(F.lit(7).cast("bigint").alias("key"), "node", F.col("node").alias("label"))
+    links = {frozenset((r.a, r.b)) for r in near_dedup.settled(members, rows).collect()}
+    assert links == {frozenset((3, 30)), frozenset((5, 31))} and seen == [32, [3, 5, 30, 31]]
