@@ -511,6 +511,69 @@ def test_toxic_words_are_learned_and_unseen_forms_known():
     assert (found[:50, None] > found[None, 50:100]).mean() >= 0.95
 
 
+def labelled_texts(spark, n):
+    texts = [(i, f"{EN * (1 + i % 3)} {i} " + ("word " * 1500 + "grumwok" if i % 4 == 0 else ""), ["en", "de", None][i % 3]) for i in range(n)]
+    docs = spark.createDataFrame([*texts, (None, "no id", "en")], "doc_id bigint, text string, lang string")
+    return docs, docs.where("doc_id < 800").select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+
+
+def test_every_labelled_text_is_learned_from_whole(spark, monkeypatch):
+    docs, labels = labelled_texts(spark, 900)
+    rounds, held = [], []
+    monkeypatch.setattr(toxicity, "STEPS", 4)
+    monkeypatch.setattr(toxicity, "_round", lambda rows, weights, sums, weigh, workers: rounds.append(([tuple(r) for r in rows.collect()], workers)))
+    monkeypatch.setattr(toxicity, "calibrated", lambda network, rows: held.extend(r["text"] for r in rows.collect()))
+    monkeypatch.setattr(language, "counted", lambda rows: held.append(sorted(r["text"] for r in rows.collect())) or language.fitted([], []))
+    toxicity.learned(docs, labels)
+    everything = held.pop(0)
+    want = [r["text"] for r in docs.where(~toxicity.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).join(labels, "doc_id").collect()]
+    assert sorted([r[3] for rows, _ in rounds for r in rows] + held) == sorted(want) == everything
+    assert len(rounds) == toxicity.ROUNDS and {w for _, w in rounds} == {2} and {r[0] for rows, _ in rounds for r in rows} == {0, 1}
+    # Fewer rows are gone over more often, and evenly.
+    rows = spark.range(100).select("id", F.pmod(F.xxhash64("id"), F.lit(toxicity.ROUNDS)).alias("slot"))
+    for passes in (3, 16):
+        seen = [r["id"] for turn in range(toxicity.ROUNDS) for r in toxicity._taken(rows, turn, passes).collect()]
+        assert sorted(seen) == sorted(list(range(100)) * passes)
+
+
+def test_long_labelled_texts_count(spark, monkeypatch):
+    # All toxic texts are above 6000 characters.
+    docs, labels = labelled_texts(spark, 900)
+    monkeypatch.setattr(toxicity, "STEPS", 60)
+    rows = toxicity.scored(docs.where("doc_id >= 800"), toxicity.learned(docs, labels))
+    found = {r["doc_id"]: r["toxicity"] for r in rows.collect()}
+    assert all((score >= toxicity.CUT) == (i % 4 == 0) for i, score in found.items())
+
+
+def test_a_round_adds_the_mean_of_what_workers_change(spark):
+    texts = [(i % 2, i, i % 3 % 2, " ".join(random_texts("abcde", 9, 6, seed=i))) for i in range(240)]
+    rows = spark.createDataFrame(texts, "worker int, at bigint, toxic int, text string").repartition(5)
+    weigh = np.array([0.75, 1.5])
+    weights, sums = toxicity._begun()
+    toxicity._round(rows, weights, sums, weigh, 2)
+    first, ends = toxicity._begun(), [toxicity._begun() for _ in range(2)]
+    for worker, end in enumerate(ends):
+        own = [t for t in texts if t[0] == worker]
+        for start in range(0, len(own), toxicity.BATCH):
+            labels = np.array([t[2] for t in own[start : start + toxicity.BATCH]])
+            toxicity._stepped(*end, [t[3] for t in own[start : start + toxicity.BATCH]], labels, weigh[labels])
+    changed = [((end[0][0] != first[0][0]) | (end[1][0] != first[1][0])).any(axis=1) for end in ends]
+    assert (changed[0] ^ changed[1]).any() and (changed[0] & changed[1]).any()
+    for kind, got in enumerate((weights, sums)):
+        for i, array in enumerate(got):
+            by = np.maximum(1, changed[0] * 1 + changed[1])[:, None] if i == 0 else 2
+            want = first[kind][i] + sum(end[kind][i] - first[kind][i] for end in ends) / by
+            np.testing.assert_allclose(array, want, rtol=1e-4, atol=1e-5)
+
+
+def test_counted_languages_equal_those_of_a_list(spark):
+    texts = [(EN, "en"), (DE * 900, "de"), (RU, "ru"), ("123", "none"), (DE, None), (None, "en"), ("", "en")] * 5
+    got = language.counted(spark.createDataFrame(texts, "text string, lang string").repartition(4))
+    known = [t for t in texts if None not in t]
+    want = language.fitted([t for t, _ in known], [x for _, x in known])
+    assert got.names == want.names and np.array_equal(got.table, want.table) and np.array_equal(got.scripts, want.scripts)
+
+
 # ---- all of them ------------------------------------------------------------
 
 OPERATORS = {
