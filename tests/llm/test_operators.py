@@ -490,6 +490,13 @@ def test_languages_of_held_out_documents(spark, sf_dir):
     assert right >= 0.95 * total
 
 
+def test_languages_of_long_texts_are_learned(spark):
+    texts = [(i, RU * 500 if i % 2 else EN, "ru" if i % 2 else "en") for i in range(20)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, lang string")
+    rows = language.labelled(docs.withColumn("text", F.substring("text", 1, 50)), language.learned(docs)).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in rows} == {i: lang for i, _, lang in texts}
+
+
 def test_toxic_words_are_learned_and_unseen_forms_known():
     draw = random.Random(3)
     filler = ["".join(draw.choice("aeioulmnrst") for _ in range(5)) for _ in range(300)]
