@@ -671,3 +671,30 @@ def test_only_texts_that_sketches_leave_meet_in_open_buckets(spark, monkeypatch)
     members = rows.select(F.lit(7).cast("bigint").alias("key"), "node", F.col("node").alias("label"))
     links = {frozenset((r.a, r.b)) for r in near_dedup.settled(members, rows).collect()}
     assert links == {frozenset((3, 30)), frozenset((5, 31))} and seen == [32, [3, 5, 30, 31]]
+
+
+def test_near_copies_take_few_jobs(spark):
+    """Every job costs the driver memory: with open buckets the jobs stay few, and classes right."""
+    draw = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base + [f"end{i}"]) for i in range(40)] + [" ".join(draw.choices(base, k=50)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spark.sparkContext.setJobGroup("few_jobs", "near copies")
+    try:
+        found = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few_jobs"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {found[i] for i in range(40)} == {0} and all(found[i] == i for i in range(40, 80))
+    assert jobs <= 100
+
+
+def test_texts_of_often_paired_nodes_meet_all_their_pairs(spark):
+    """A node in more pairs than ``OFTEN``, on either side, gets all of its pairs compared, each once."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words)] + [" ".join([*words, f"end{i}"]) if i % 3 else " ".join(f"x{i}y{j}" for j in range(60)) for i in range(1, 90)]
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    ends = [(0, i) for i in range(1, 90)] + [(i, 89) for i in range(1, 60)] + [(3, 4), (4, 5)]
+    pairs = near_dedup.staged(near_dedup._often(spark.createDataFrame(ends, "a bigint, b bigint")), "pairs")
+    got = sorted((r.a, r.b) for r in near_dedup.verified(pairs, nodes).collect())
+    assert got == sorted((a, b) for a, b in ends if _similarity(texts[a], texts[b]) >= 0.8)
