@@ -18,15 +18,20 @@ PAGE_BODIES = "(?is)<(script|style)[^>]*>.*?</(script|style)>"
 PAGE_TAGS = "(?s)<[^>]*>"
 
 
+def spaced(text: Column) -> Column:
+    """A text in lower case whose blanks are all spaces."""
+    out = F.lower(text)
+    for blank in BLANKS:
+        out = F.replace(out, F.lit(blank), F.lit(" "))
+    return out
+
+
 def words(text: Column) -> Column:
     """Lower-cased words of a text, in order, without empty ones.
 
     Every blank becomes a space first: a split at one character needs no regex.
     """
-    spaced = F.lower(text)
-    for blank in BLANKS:
-        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
-    return F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(spaced(text), " "), "")
 
 
 def n_words(text: Column) -> Column:

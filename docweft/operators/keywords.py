@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweft.functions.text import words
+from docweft.functions.text import spaced, words
 from docweft.operators.embedding import HashedWords, coded_words
 from docweft.operators.matching import CosineScorer, Matches, best_matches
 from docweft.operators.numbering import top_per_key
@@ -163,27 +165,79 @@ def reranked(questions: DataFrame, corpus: DataFrame, candidates: Matches, keep:
 
     ``(qid, id, overlap, rk)``, best ``keep`` per question, ties to the smaller id.
     The question's words meet the candidates first, so that a text is read and
-    scored where it lies and only counts are shuffled.
+    scored where it lies and only counts are shuffled. Where there are too many
+    words for that, texts and words are dealt by id and each text is cut once.
     """
     # Words hold no blank, and as one string they travel in half the bytes of an array.
     asked = questions.select("qid", F.array_join(F.array_distinct(words(F.col("text"))), " ").alias("_asked"))
-    wanted = candidates.frame.select("qid", "id").join(asked, "qid")
-    # A question travels once per candidate.
-    small = candidates.row_bound is not None and fits(asked, max_bytes=MAX_BROADCAST_BYTES // candidates.per_question)
     more = [c for c in ("list",) if c in corpus.columns]
     held = "words" if "words" in corpus.columns else "text"
-    rows = corpus.select("id", *more, held)
-    if not small:
-        rows, wanted = rows.repartition("id"), wanted.repartition("id")
-    split = F.col("words") if held == "words" else words(F.col("text"))
-    texts = rows.select("id", *more, split.alias("_words")).join(F.broadcast(wanted) if small else wanted, "id")
-    texts = texts.withColumn("_asked", F.split("_asked", " "))
-    scored = texts.select("qid", "id", *more, F.size(F.array_intersect("_asked", "_words")).cast("bigint").alias("overlap"))
+    # A question travels once per candidate.
+    if candidates.row_bound is not None and fits(asked, max_bytes=MAX_BROADCAST_BYTES // candidates.per_question):
+        wanted = candidates.frame.select("qid", "id").join(asked, "qid")
+        split = F.col("words") if held == "words" else words(F.col("text"))
+        texts = corpus.select("id", *more, split.alias("_words")).join(F.broadcast(wanted), "id")
+        # The set is made of the second array, here the shorter one.
+        overlap = F.size(F.array_intersect("_words", F.split("_asked", " "))).cast("bigint")
+        scored = texts.select("qid", "id", *more, overlap.alias("overlap"))
+    else:
+        # Dealt by question, or Spark takes the words from the text anew for each candidate, inside the join.
+        wanted = candidates.frame.select("qid", "id").join(asked.repartition("qid"), "qid")
+        said = F.array_join("words", " ") if held == "words" else spaced(F.col("text"))
+        texts = corpus.select("id", F.lit(None).cast("bigint").alias("qid"), *more, said.alias("said"))
+        none = [F.lit(None).cast(corpus.schema[c].dataType).alias(c) for c in more]
+        scored = _overlaps(texts.unionByName(wanted.select("id", "qid", *none, F.col("_asked").alias("said"))), more)
     ranked = top_per_key(scored, ["qid"], [F.col("overlap").desc(), F.col("id")], keep)
     bound = candidates.row_bound
     return Matches(ranked, keep, None if bound is None else bound // candidates.per_question * keep)
 
 
+def _overlaps(rows: DataFrame, more: list[str]) -> DataFrame:
+    """``(qid, id, …, overlap)`` of texts ``(id, …, said)``, whose ``qid`` is null, and questions ``(id, qid, said)`` of different words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            # The text that the first questions meet may have come before.
+            table = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
+            is_text = table["qid"].is_null().to_numpy()
+            begins = np.flatnonzero(is_text)
+            if len(begins):
+                n_texts = np.cumsum(is_text)
+                met = begins[np.maximum(n_texts - 1, 0)]
+                said, ids = table["said"].combine_chunks(), table["id"].to_numpy()
+                none = said.is_null().to_numpy(zero_copy_only=False)
+                overlap = pa.array(shared_counts(said, begins), pa.int64(), mask=none | none[met])
+                columns = {c: table[c].take(pa.array(met)) for c in more}
+                out = pa.table({"qid": table["qid"], "id": table["id"], **columns, "overlap": overlap})
+                yield from out.filter(pa.array(~is_text & (n_texts > 0) & (ids == ids[met]))).combine_chunks().to_batches()
+                last = table.slice(begins[-1], 1).to_batches()[0]
+
+    dealt = rows.repartition("id").sortWithinPartitions("id", F.col("qid").asc_nulls_first())
+    kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more)
+    return dealt.mapInArrow(count, f"qid bigint, id bigint{kinds}, overlap bigint")
+
+
+def shared_counts(said: pa.Array, begins: np.ndarray) -> np.ndarray:
+    """How many of a row's words stand in the text before it; texts are the rows at ``begins``, words stand between spaces."""
+    cut = pa.compute.split_pattern(said, " ")
+    coded = cut.flatten().dictionary_encode()
+    code = coded.indices.to_numpy()
+    ends = np.concatenate([[0], np.cumsum(cut.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    empty = pa.compute.index(coded.dictionary, "").as_py()
+    counts, held = np.zeros(len(said), np.int64), np.zeros(len(coded.dictionary), bool)
+    for text, after in zip(begins.tolist(), [*begins[1:].tolist(), len(said)], strict=True):
+        if after - text > 1:
+            own = code[ends[text] : ends[text + 1]]
+            held[own] = True
+            if empty >= 0:
+                held[empty] = False
+            found = np.concatenate([[0], np.cumsum(held[code[ends[text + 1] : ends[after]]])])
+            counts[text + 1 : after] = np.diff(found[ends[text + 1 : after + 1] - ends[text + 1]])
+            held[own] = False
+    return counts
+
+
 def reranked_in(index: ListIndex, questions: DataFrame, candidates: Matches, keep: int) -> Matches:
     """As :func:`reranked`, over the lists the candidates were found in; ``list`` stays."""
     corpus = index.lists_of(candidates, "id", "text")

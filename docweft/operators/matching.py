@@ -36,6 +36,9 @@ _STEP_ROWS = 2048
 _STEP_CELLS = 1 << 20
 # Scores are rounded to six places.
 _TIE = 1e-6
+# Pairs that are scored anew at once, and found rows that wait to be ranked at most.
+_PAIRS = 1 << 15
+_WAITING = 1 << 18
 # Tasks per core of a corpus scan: each sends on k rows per question.
 _TASKS_PER_CORE = 8
 
@@ -72,6 +75,16 @@ def vector_matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(whole), -1)
 
 
+def _cells(open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the few true cells; runs of cells without one are passed over."""
+    flat = np.ascontiguousarray(open_).reshape(-1)
+    whole = len(flat) // 64 * 64
+    runs = np.flatnonzero(np.packbits(flat[:whole]).view(np.uint64))
+    run, place = np.nonzero(flat[:whole].reshape(-1, 64)[runs])
+    at = np.concatenate([runs[run] * 64 + place, whole + np.flatnonzero(flat[whole:])])
+    return at // max(1, open_.shape[1]), at % max(1, open_.shape[1])
+
+
 class CosineScorer:
     """Cosine between question and corpus vectors."""
 
@@ -89,48 +102,84 @@ class CosineScorer:
 class Best:
     """The k best (score, id) per question seen so far in one task."""
 
-    def __init__(self, qids: np.ndarray, k: int, exclude_self: bool, low: np.ndarray | None = None):
+    def __init__(self, qids: np.ndarray, k: int, exclude_self: bool, low: np.ndarray | None = None, points: np.ndarray | None = None):
         self.qids = qids
         self.k = k
         self.exclude_self = exclude_self
         # Rows below a question's ``low`` are known not to be among its best.
         self.low = np.full(len(qids), -np.inf) if low is None else low
+        # The questions' vectors, of length one, where rows are met as vectors.
+        self.points = points
+        self.rough = None if points is None else points.astype(np.float32)
         self.scores = np.full((len(qids), k), -np.inf)
         self.ids = np.zeros((len(qids), k), dtype=np.int64)
         self.lists = np.zeros((len(qids), k), dtype=np.int32)
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+        self.n_waiting = 0
 
-    def meet(self, points: np.ndarray, asked: np.ndarray, vectors: np.ndarray, ids: np.ndarray, list_: int = 0) -> None:
-        """Questions at ``asked`` against rows of one list by inner product, a bounded number of cells at a time."""
+    def meet(self, asked: np.ndarray, vectors: np.ndarray, ids: np.ndarray, list_: int = 0) -> None:
+        """Questions at ``asked`` against rows of one list, vectors of length one, a bounded number of cells at a time.
+
+        Single precision shows which pairs may stay; only those are scored in double precision.
+        """
+        rows = vectors.astype(np.float32)
+        # An inner product of n terms is off by less than n + 2 roundings where both lengths are one.
+        slack = _TIE + (rows.shape[1] + 4) * 2.0**-24
         step = max(1, _STEP_CELLS // max(1, len(ids)))
         for at in range(0, len(asked), step):
             some = asked[at : at + step]
-            self.take(points[some] @ vectors.T, ids, some, list_)
+            least = self._least(some)
+            q, j = _cells(self._open(self.rough[some] @ rows.T, least, slack))
+            parts = [slice(low, low + _PAIRS) for low in range(0, len(q), _PAIRS)]
+            scores = [np.einsum("ij,ij->i", self.points[some[q[part]]], vectors[j[part]]) for part in parts]
+            if scores:
+                self._keep(np.concatenate(scores), q, j, least, ids, some, list_)
 
     def take(self, scores: np.ndarray, ids: np.ndarray, asked: np.ndarray | None = None, list_: int = 0) -> None:
         """Scores of all questions, or of those at ``asked``, against rows of one list."""
         asked = np.arange(len(self.qids)) if asked is None else asked
-        least = np.maximum(self.scores[asked, -1], self.low[asked])
-        # Only what may stay is rounded, so a score this much lower may still tie.
-        open_ = scores >= (least - _TIE)[:, None]
+        least = self._least(asked)
+        q, j = _cells(self._open(scores, least, _TIE))
+        self._keep(scores[q, j], q, j, least, ids, asked, list_)
+
+    def _least(self, asked: np.ndarray) -> np.ndarray:
+        return np.maximum(self.scores[asked, -1], self.low[asked])
+
+    def _open(self, scores: np.ndarray, least: np.ndarray, slack: float) -> np.ndarray:
+        """Which cells may stay, where a score is off by less than ``slack``; only these are rounded."""
+        open_ = scores >= (least - slack)[:, None].astype(scores.dtype)
         if np.isneginf(least).any():
             open_ &= scores > -np.inf
         kth = self.k + self.exclude_self
-        if len(ids) > kth and np.count_nonzero(open_) > 4 * len(asked) * self.k:
+        if scores.shape[1] > kth and np.count_nonzero(open_) > 4 * len(scores) * self.k:
             # Nothing below the slice's own k-th score can be among the k best; ties stay.
-            open_ &= scores >= np.partition(scores, -kth, axis=1)[:, [-kth]] - _TIE
-        q, j = np.nonzero(open_)
-        exact = np.round(scores[q, j], 6)
+            open_ &= scores >= np.partition(scores, -kth, axis=1)[:, [-kth]] - 2 * slack
+        return open_
+
+    def _keep(self, scores: np.ndarray, q: np.ndarray, j: np.ndarray, least: np.ndarray, ids: np.ndarray, asked: np.ndarray, list_: int) -> None:
+        exact = np.round(scores, 6)
         stay = exact >= least[q]
         if self.exclude_self:
             stay &= self.qids[asked[q]] != ids[j]
         q, j, exact = q[stay], j[stay], exact[stay]
         if len(q) == 0:
             return
-        at = asked[np.unique(q)]
-        row = np.concatenate([np.repeat(at, self.k), asked[q]])
-        score = np.concatenate([self.scores[at].ravel(), exact])
-        found = np.concatenate([self.ids[at].ravel(), ids[j]])
-        lists = np.concatenate([self.lists[at].ravel(), np.full(len(j), list_, np.int32)])
+        self.waiting.append((asked[q], exact, ids[j], np.full(len(j), list_, np.int32)))
+        self.n_waiting += len(q)
+        # Rows wait while there is a least score, which they would only raise.
+        if self.n_waiting > _WAITING or np.isneginf(least).any():
+            self._merge()
+
+    def _merge(self) -> None:
+        if not self.waiting:
+            return
+        rows, scores, ids, lists = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        self.waiting, self.n_waiting = [], 0
+        at = np.unique(rows)
+        row = np.concatenate([np.repeat(at, self.k), rows])
+        score = np.concatenate([self.scores[at].ravel(), scores])
+        found = np.concatenate([self.ids[at].ravel(), ids])
+        lists = np.concatenate([self.lists[at].ravel(), lists])
         order = np.lexsort((found, -score, row))
         row = row[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -140,6 +189,7 @@ class Best:
 
     def listed(self) -> pa.RecordBatch:
         """``(qid, id, score, list)``."""
+        self._merge()
         q, j = np.nonzero(self.scores > -np.inf)
         return pa.RecordBatch.from_pydict(
             {
@@ -151,6 +201,7 @@ class Best:
         )
 
     def rows(self, side: str) -> pa.RecordBatch:
+        self._merge()
         q, j = np.nonzero(self.scores > -np.inf)
         return pa.RecordBatch.from_arrays(
             [

@@ -6,13 +6,14 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from test_queries import plan_of
 
 from docweft.functions.text import words
 from docweft.operators import hashing
-from docweft.operators.embedding import dimension_profile, embed, model_dimension
+from docweft.operators.embedding import dimension_profile, embed, model_dimension, unit_rows
 from docweft.operators.hashing import nearest_by_hash, signatures
 from docweft.operators.keywords import hybrid, reranked
-from docweft.operators.matching import nearest
+from docweft.operators.matching import Best, Matches, nearest
 
 DIM = 8
 
@@ -271,3 +272,49 @@ def test_hashed_rows_leave_in_small_batches():
     out = list(signatures(Rows(), 8, 12, 5)(iter([batch])))
     assert sum(b.num_rows for b in out) == 120_000 and max(b.num_rows for b in out) <= 12 * 1024
     assert len({b.slice(0, 0).schema for b in out}) == 1 and out[1]["id"][0].as_py() > 0
+
+
+@pytest.mark.parametrize("known", [False, True], ids=["no least score", "least scores"])
+def test_rough_scores_lose_no_row(known):
+    """Rows so alike that single precision does not order them are ranked as in double precision, which few pairs need."""
+    draw = np.random.default_rng(3)
+    rows = unit_rows(np.concatenate([np.array([1.0, 1, 0, 0, 0]) + 3e-6 * draw.normal(size=(900, 5)), draw.normal(size=(2100, 5))]))
+    asked, ids = unit_rows(draw.normal(size=(40, 5)) + [2, 0, 0, 0, 0]), draw.permutation(3000)
+    scores = np.round(asked @ rows.T, 6)
+    order = [np.lexsort((ids, -row))[:7] for row in scores]
+    low = np.array([row[at[-1]] for row, at in zip(scores, order, strict=True)]) if known else None
+    best = Best(np.arange(40), 7, False, low, asked)
+    assert best.rough.dtype == np.float32
+    for at in range(0, 3000, 500):
+        best.meet(np.arange(40), rows[at : at + 500], ids[at : at + 500])
+    found = best.listed()
+    got = sorted(zip(found["qid"].to_pylist(), (-x for x in found["score"].to_pylist()), found["id"].to_pylist(), strict=True))
+    assert got == [(q, -scores[q, i], ids[i]) for q, at in enumerate(order) for i in at]
+
+
+def test_rerank_of_many_counts_as_by_hand(spark):
+    """Texts dealt by id meet their questions over any number of batches; a text without words shares none, a missing one is not counted."""
+    draw = np.random.default_rng(5)
+    texts = {i: " ".join(f"w{n}" for n in draw.integers(0, 60, i)) + " \n\t A  a" * (i % 2) for i in range(40)} | {40: None, 41: " "}
+    asked = {q: " ".join(f"W{n}" for n in draw.integers(0, 60, 12)) + "  a" for q in range(30)} | {30: "", 31: " \n "}
+    pairs = [(q, i) for q in asked for i in {7, 40, 41, q, int(draw.integers(0, 40))}]
+    c = spark.createDataFrame(list(texts.items()), "id bigint, text string")
+    q = spark.createDataFrame(list(asked.items()), "qid bigint, text string")
+    candidates = Matches(spark.createDataFrame(pairs, "qid bigint, id bigint"), 5, None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        ranked = reranked(q, c, candidates, 5).frame
+        assert "MapInArrow" in plan_of(ranked) and "array_intersect" not in plan_of(ranked)
+        got = {(r.qid, r.id): r.overlap for r in ranked.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    held = {i: None if t is None else set(t.lower().split()) for i, t in texts.items()}
+    assert got == {(q, i): None if held[i] is None else len(held[i] & set(asked[q].lower().split())) for q, i in pairs}
+
+
+def test_vectors_come_from_texts_cut_in_python(spark):
+    """Only the text travels to Python, not a list of its words; no word is counted that is none."""
+    texts = ["b  a b\t", "", " \n ", "Élan Über straße", None, "x" * 70_000 + " y"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(embed(F.col("t")).alias("v"))
+    assert "split(" not in plan_of(df)
+    assert np.allclose(np.array([r.v for r in df.collect()]), np.concatenate([hashed(texts[:2]), np.zeros((1, 64)), hashed(texts[3:4]), np.zeros((1, 64)), hashed(texts[5:])]))
