@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweft.functions.text import spaced, words
-from docweft.operators.embedding import HashedWords, coded_words
+from docweft.operators.embedding import HashedWords, coded_words, pieces
 from docweft.operators.matching import CosineScorer, Matches, best_matches
 from docweft.operators.numbering import top_per_key
 from docweft.operators.sizes import MAX_BROADCAST_BYTES, fits, sent
@@ -25,6 +25,8 @@ FUSION = 60
 
 
 MAX_TERMS = 500_000
+# Questions that meet one copy of a text, about; a text that more are near to is dealt to several tasks.
+CROWD = 512
 _ENTRIES = 4_000_000
 # Stands for "any text" among the terms; no word is empty.
 ANY = ""
@@ -183,21 +185,29 @@ def reranked(questions: DataFrame, corpus: DataFrame, candidates: Matches, keep:
     else:
         # Dealt by question, or Spark takes the words from the text anew for each candidate, inside the join.
         wanted = candidates.frame.select("qid", "id").join(asked.repartition("qid"), "qid")
+        crowds = candidates.frame.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / CROWD).alias("_parts")).where("_parts > 1")
+        parts = F.coalesce("_parts", F.lit(1).cast("bigint"))
         said = F.array_join("words", " ") if held == "words" else spaced(F.col("text"))
         texts = corpus.select("id", F.lit(None).cast("bigint").alias("qid"), *more, said.alias("said"))
+        texts = texts.join(F.broadcast(crowds), "id", "left").select(*texts.columns, F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("_part"))
         none = [F.lit(None).cast(corpus.schema[c].dataType).alias(c) for c in more]
-        scored = _overlaps(texts.unionByName(wanted.select("id", "qid", *none, F.col("_asked").alias("said"))), more)
+        part = F.pmod(F.xxhash64("qid"), parts).alias("_part")
+        wanted = wanted.join(F.broadcast(crowds), "id", "left").select("id", "qid", *none, F.col("_asked").alias("said"), part)
+        scored = _overlaps(texts.unionByName(wanted), more)
     ranked = top_per_key(scored, ["qid"], [F.col("overlap").desc(), F.col("id")], keep)
     bound = candidates.row_bound
     return Matches(ranked, keep, None if bound is None else bound // candidates.per_question * keep)
 
 
 def _overlaps(rows: DataFrame, more: list[str]) -> DataFrame:
-    """``(qid, id, …, overlap)`` of texts ``(id, …, said)``, whose ``qid`` is null, and questions ``(id, qid, said)`` of different words."""
+    """``(qid, id, …, overlap)`` of texts ``(id, …, said)``, whose ``qid`` is null, and questions ``(id, qid, said)`` of different words.
+
+    A text stands in each ``_part`` of its questions. Ids are keys.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
-        for batch in batches:
+        for batch in (whole.slice(*piece) for whole in batches for piece in pieces(whole.column("said"))):
             # The text that the first questions meet may have come before.
             table = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
             is_text = table["qid"].is_null().to_numpy()
@@ -213,7 +223,7 @@ def _overlaps(rows: DataFrame, more: list[str]) -> DataFrame:
                 yield from out.filter(pa.array(~is_text & (n_texts > 0) & (ids == ids[met]))).combine_chunks().to_batches()
                 last = table.slice(begins[-1], 1).to_batches()[0]
 
-    dealt = rows.repartition("id").sortWithinPartitions("id", F.col("qid").asc_nulls_first())
+    dealt = rows.repartition("id", "_part").sortWithinPartitions("id", "_part", F.col("qid").asc_nulls_first())
     kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more)
     return dealt.mapInArrow(count, f"qid bigint, id bigint{kinds}, overlap bigint")
 

@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 from test_queries import plan_of
 
 from docweft.functions.text import words
-from docweft.operators import hashing
-from docweft.operators.embedding import dimension_profile, embed, model_dimension, unit_rows
+from docweft.operators import hashing, keywords
+from docweft.operators.embedding import dimension_profile, embed, model_dimension, pieces, unit_rows
 from docweft.operators.hashing import nearest_by_hash, signatures
 from docweft.operators.keywords import hybrid, reranked
 from docweft.operators.matching import Best, Matches, nearest
@@ -292,8 +292,10 @@ def test_rough_scores_lose_no_row(known):
     assert got == [(q, -scores[q, i], ids[i]) for q, at in enumerate(order) for i in at]
 
 
-def test_rerank_of_many_counts_as_by_hand(spark):
-    """Texts dealt by id meet their questions over any number of batches; a text without words shares none, a missing one is not counted."""
+@pytest.mark.parametrize("crowd", [512, 3])
+def test_rerank_of_many_counts_as_by_hand(spark, monkeypatch, crowd):
+    """Texts dealt by id meet their questions over any number of batches and copies; a text without words shares none, a missing one is not counted."""
+    monkeypatch.setattr(keywords, "CROWD", crowd)
     draw = np.random.default_rng(5)
     texts = {i: " ".join(f"w{n}" for n in draw.integers(0, 60, i)) + " \n\t A  a" * (i % 2) for i in range(40)} | {40: None, 41: " "}
     asked = {q: " ".join(f"W{n}" for n in draw.integers(0, 60, 12)) + "  a" for q in range(30)} | {30: "", 31: " \n "}
@@ -305,9 +307,11 @@ def test_rerank_of_many_counts_as_by_hand(spark):
     try:
         ranked = reranked(q, c, candidates, 5).frame
         assert "MapInArrow" in plan_of(ranked) and "array_intersect" not in plan_of(ranked)
-        got = {(r.qid, r.id): r.overlap for r in ranked.collect()}
+        rows = ranked.collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {(r.qid, r.id): r.overlap for r in rows}
+    assert len(rows) == len(pairs)
     held = {i: None if t is None else set(t.lower().split()) for i, t in texts.items()}
     assert got == {(q, i): None if held[i] is None else len(held[i] & set(asked[q].lower().split())) for q, i in pairs}
 
@@ -318,3 +322,11 @@ def test_vectors_come_from_texts_cut_in_python(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(embed(F.col("t")).alias("v"))
     assert "split(" not in plan_of(df)
     assert np.allclose(np.array([r.v for r in df.collect()]), np.concatenate([hashed(texts[:2]), np.zeros((1, 64)), hashed(texts[3:4]), np.zeros((1, 64)), hashed(texts[5:])]))
+
+
+def test_texts_are_cut_in_bounded_pieces():
+    texts = pa.array(["ab", None, "c" * 50, "", "d" * 7, "e"] * 40)
+    cut = pieces(texts, 20)
+    assert [low for low, _ in cut] == [0, *np.cumsum([n for _, n in cut])[:-1].tolist()] and sum(n for _, n in cut) == 240
+    assert max(sum(len(t or "") for t in texts.slice(*piece).to_pylist()) for piece in cut) <= 20 + 50
+    assert len(cut) >= 80 and pieces(texts.slice(0, 0)) == []
