@@ -162,23 +162,23 @@ def hybrid(questions: DataFrame, corpus: DataFrame, k: int = 5, depth: int = 20,
     return fused(hybrid_ranks(questions, corpus, depth, **options).frame, k)
 
 
-def reranked(questions: DataFrame, corpus: DataFrame, candidates: Matches, keep: int) -> Matches:
+def reranked(questions: DataFrame, corpus: DataFrame, candidates: Matches, keep: int, tasks: int | None = None) -> Matches:
     """Candidates rescored by how many different question words they hold.
 
     ``(qid, id, overlap, rk)``, best ``keep`` per question, ties to the smaller id.
     The question's words meet the candidates first, so that a text is read and
-    scored where it lies and only counts are shuffled. Where there are too many
-    words for that, texts and words are dealt by id and each text is cut once.
+    scored where it lies, or dealt to ``tasks`` once it is cut, and only counts are
+    shuffled. Where there are too many words for that, texts and words are dealt by
+    id and each text is cut once.
     """
     # Words hold no blank, and as one string they travel in half the bytes of an array.
     asked = questions.select("qid", F.array_join(F.array_distinct(words(F.col("text"))), " ").alias("_asked"))
     more = [c for c in ("list",) if c in corpus.columns]
-    held = "words" if "words" in corpus.columns else "text"
     # A question travels once per candidate.
     if candidates.row_bound is not None and fits(asked, max_bytes=MAX_BROADCAST_BYTES // candidates.per_question):
         wanted = candidates.frame.select("qid", "id").join(asked, "qid")
-        split = F.col("words") if held == "words" else words(F.col("text"))
-        texts = corpus.select("id", *more, split.alias("_words")).join(F.broadcast(wanted), "id")
+        texts = corpus.select("id", *more, words(F.col("text")).alias("_words"))
+        texts = (texts if tasks is None else texts.repartition(tasks, "id")).join(F.broadcast(wanted), "id")
         # The set is made of the second array, here the shorter one.
         overlap = F.size(F.array_intersect("_words", F.split("_asked", " "))).cast("bigint")
         scored = texts.select("qid", "id", *more, overlap.alias("overlap"))
@@ -187,8 +187,7 @@ def reranked(questions: DataFrame, corpus: DataFrame, candidates: Matches, keep:
         wanted = candidates.frame.select("qid", "id").join(asked.repartition("qid"), "qid")
         crowds = candidates.frame.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / CROWD).alias("_parts")).where("_parts > 1")
         parts = F.coalesce("_parts", F.lit(1).cast("bigint"))
-        said = F.array_join("words", " ") if held == "words" else spaced(F.col("text"))
-        texts = corpus.select("id", F.lit(None).cast("bigint").alias("qid"), *more, said.alias("said"))
+        texts = corpus.select("id", F.lit(None).cast("bigint").alias("qid"), *more, spaced(F.col("text")).alias("said"))
         texts = texts.join(F.broadcast(crowds), "id", "left").select(*texts.columns, F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("_part"))
         none = [F.lit(None).cast(corpus.schema[c].dataType).alias(c) for c in more]
         part = F.pmod(F.xxhash64("qid"), parts).alias("_part")
@@ -251,9 +250,8 @@ def shared_counts(said: pa.Array, begins: np.ndarray) -> np.ndarray:
 def reranked_in(index: ListIndex, questions: DataFrame, candidates: Matches, keep: int) -> Matches:
     """As :func:`reranked`, over the lists the candidates were found in; ``list`` stays."""
     corpus = index.lists_of(candidates, "id", "text")
-    if candidates.row_bound is not None:
-        # Texts that many questions are near to lie in the same lists: each is cut once, then dealt to all tasks.
-        corpus = corpus.join(F.broadcast(candidates.frame.select("list", "id").distinct()), ["list", "id"], "left_semi")
-        tasks = 4 * index.spark.sparkContext.defaultParallelism
-        corpus = corpus.select("id", "list", words(F.col("text")).alias("words")).repartition(tasks, "id")
-    return reranked(questions, corpus, candidates, keep)
+    if candidates.row_bound is None:
+        return reranked(questions, corpus, candidates, keep)
+    # Texts that many questions are near to lie in the same lists: each is cut once, then dealt to all tasks.
+    corpus = corpus.join(F.broadcast(candidates.frame.select("list", "id").distinct()), ["list", "id"], "left_semi")
+    return reranked(questions, corpus, candidates, keep, 4 * index.spark.sparkContext.defaultParallelism)

@@ -54,7 +54,7 @@ from docweft.sources.index import VectorIndex, index_rows
 from docweft.sources.payloads import first_prediction
 from docweft.sources.runs import append_log, long_form, read_log
 from docweft.sources.tables import load, load_spread
-from docweft.session import fresh_path, staged
+from docweft.session import fresh_path, released, staged
 
 
 @query(
@@ -114,6 +114,8 @@ def history_rag(spark, sf_dir):
     """Question with history, reranked context, and the history itself in one prompt."""
     ranked = history_ranked(spark, sf_dir)
     ranked = ranked._replace(frame=staged(ranked.frame, "ranked"))
+    # Texts were shuffled to be ranked, and those kept are shuffled again.
+    released(spark)
     context = joined_context(document_index(spark, sf_dir).fetched(ranked, "text"), ["qid"])
     messages = chat_requests(spark, sf_dir)
     speaker = F.when(F.col("role") == "user", "Human: ").when(F.col("role") == "assistant", "AI: ").otherwise("System: ")

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from docweft.operators.embedding import DIM, embed
 from docweft.operators.retrieval import mapped
 from docweft.plans.frames import CHUNK_OVERLAP, CHUNK_TOKENS, document_chunks, documents, vectors
-from docweft.session import fresh_path, shared_dir
+from docweft.session import fresh_path, released, shared_dir
 from docweft.sources.lists import ListIndex
 from docweft.sources.postings import BLOCK_TEXTS, BUCKETS, Postings
 from docweft.sources.tables import load_spread, table_path
@@ -51,6 +51,8 @@ def kept(spark: SparkSession, label: str, source: str, build: Callable[[str], tu
             made, note = build(path)
             spark.createDataFrame([(path, note)], "path string, note string").coalesce(1).write.mode("overwrite").parquet(record)
             _OPEN[opened] = made
+            # Whole texts are shuffled for an index.
+            released(spark)
     return _OPEN[opened]
 
 
