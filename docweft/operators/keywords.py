@@ -221,6 +221,7 @@ def _overlaps(rows: DataFrame, more: list[str]) -> DataFrame:
                 out = pa.table({"qid": table["qid"], "id": table["id"], **columns, "overlap": overlap})
                 yield from out.filter(pa.array(~is_text & (n_texts > 0) & (ids == ids[met]))).combine_chunks().to_batches()
                 last = table.slice(begins[-1], 1).to_batches()[0]
+        pa.default_memory_pool().release_unused()
 
     dealt = rows.repartition("id", "_part").sortWithinPartitions("id", "_part", F.col("qid").asc_nulls_first())
     kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more)
